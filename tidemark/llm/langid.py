@@ -1,7 +1,7 @@
 """Language identification with Viterbi spans over word scores.
 
 The scripts of a text's letters narrow the candidate languages. Each word then has a log-score per
-candidate (whole-word counts backed off to character n-grams), and a Viterbi pass with a penalty for
+candidate (whole-word counts backed off to letter trigrams), and a Viterbi pass with a penalty for
 every switch of language labels spans of mixed text. A document's language is the one whose spans
 hold the most score-bearing letters.
 
@@ -12,7 +12,6 @@ are read whole at any length. Extra columns are never read.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,8 +27,9 @@ from tidemark.llm.common import crc_mod, hash_sample
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
-NGRAMS = (2, 3, 4)
 CACHE_WORDS = 500_000
+ALPHABET = 126  # commonest letters of the training texts; 0 stands for all others, 1 for a word's edge
+SIDE = ALPHABET + 2
 # First and last code point of the main blocks of each script.
 SCRIPTS = {
     "latin": ((0x41, 0x24F), (0x1E00, 0x1EFF)),
@@ -46,16 +46,31 @@ SCRIPTS = {
 }
 
 
-def script_of(word: str) -> str:
-    """Script of a word's first letter; ``other`` outside the listed ranges."""
-    code = ord(word[0])
-    return next((name for name, spans in SCRIPTS.items() if any(a <= code <= b for a, b in spans)), "other")
+SCRIPT_NAMES = [*SCRIPTS, "other"]
 
 
-def grams(word: str) -> list[str]:
-    """Character n-grams of the word between boundary marks."""
-    marked = f"<{word}>"
-    return [marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)]
+def script_table() -> np.ndarray:
+    """Number of the script of every code point of the first two planes."""
+    out = np.full(0x20000, len(SCRIPT_NAMES) - 1, dtype=np.uint8)
+    for i, spans in enumerate(SCRIPTS.values()):
+        for first, last in spans:
+            out[first : last + 1] = i
+    return out
+
+
+SCRIPT_OF = script_table()
+
+
+def code_points(words: list[str]) -> np.ndarray:
+    """Code points of the words with a zero before, between and after them."""
+    joined = "\0" + "\0".join(words) + "\0"
+    return np.minimum(np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32), len(SCRIPT_OF) - 1)
+
+
+def trigrams(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Numbers of the letter trigrams around every letter, edges included."""
+    ids = letters[codes].astype(np.int64)
+    return (ids[:-2] * SIDE + ids[1:-1]) * SIDE + ids[2:]
 
 
 @dataclass
@@ -63,54 +78,50 @@ class LanguageModel:
     """Log-probabilities of words and n-grams by language, and the scripts each language uses."""
 
     langs: list[str]
-    logp: np.ndarray  # row 0: an n-gram never learned
-    gram_id: dict[str, int]
+    letters: np.ndarray  # letter number of every code point
+    gram_row: np.ndarray  # row of every trigram in logp; row 0: never learned
+    logp: np.ndarray
     word_id: dict[str, int]
-    scripts: dict[str, np.ndarray]
+    uses: np.ndarray  # script by language: whether the language uses it
     switch_penalty: float = 6.0
     clip: float = 8.0
     _index: dict[str, int] = field(default_factory=dict, repr=False)
-    _letters: dict[str, np.ndarray | None] = field(default_factory=dict, repr=False)
     _table: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"_index": {}, "_letters": {}, "_table": None}
-
-    def usable(self, word: str) -> np.ndarray | None:
-        """Languages that use the script of the word; None where none does."""
-        first = word[0]
-        if first not in self._letters:
-            self._letters[first] = self.scripts.get(script_of(first))
-        return self._letters[first]
+        return self.__dict__ | {"_index": {}, "_table": None}
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Scores of words by language relative to the best (zeros where no language uses the script)."""
+        codes = code_points(words)
+        rows = self.gram_row[trigrams(codes, self.letters)]
+        inside = np.flatnonzero(codes[1:-1])
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        score = np.add.reduceat(self.logp[rows[inside]], starts, axis=0) / np.sqrt(sizes)[:, None]
+        for i, w in enumerate(words):
+            if (at := self.word_id.get(w)) is not None:
+                score[i] = self.logp[at]
+        usable = self.uses[SCRIPT_OF[codes[1:-1][inside][starts]]]
+        score = score - np.where(usable, score, -np.inf).max(axis=1, keepdims=True, initial=-1e9)
+        score = np.where(usable, np.maximum(score, -self.clip), -1e6)
+        score[~usable.any(axis=1)] = 0
+        return score
 
     def rows_of(self, words: list[str]) -> np.ndarray:
         """Row of the score table for every word (0: no candidate language), through a cache of bounded size."""
         if self._table is None or len(self._index) > CACHE_WORDS:
-            self._index, self._table, self._letters = {}, np.zeros((1, len(self.langs))), {}
-        index, gram_id = self._index, self.gram_id
-        new = sorted(set(words).difference(index))
-        ids, starts, masks, base = [], [], [], len(self._table)
-        for w in new:
-            mask = self.usable(w)
-            if mask is None:
-                index[w] = 0
-                continue
-            index[w] = base + len(starts)
-            starts.append(len(ids))
-            masks.append(mask)
-            at = self.word_id.get(w)
-            if at is not None:
-                ids.append(at)
-            else:
-                marked = f"<{w}>"
-                n = len(marked)
-                ids += [gram_id.get(marked[i : i + k], 0) for k in NGRAMS for i in range(n - k + 1)]
-        if starts:
-            counts = np.diff([*starts, len(ids)])
-            score = np.add.reduceat(self.logp[ids], starts, axis=0) / np.sqrt(counts)[:, None]
-            keep = np.array(masks)
-            score = score - np.where(keep, score, -np.inf).max(axis=1, keepdims=True)
-            self._table = np.concatenate([self._table, np.where(keep, np.maximum(score, -self.clip), -1e6)])
+            self._index, self._table = {}, np.zeros((1024, len(self.langs)))
+        index = self._index
+        new = list(set(words).difference(index))
+        if new:
+            score, first = self.scores(new), len(index) + 1
+            last = first + len(new)
+            if last > len(self._table):
+                self._table = np.concatenate([self._table, np.zeros((max(len(self._table), last - len(self._table)), len(self.langs)))])
+            self._table[first:last] = score
+            known = score.any(axis=1) if len(self.langs) > 1 else np.array([self.uses[SCRIPT_OF[min(ord(w[0]), len(SCRIPT_OF) - 1)]].any() for w in new])
+            index.update(zip(new, np.where(known, np.arange(first, last), 0).tolist(), strict=True))
         return np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
 
     def label(self, words: list[str]) -> np.ndarray:
@@ -175,45 +186,47 @@ class LanguageModel:
         return self.langs[best], float(held[best] / size.sum())
 
 
-def fit(rows: list[tuple[str, str]], min_count: int = 2) -> LanguageModel:
+def fit(rows: list[tuple[str, str]], min_count: int = 2, frequent: int = 20) -> LanguageModel:
     """Model from (text, language) rows; counts are smoothed by language."""
     langs = sorted({lang for _, lang in rows})
-    index = {lang: i for i, lang in enumerate(langs)}
-    word_counts = [Counter() for _ in langs]
-    script_counts = [Counter() for _ in langs]
+    counts = [Counter() for _ in langs]
     for text, lang in rows:
-        words = LETTERS.findall(text.lower())
-        word_counts[index[lang]].update(words)
-    gram_counts = [Counter() for _ in langs]
-    for i, counts in enumerate(word_counts):
-        for w, n in counts.items():
-            script_counts[i][script_of(w)] += n
-            for g in grams(w):
-                gram_counts[i][g] += n
-    all_grams = Counter()
-    for c in gram_counts:
-        all_grams.update(c)
-    kept = [g for g, n in all_grams.items() if n >= min_count]
-    totals = np.array([max(1, sum(c.values())) for c in gram_counts], dtype=float)
-    size = max(1, len(kept))
-    floor = np.log(0.5 / (totals + 0.5 * size))
-    floor = np.full(len(langs), floor.mean()) if langs else floor
-    word_total = np.array([max(1, sum(c.values())) for c in word_counts], dtype=float)
-    frequent = Counter()
-    for c in word_counts:
-        frequent.update(c)
-    words = [w for w, n in frequent.items() if n >= 20]
-    logp = [floor]
-    logp += [np.log((np.array([c[g] for c in gram_counts]) + 0.5) / (totals + 0.5 * size)) for g in kept]
-    logp += [np.log((np.array([c[w] for c in word_counts]) + 0.5) / (word_total + 0.5 * len(frequent))) for w in words]
-    gram_id = {g: i for i, g in enumerate(kept, 1)}
-    word_id = {w: i for i, w in enumerate(words, 1 + len(kept))}
-    scripts = {}
-    for name in [*SCRIPTS, "other"]:
-        share = np.array([c[name] / max(1, sum(c.values())) for c in script_counts])
-        if share.size and share.max() > 0.01:
-            scripts[name] = share > 0.01
-    return LanguageModel(langs, np.array(logp), gram_id, word_id, scripts)
+        counts[langs.index(lang)].update(LETTERS.findall(text.lower()))
+    held = Counter()
+    for c in counts:
+        for w, n in c.items():
+            for ch in set(w):
+                held[ch] += n
+    letters = np.zeros(len(SCRIPT_OF), dtype=np.uint8)
+    letters[0] = 1
+    for i, ch in enumerate(sorted(held, key=lambda ch: (-held[ch], ch))[:ALPHABET]):
+        letters[min(ord(ch), len(letters) - 1)] = i + 2
+    grams, scripts = np.zeros((len(langs), SIDE**3)), np.zeros((len(langs), len(SCRIPT_NAMES)))
+    for i, c in enumerate(counts):
+        words = sorted(c)
+        if not words:
+            continue
+        codes = code_points(words)
+        inside = np.flatnonzero(codes[1:-1])
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        times = np.fromiter((c[w] for w in words), dtype=np.int64, count=len(words))
+        grams[i] = np.bincount(trigrams(codes, letters)[inside], weights=np.repeat(times, sizes), minlength=SIDE**3)
+        firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        scripts[i] = np.bincount(SCRIPT_OF[codes[1:-1][inside][firsts]], weights=times, minlength=len(SCRIPT_NAMES))
+    kept = np.flatnonzero(grams.sum(axis=0) >= min_count)
+    totals = np.maximum(1, grams.sum(axis=1))
+    logp = [np.full((1, len(langs)), np.log(0.5 / (totals + 0.5 * max(1, len(kept)))).mean() if langs else 0.0)]
+    logp.append(np.log((grams[:, kept].T + 0.5) / (totals + 0.5 * max(1, len(kept)))))
+    gram_row = np.zeros(SIDE**3, dtype=np.int32)
+    gram_row[kept] = np.arange(1, len(kept) + 1)
+    every = Counter()
+    for c in counts:
+        every.update(c)
+    words = sorted(w for w, n in every.items() if n >= frequent)
+    word_totals = np.array([max(1, sum(c.values())) for c in counts], dtype=float)
+    logp.append(np.log((np.array([[c[w] for c in counts] for w in words]).reshape(len(words), len(langs)) + 0.5) / (word_totals + 0.5 * len(every))))
+    uses = (scripts / np.maximum(1, scripts.sum(axis=1, keepdims=True))).T > 0.01
+    return LanguageModel(langs, letters, gram_row, np.concatenate(logp), {w: 1 + len(kept) + i for i, w in enumerate(words)}, uses)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_out_fold: int = 1, sample_rows: int = 3000) -> LanguageModel:
