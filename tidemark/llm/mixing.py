@@ -195,11 +195,11 @@ class Mix:
 
     def mixed(self) -> DataFrame:
         """The mix: shard, slot, source index, block, doc_id and word span of every piece."""
-        return self.slots.join(self.spans(), ["sid", "block"]).select("shard", "slot", "sid", "block", "doc_id", "start", "word_from", "word_to")
+        return self.slots.hint("merge").join(self.spans(), ["sid", "block"]).select("shard", "slot", "sid", "block", "doc_id", "start", "word_from", "word_to")
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target and words taken, for every row."""
-        used = self.slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
+        used = self.slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")  # else the planner takes the slots for as small as the range they come from, and broadcasts them
         words = self.spans().join(used, ["sid", "block"]).groupBy("sid", "bin", "nr").agg(F.sum((F.col("word_to") - F.col("word_from")) * F.col("times")).alias("taken"))
         size = F.element_at(F.array(*[F.lit(int(n)) for _, n, _ in self.sources] or [F.lit(0)]), (F.col("sid") + 1).cast("int")).cast("long")
         target = F.element_at(F.array(*[F.lit(float(t)) for _, _, t in self.sources] or [F.lit(0.0)]), (F.col("sid") + 1).cast("int"))
