@@ -17,6 +17,7 @@ hit; documents come back as often as they are given. Whole texts are scanned at
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -73,25 +74,24 @@ class Matcher:
 
 
 SCAN = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType()))])
-_BUILT: dict[int, Matcher] = {}
+_BUILT: dict[str, Matcher] = {}
 
 
-def _matcher(shared, window: int) -> Matcher:
-    """The automaton of a broadcast, built once in a worker."""
-    key = shared._bid if hasattr(shared, "_bid") else id(shared)
+def _matcher(key: str, items: list, window: int) -> Matcher:
+    """The automaton of a broadcast, built once in a worker; the key names the broadcast among all that a worker sees."""
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = Matcher(shared.value, window)
+        _BUILT[key] = Matcher(items, window)
     return _BUILT[key]
 
 
 def scan_column(items: list[tuple[str | None, list[str]]], text: Column, spark, window: int) -> Column:
     """Struct (n_words, runs of hit words, items) of every text against one automaton."""
-    shared = spark.sparkContext.broadcast(items)
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, items))
 
     @F.pandas_udf(SCAN)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        matcher = _matcher(shared, window)
+        matcher = _matcher(*shared.value, window)
         for texts in batches:
             out = []
             for t in texts:
