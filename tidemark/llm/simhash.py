@@ -21,6 +21,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -123,36 +124,39 @@ def _edges_column(ids: Column, prints: Column, radius: int) -> Column:
     return edges(ids, prints)
 
 
-def _lookup(values: list[int]) -> Column:
-    return F.array(*[F.lit(signed(v)) for v in values])
+@lru_cache(maxsize=1 << 14)
+def finer_masks(mask: int, radius: int) -> tuple[int, ...]:
+    """Masks that add to a mask a covering of the bits it leaves free."""
+    free = [p for p in range(BITS) if not mask >> p & 1]
+    return tuple(mask | s for s in covering_masks(free, radius)) if len(free) > radius else ((1 << BITS) - 1,)
+
+
+def _finer_column(mask: Column, radius: int) -> Column:
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def finer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for masks in batches:
+            yield pd.Series([[signed(m) for m in dict.fromkeys(finer_masks(x & (1 << BITS) - 1, radius))] for x in masks.tolist()], dtype=object)
+
+    return finer(mask)
 
 
 def candidate_edges(nodes: DataFrame, radius: int = 3, bucket_limit: int = 1024) -> DataFrame:
     """Edges (a, b) that connect every pair of nodes (nid, fp) within the radius; fp values are distinct."""
-    every = (1 << BITS) - 1
-    masks = covering_masks(list(range(BITS)), radius)
-    tables = len(masks)
-    level = nodes.select("nid", "fp", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("path"))
+    masks = F.array(*[F.lit(signed(m)) for m in covering_masks(list(range(BITS)), radius)])
+    level = nodes.select("nid", "fp", F.explode(masks).alias("mask"))
     found = None
-    while True:
-        keyed = level.withColumn("key", F.col("fp").bitwiseAND(F.element_at(_lookup(masks), F.col("path") + 1)))
-        sizes = keyed.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        small = keyed.join(sizes.where(F.col("n") <= bucket_limit), ["path", "key"])
-        lists = small.groupBy("path", "key").agg(F.collect_list(F.struct("nid", "fp")).alias("m"))
+    for _ in range(BITS):
+        keyed = level.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        small = keyed.join(sizes.where(F.col("n") <= bucket_limit), ["mask", "key"])
+        lists = small.groupBy("mask", "key").agg(F.collect_list(F.struct("nid", "fp")).alias("m"))
         edges = lists.select(F.explode(_edges_column(F.col("m.nid"), F.col("m.fp"), radius)).alias("e")).select("e.a", "e.b")
         found = edges if found is None else found.unionByName(edges)
-        if all(m == every for m in masks) or nodes.sparkSession is None:
-            return found
         hot = sizes.where(F.col("n") > bucket_limit)
         if hot.isEmpty():
             return found
-        deeper = []
-        for m in masks:
-            free = [p for p in range(BITS) if not m >> p & 1]
-            sub = covering_masks(free, radius) if len(free) > radius else [every & ~m]
-            deeper.append([m | s for s in sub] + [every] * (tables - len(sub)))
-        level = keyed.join(hot, ["path", "key"]).select("nid", "fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda s: F.col("path") * tables + s)).alias("path"))
-        masks = [m for row in deeper for m in row]
+        level, _ = materialise(keyed.join(hot, ["mask", "key"]).select("nid", "fp", F.explode(_finer_column(F.col("mask"), radius)).alias("mask")).distinct(), "finer")
+    raise AssertionError("distinct fingerprints share every bit")
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
