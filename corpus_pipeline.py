@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document with the smallest id of every class of near duplicates."""
     classes = simhash.near_duplicates(docs)
     kept, _ = materialise(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    stay = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    stay = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     return stay.dropDuplicates(["doc_id"]) if kept.where("n > 1").limit(1).count() else stay
 
 
