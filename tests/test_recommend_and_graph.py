@@ -90,8 +90,9 @@ def test_scoring_masks_seen_items(spark):
     users = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "user_id long, vec array<double>")
     items = spark.createDataFrame([(5, [3.0, 1.0]), (6, [2.0, 5.0]), (7, [1.0, 0.0])], "item_id long, vec array<double>")
     seen = spark.createDataFrame([(1, 5)], "user_id long, item_id long")
-    got = sorted((r["user_id"], r["rank"], r["item_id"], r["score"]) for r in graph.score_top_n(users, items, seen, 2, 2).collect())
-    assert got == [(1, 1, 6, 2.0), (1, 2, 7, 1.0), (2, 1, 6, 5.0), (2, 2, 5, 1.0)]
+    for size in (100, 1):
+        got = sorted((r["user_id"], r["rank"], r["item_id"], r["score"]) for r in graph.score_top_n(users, items, seen, 2, size).collect())
+        assert got == [(1, 1, 6, 2.0), (1, 2, 7, 1.0), (2, 1, 6, 5.0), (2, 2, 5, 1.0)]
 
 
 def test_bpr_loss_is_finite_for_large_gaps(spark):

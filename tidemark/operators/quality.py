@@ -65,11 +65,21 @@ def classification_metrics(df: DataFrame, truth: str, predicted: str) -> DataFra
     return by.agg(ratio(F.sum("hit"), F.sum("truth")).alias("accuracy"), F.avg(f1).alias("macro_f1"), ratio(F.sum(f1 * F.col("truth")), F.sum("truth")).alias("weighted_f1"))
 
 
-def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """Area under the ROC curve by rank sums, from counts by score: ties count half, and no window spans the rows."""
-    by = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    return by.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0))).agg(ratio(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
+def auc(df: DataFrame, truth: str, score: str, ranges: int = 64) -> DataFrame:
+    """Area under the ROC curve by rank sums; ties count half.
+
+    Counts by score are dealt into ranges between approximate quantiles; running sums go over one range
+    at a time, and over the ranges' totals.
+    """
+    by = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
+    cuts = by.agg(F.percentile_approx("s", [i / ranges for i in range(1, ranges)], 1000).alias("cuts"))
+    dealt = by.crossJoin(F.broadcast(cuts)).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("s")))).drop("cuts")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = dealt.groupBy("part").agg(F.sum("neg").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    below = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    under = F.col("base") + F.col("inner")
+    rows = dealt.withColumn("inner", F.coalesce(F.sum("neg").over(below), F.lit(0))).join(F.broadcast(base), "part")
+    return rows.agg(ratio(F.sum(F.col("pos") * (under + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def residual_summary(df: DataFrame, truth: str, predicted: str) -> DataFrame:

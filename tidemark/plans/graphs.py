@@ -41,7 +41,8 @@ def bought_pairs(t):
 
 def event_edges(t):
     train, _ = prep.split_by_time(prep.score_mart(t.events, t.sessions), "timestamp", EVENT_SPLIT)
-    return train.where("user_id IS NOT NULL").select(F.col("user_id").alias("u"), F.col("item_id").alias("t")).distinct()
+    edges = train.where("user_id IS NOT NULL").select(F.col("user_id").alias("u"), F.col("item_id").alias("t")).distinct()
+    return t.keep("event_edges", edges)
 
 
 def label_set(t):
@@ -51,12 +52,13 @@ def label_set(t):
 
 
 def norm_edges(t):
-    return graph.bipartite_norm(event_edges(t).select("u", F.col("t").alias("i")))
+    return t.keep("norm_edges", graph.bipartite_norm(event_edges(t).select("u", F.col("t").alias("i"))))
 
 
 def vectors_of(t):
     norm = norm_edges(t)
-    return graph.propagate(norm, graph.initial_vectors(norm.select(F.col("src").alias("node")).distinct(), DIMS), DIMS, LAYERS)
+    start = t.keep("start_vectors", graph.initial_vectors(norm.select(F.col("src").alias("node")).distinct(), DIMS))
+    return t.keep("vectors", graph.propagate(norm, start, DIMS, LAYERS))
 
 
 def predictions(t):
@@ -128,7 +130,7 @@ def lightgcn_top_n(t):
     vecs = vectors_of(t)
     side = lambda p, name: vecs.where(F.col("node").startswith(p)).select(F.expr("cast(substr(node, 2) AS bigint)").alias(name), "vec")
     seen = event_edges(t).select(F.col("u").alias("user_id"), F.col("t").alias("item_id"))
-    return rounded(graph.score_top_n(side("u", "user_id"), side("i", "item_id"), seen, DIMS, 10))
+    return rounded(graph.score_top_n(side("u", "user_id"), side("i", "item_id"), seen, 10))
 
 
 @plan(

@@ -89,7 +89,7 @@ def bpr_top_n(t):
     model, _ = models.train_bpr(edges, epochs=10)
     frame = lambda ids, vecs, name: t.spark.createDataFrame([(int(x), [float(y) for y in v]) for x, v in zip(ids, vecs, strict=True)], f"{name} long, vec array<double>")
     seen = edges.select(F.col("u").alias("user_id"), F.col("i").alias("item_id"))
-    return rounded(graph.score_top_n(frame(model["users"], model["user_vectors"], "user_id"), frame(model["items"], model["item_vectors"], "item_id"), seen, 16, 10))
+    return rounded(graph.score_top_n(frame(model["users"], model["user_vectors"], "user_id"), frame(model["items"], model["item_vectors"], "item_id"), seen, 10))
 
 
 @plan()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,10 +27,15 @@ class Retail:
 
     spark: SparkSession
     path: str
+    kept: dict[str, DataFrame] = field(default_factory=dict, compare=False)
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """A table that a query reads several times, computed once; the first under a name is kept."""
+        return self.kept.setdefault(name, df.persist())
+
     @cached_property
     def customers(self) -> DataFrame:
         nation = self.raw("nation").select("n_nationkey", "n_name")
