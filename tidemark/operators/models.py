@@ -245,3 +245,20 @@ def sampler_run(transitions: DataFrame, edges: DataFrame, seeds: DataFrame, pool
             break
         chosen = chosen.unionByName(spark.createDataFrame([(u, i) for u in picked], "u long, round int"))
     return chosen
+
+
+def save_als(model: ALSModel, users: DataFrame, items: DataFrame, path: str) -> None:
+    """Keep a model with the encodings it was trained under."""
+    model.write().overwrite().save(f"{path}/model")
+    users.write.mode("overwrite").parquet(f"{path}/users")
+    items.write.mode("overwrite").parquet(f"{path}/items")
+
+
+def load_als(spark, path: str) -> tuple[ALSModel, DataFrame, DataFrame]:
+    return ALSModel.load(f"{path}/model"), spark.read.parquet(f"{path}/users"), spark.read.parquet(f"{path}/items")
+
+
+def repeat_runs(run, seeds: Sequence[int]) -> dict[str, tuple[float, float]]:
+    """Mean and deviation of a run's metrics over seeds."""
+    rows = [run(seed) for seed in seeds]
+    return {k: (float(np.mean([r[k] for r in rows])), float(np.std([r[k] for r in rows]))) for k in rows[0]}

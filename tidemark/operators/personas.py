@@ -141,3 +141,50 @@ def offline_client(prompt: str) -> str:
     """A client without a network: a reply that follows from the prompt alone."""
     digest = hashlib.md5(prompt.encode()).hexdigest()[:6]
     return f'Reply: {{"segment_name": "Segment {digest}", "description": "Made offline", "evidence": ["{len(prompt)} characters"], "cautions": []}}'
+
+
+def http_client(url: str, model: str, key_variable: str, timeout: float = 60.0) -> Client:
+    """A client of a chat endpoint over HTTP; the key is read from the environment where the call is made."""
+
+    def call(prompt: str) -> str:
+        import json
+        import os
+        import urllib.request
+
+        body = json.dumps({"model": model, "messages": [{"role": "user", "content": prompt}]}).encode()
+        request = urllib.request.Request(url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ[key_variable]}"})
+        with urllib.request.urlopen(request, timeout=timeout) as reply:
+            return json.load(reply)["choices"][0]["message"]["content"]
+
+    return call
+
+
+def format_sets(personas: DataFrame) -> DataFrame:
+    """By dataset, its personas as one text for a prompt: a numbered line each, by number."""
+    parts = F.array_sort(F.collect_list(F.struct("no", "name", "definition")))
+    line = lambda p: F.concat(p["no"].cast("string"), F.lit(". "), p["name"], F.lit(" - "), p["definition"])
+    return personas.groupBy("dataset").agg(F.array_join(F.transform(parts, line), "\n").alias("text"))
+
+
+def persona_index(taxonomy: DataFrame, labels: DataFrame) -> DataFrame:
+    """(persona, idx): the taxonomy (no, name) in its order, then names that only labels have, by name."""
+    known = taxonomy.groupBy(F.col("name").alias("persona")).agg(F.min("no").alias("no"))
+    extra = labels.select("persona").distinct().join(known, "persona", "left_anti").withColumn("no", F.lit(None).cast("long"))
+    order = Window.orderBy(F.asc_nulls_last("no"), "persona")  # a taxonomy is a short list
+    return known.unionByName(extra).select("persona", (F.row_number().over(order) - 1).cast("long").alias("idx"))
+
+
+def label_matrix(labels: DataFrame, index: DataFrame) -> DataFrame:
+    """(user_id, idx) of every label once: the ones of the user by persona matrix."""
+    return labels.join(F.broadcast(index), "persona").select("user_id", "idx").distinct()
+
+
+def require_labels(labels: DataFrame, users: DataFrame) -> DataFrame:
+    """Labels of the users; raises if one has none, or one that says nothing fits."""
+    from tidemark.operators.quality import IntegrityError
+
+    found = labels.join(users, "user_id", "left_semi")
+    bad = users.join(labels, "user_id", "left_anti").unionByName(found.where(F.col("persona") == "Unrepresentable").select("user_id")).limit(5).collect()
+    if bad:
+        raise IntegrityError(f"users without a usable label: {[r['user_id'] for r in bad]}")
+    return found

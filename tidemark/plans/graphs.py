@@ -234,3 +234,22 @@ SELECT persona, count(*) FILTER (t IS NOT NULL AND g IS NOT NULL) AS tp, count(*
 )
 def persona_confusion(t):
     return graph.confusion_by_persona(label_set(t).withColumnRenamed("user_id", "u"), ranked_personas(t))
+
+
+@plan(CATALOGUE + " SELECT tidx, CAST([] AS BIGINT[]) AS segments FROM items")
+def empty_mapping(t):
+    return graph.empty_mapping(recommend.encode_ids(t.products, "product_id", "tidx"), "tidx", "segments")
+
+
+@plan(WALK + ", names AS (SELECT persona, row_number() OVER (ORDER BY no NULLS LAST, persona) - 1 AS idx FROM (SELECT persona, CASE persona WHEN 'p1' THEN 1 WHEN 'p0' THEN 2 END AS no FROM (SELECT DISTINCT persona FROM label UNION SELECT 'p1' UNION SELECT 'p0'))) SELECT user_id, idx FROM label JOIN names USING (persona)")
+def label_matrix(t):
+    from tidemark.operators import personas
+
+    taxonomy = t.spark.createDataFrame([(1, "p1"), (2, "p0")], "no long, name string")
+    labels = label_set(t)
+    return personas.label_matrix(labels, personas.persona_index(taxonomy, labels))
+
+
+@plan(WALK + " SELECT v, round(sum(p), 5) AS mass FROM trans GROUP BY 1 ORDER BY sum(p) DESC, v LIMIT 5")
+def focused_users(t):
+    return rounded(graph.focused_users(graph.transition(event_edges(t)), 5), 5)

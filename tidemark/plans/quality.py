@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import models, quality
+from tidemark.operators import models, plots, quality
 from tidemark.plans.base import plan, rounded
 from tidemark.plans.features import FEATURES, customer_table
 
@@ -18,11 +18,11 @@ def with_segment(t):
 @plan(
     FEATURES
     + """, x AS (SELECT f.*, c.segment FROM features f JOIN customers c USING (customer_id))
-SELECT segment, count(*) AS customers, round(avg(total_spend), 2) AS total_spend_mean, round(median(total_spend), 2) AS total_spend_median, round(avg(n_orders), 2) AS n_orders_mean, round(median(n_orders), 2) AS n_orders_median,
-  round(count(*) * 1.0 / sum(count(*)) OVER (), 2) AS share FROM x GROUP BY 1"""
+SELECT segment, count(*) AS customers, round(avg(total_spend), 7) AS total_spend_mean, round(median(total_spend), 7) AS total_spend_median, round(avg(n_orders), 7) AS n_orders_mean, round(median(n_orders), 7) AS n_orders_median,
+  round(count(*) * 1.0 / sum(count(*)) OVER (), 7) AS share FROM x GROUP BY 1"""
 )
 def segment_profile(t):
-    return rounded(quality.profile(with_segment(t), "segment", ["total_spend", "n_orders"]), 2)
+    return rounded(quality.profile(with_segment(t), "segment", ["total_spend", "n_orders"]), 7)
 
 
 TOP_TEXT = """, n AS (SELECT segment, top_purchased_category AS c, count(*) AS n FROM features JOIN customers USING (customer_id) WHERE top_purchased_category IS NOT NULL GROUP BY 1, 2),
@@ -139,3 +139,26 @@ def integrity_checks(t):
     """Raises if a rule is broken; returns the checked table's size."""
     checked = quality.require_clean(customer_table(t), quality.CUSTOMER_RULES, ("customer_id",))
     return checked.agg(F.count(F.lit(1)).alias("rows"))
+
+
+@plan(""", e AS (SELECT min(total_usd) AS lo, (max(total_usd) - min(total_usd)) / 20 AS w FROM sales) SELECT least(CAST(floor((total_usd - lo) / w) AS BIGINT) + 1, 20) AS bin, round(lo + (least(CAST(floor((total_usd - lo) / w) AS BIGINT) + 1, 20) - 1) * w, 4) AS low, round(lo + least(CAST(floor((total_usd - lo) / w) AS BIGINT) + 1, 20) * w, 4) AS high, count(*) AS n FROM sales, e GROUP BY 1, 2, 3""")
+def histogram(t):
+    return rounded(plots.histogram(t.orders, "total_usd"), 4)
+
+
+@plan(" SELECT round(unnest(list_transform(range(20), lambda i: (i + 0.5) / 20)), 4) AS p, round(unnest(quantile_cont(total_usd, list_transform(range(20), lambda i: (i + 0.5) / 20))), 4) AS value FROM sales".replace("quantile_cont(total_usd, list_transform(range(20), lambda i: (i + 0.5) / 20))", "quantile_cont(total_usd, [" + ", ".join(str((i + 0.5) / 20) for i in range(20)) + "])").replace(", 4) AS value", ", 7) AS value"))
+def quantile_points(t):
+    return rounded(plots.quantile_points(t.orders, "total_usd"), 7)
+
+
+@plan(""", x AS (SELECT l_extendedprice - l_quantity * 1500.0 AS e, l_quantity * 1500.0 AS p FROM lineitem), r AS (SELECT min(p) AS lo, max(p) AS hi FROM x) SELECT CAST(least(floor((p - lo) / ((hi - lo) / 20)), 19) AS BIGINT) AS bin, round(avg(e), 3) AS mean, round(stddev_pop(e), 3) AS std, count(*) AS n FROM x, r GROUP BY 1""")
+def residual_points(t):
+    x = t.raw("lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500.0).alias("p"))
+    return rounded(plots.residual_points(x, "y", "p"), 3)
+
+
+@plan("SELECT user_id, count(*) FILTER (event_type = 'view') > 0 AS viewed, count(*) FILTER (event_type = 'click') > 0 AS carted, count(*) FILTER (event_type = 'purchase') > 0 AS bought FROM events GROUP BY 1", views=False)
+def funnel_conversion(t):
+    """Which steps of the funnel each user has reached."""
+    some = lambda kind: (F.count_if(F.col("event_type") == kind) > 0)
+    return t.raw("events").groupBy("user_id").agg(some("view").alias("viewed"), some("click").alias("carted"), some("purchase").alias("bought"))

@@ -170,3 +170,8 @@ def segment_naming(t):
     """Prompts, calls of an offline client on the executors, parsing and validation."""
     prompts = summary_text(t).select("segment", F.format_string(personas.NAMING_PROMPT, "summary").alias("prompt"))
     return personas.naming_status(personas.fan_out(prompts, personas.offline_client, "segment", "prompt", retries=2))
+
+
+@plan(f"{SETS} SELECT dataset, string_agg(no || '. ' || name || ' - ' || definition, chr(10) ORDER BY no) AS text FROM parsed GROUP BY 1", views=False)
+def format_persona_sets(t):
+    return personas.format_sets(persona_rows(t))
