@@ -59,6 +59,15 @@ def test_lexicon_is_learned_with_terms_and_stems():
     assert all(model.score(t) >= 0.3 for t in bad) and all(model.score(t) < 0.3 for t in clean)
 
 
+def test_misspelt_terms_count_where_clean_rows_have_none():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(("ta", "ro", "mi", "lu", "ne", "so")) for _ in range(rng.randint(1, 4)))
+    line = lambda *more: " ".join([*(word() for _ in range(20)), *more])
+    model = toxicity.fit([line(rng.choice(["zidiot", "vcum"])) for _ in range(150)], [line() for _ in range(400)])
+    assert all(model.score(line(w)) >= 0.3 for w in ("zidiot", "zid1ot", "zidiiot", "vcum", "zidi0t"))
+    assert model.score(line("vc0m")) < 0.3 and model.score(line()) < 0.3
+
+
 def test_a_large_group_of_copies_is_no_lexicon():
     rng = random.Random(2)
     texts = [" ".join(str(rng.random()) for _ in range(20)) for _ in range(5)]

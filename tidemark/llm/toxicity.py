@@ -37,6 +37,8 @@ REPORTING = frozenset("said says wrote writes called quote quoted quotes citing
 FEATURES = ("exact", "exact_quoted", "fuzzy", "fuzzy_quoted", "stem", "stem_quoted")
 PRIOR = np.array([-3.0, 4.0, 1.0, 1.5, 0.3, 3.0, 0.8])
 CACHE_WORDS = 400_000
+# Signs that stand for letters.
+LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 
 
 def allowed(term: str) -> int:
@@ -120,6 +122,8 @@ class ToxicityModel:
         if self._trie is None:
             self._trie = Trie(self.terms, self.stems)
         got = self._trie.match(word)
+        if got is None and not word.isalpha() and (plain := word.translate(LOOKALIKES)) != word and plain in self._trie.exact:
+            got = plain, sum(a != b for a, b in zip(word, plain, strict=True)), False
         return None if got and got[1] and word in self.harmless else got
 
     def matches(self, words: Iterable[str]) -> dict[str, tuple[str, int, bool]]:
@@ -235,7 +239,12 @@ def learn_lexicon(toxic: list[str], clean: list[str], min_share: float = 0.015,
 
 
 def fit(toxic: list[str], clean: list[str], rounds: int = 200) -> ToxicityModel:
-    """Lexicon, harmless words and weights (logistic loss with a pull towards the prior weights)."""
+    """Lexicon, harmless words and weights (logistic loss with a pull towards the prior weights).
+
+    Few training rows have misspelt terms, so their prior weight comes from clean rows: the chance that a
+    clean row has a near word not seen before is estimated by the near words seen once (Good-Turing). The
+    smaller it is, the nearer a misspelt hit comes to the fitted weight of an exact one.
+    """
     terms, stems = learn_lexicon(without_copies(toxic), without_copies(clean))
     model = ToxicityModel(terms, stems)
     near_pos, near_neg = Counter(), Counter()
@@ -247,16 +256,25 @@ def fit(toxic: list[str], clean: list[str], rounds: int = 200) -> ToxicityModel:
     model = ToxicityModel(terms, stems, harmless)
     x = np.array([model.features(t) for t in [*toxic, *clean]]).reshape(-1, len(PRIOR))
     y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
-    w = PRIOR.copy()
-    for _ in range(rounds if len(y) else 0):  # Newton steps with a ridge around the prior
+    w = _logistic(x, y, PRIOR, rounds)
+    unseen = (sum(n == 1 for n in near_neg.values()) + 0.5) / (len(clean) + 1)
+    prior = w.copy()
+    prior[3] = max(PRIOR[3], w[1] * math.log(1 / unseen) / math.log(2 * len(clean) + 2)) if len(clean) else PRIOR[3]
+    w = _logistic(x, y, prior, rounds)
+    model.weights = w
+    return model
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, rounds: int) -> np.ndarray:
+    """Newton steps on the logistic loss with a ridge around the prior."""
+    w = prior.copy()
+    for _ in range(rounds if len(y) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + (w - PRIOR)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), grad)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (p - y) + (w - prior))
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
-    model.weights = w
-    return model
+    return w
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held_out_fold: int = 2, sample_per_class: int = 2500) -> ToxicityModel:
