@@ -57,11 +57,11 @@ def jaccard(a: str | Column, b: str | Column) -> Column:
 
 def percent(c: str | Column) -> Column:
     """Share as a percentage of one digit; ``none`` where missing."""
-    return F.coalesce(F.when(col(c).isNotNull(), F.concat(F.format_string("%.1f", col(c).cast("double") * 100), F.lit("%"))), F.lit("none"))
+    return F.coalesce(F.when(col(c).isNotNull(), F.concat(F.format_string("%.1f", F.round(col(c).cast("double") * 100, 1)), F.lit("%"))), F.lit("none"))
 
 
 def number(c: str | Column, digits: int = 2) -> Column:
-    return F.coalesce(F.when(col(c).isNotNull(), F.format_string(f"%.{digits}f", col(c).cast("double"))), F.lit("none"))
+    return F.coalesce(F.when(col(c).isNotNull(), F.format_string(f"%.{digits}f", F.round(col(c).cast("double"), digits))), F.lit("none"))
 
 
 def text_or_none(c: str | Column) -> Column:

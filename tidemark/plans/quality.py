@@ -27,7 +27,7 @@ def segment_profile(t):
 
 TOP_TEXT = """, n AS (SELECT segment, top_purchased_category AS c, count(*) AS n FROM features JOIN customers USING (customer_id) WHERE top_purchased_category IS NOT NULL GROUP BY 1, 2),
 r AS (SELECT segment, c, n * 100.0 / sum(n) OVER (PARTITION BY segment) AS s, row_number() OVER (PARTITION BY segment ORDER BY n DESC, c) AS at_ FROM n)
-SELECT segment, string_agg(printf('%s: %.1f%%', c, s), '; ' ORDER BY at_) AS top_categories FROM r WHERE at_ <= 3 GROUP BY 1"""
+SELECT segment, string_agg(printf('%s: %.1f%%', c, round(s, 1)), '; ' ORDER BY at_) AS top_categories FROM r WHERE at_ <= 3 GROUP BY 1"""
 
 
 @plan(FEATURES + TOP_TEXT)

@@ -132,7 +132,7 @@ def user_prompt_text(t):
 @plan(
     FEATURES + TOP_TEXT.replace("SELECT segment, string_agg", ", top_text AS (SELECT segment, string_agg", 1).replace("GROUP BY 1", "GROUP BY 1")
     + """), prof AS (SELECT segment, count(*) AS customers, avg(total_spend) AS m, median(total_spend) AS md, count(*) * 1.0 / sum(count(*)) OVER () AS share FROM features JOIN customers USING (customer_id) GROUP BY 1)
-SELECT segment, 'Segment: ' || segment || chr(10) || 'Customers: ' || customers || chr(10) || 'Share: ' || printf('%.1f%%', share * 100) || chr(10) || 'Mean spend: ' || printf('%.2f', m) || chr(10) || 'Median spend: ' || printf('%.1f', md) || chr(10) || 'Top categories: ' || top_categories AS summary FROM prof JOIN top_text USING (segment)"""
+SELECT segment, 'Segment: ' || segment || chr(10) || 'Customers: ' || customers || chr(10) || 'Share: ' || printf('%.1f%%', round(share * 100, 1)) || chr(10) || 'Mean spend: ' || printf('%.2f', round(m, 2)) || chr(10) || 'Median spend: ' || printf('%.1f', round(md, 1)) || chr(10) || 'Top categories: ' || top_categories AS summary FROM prof JOIN top_text USING (segment)"""
 )
 def summary_text(t):
     table = with_segment(t)
