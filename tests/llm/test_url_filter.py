@@ -78,3 +78,22 @@ def test_empty_and_clashing(spark):
 def test_no_python_in_the_plan(spark):
     plan = url_filter.judge(spark.createDataFrame([(1, "http://a.com/", None)], PAGES), RULES)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|ArrowEval", plan.replace("createDataFrame", ""))
+
+
+def test_sql_spreads_the_same_way(spark):
+    import duckdb
+    import pandas as pd
+
+    from tidemark.llm.queries import oracle_sql
+
+    hosts = [f"h{i}.{d}" for i, d in enumerate(("com", "org", "net", "org", "net", "org", "example.com"))]
+    rows = []
+    for i, h in enumerate(hosts):
+        links = "".join(f'<a class="c" href="http://{hosts[j]}/x">l</a>' for j in range(7) if (i * 5 + j * 3) % 4 == 0)
+        rows += [(10 * i + k, f"http://{h}/{part}/1", links) for k, part in enumerate(("en", "es", "fr"))]
+    pages = pd.DataFrame(rows, columns=["page_id", "url", "html"])
+    con = duckdb.connect()
+    con.register("pages", pages)
+    want = sorted(map(str, con.execute(oracle_sql()["op7_url_filter"]).fetchall()))
+    got = url_filter.judge(spark.createDataFrame(pages, PAGES), RULES).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(str(tuple(r)) for r in got) == want and len({r["verdict"] for r in got if r["rule"] is None}) == 2
