@@ -102,11 +102,16 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def correlation_norm(vectors: DataFrame, vector_col: str, dims: int) -> DataFrame:
-    """Frobenius norm of the strict upper triangle of the columns' correlation matrix, from sums of products by pair."""
-    v = vectors.select(F.expr(f"transform({vector_col}, x -> cast(x AS double))").alias("v"))
-    row = v.select(F.posexplode("v").alias("i", "x"), "v").select("i", "x", F.posexplode("v").alias("j", "y")).where("i < j")
-    return row.groupBy("i", "j").agg(F.corr("x", "y").alias("r")).agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"))
+def correlation_norm(vectors: DataFrame, vector_col: str) -> DataFrame:
+    """Frobenius norm of the strict upper triangle of the columns' correlation matrix; the matrix comes from one distributed pass of products."""
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Correlation
+
+    ready = vectors.where(F.col(vector_col).isNotNull()).select(array_to_vector(F.col(vector_col)).alias("v"))
+    matrix = Correlation.corr(ready, "v").first()[0].toArray()
+    upper = matrix[np.triu_indices(len(matrix), 1)]
+    return vectors.sparkSession.createDataFrame([(float(np.sqrt(np.nansum(upper * upper))),)], "norm double")
 
 
 class IntegrityError(ValueError):

@@ -25,7 +25,7 @@ l1 AS (SELECT dst AS node, dim, sum(w * v) AS v FROM norm JOIN start ON node = s
 final AS (SELECT node, dim, sum(v) / 3 AS v FROM (SELECT * FROM start UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY 1, 2)"""
 WALK = EDGES + """, du AS (SELECT u, count(*) AS d FROM edges GROUP BY 1), dt AS (SELECT t, count(*) AS d FROM edges GROUP BY 1),
 trans AS (SELECT a.u, b.u AS v, sum(1.0 / du.d / dt.d) AS p FROM edges a JOIN du ON du.u = a.u JOIN edges b ON b.t = a.t JOIN dt ON dt.t = a.t GROUP BY 1, 2),
-label AS (SELECT DISTINCT user_id, persona FROM (SELECT customer_id AS user_id, 'p' || (customer_id % 4) AS persona FROM customers WHERE customer_id % 3 = 0 AND customer_id IN (SELECT u FROM edges) UNION ALL SELECT customer_id, 'q' || (customer_id % 2) FROM customers WHERE customer_id % 6 = 0 AND customer_id IN (SELECT u FROM edges))),
+label AS (SELECT customer_id AS user_id, unnest(CASE WHEN balance >= 5000 THEN [segment, 'WEALTHY'] ELSE [segment] END) AS persona FROM customers WHERE balance >= 1000 AND customer_id IN (SELECT u FROM edges)),
 per_user AS (SELECT user_id, count(*) AS n FROM label GROUP BY 1)"""
 PREDICT = WALK + """, x AS (SELECT user_id AS v, persona, 1.0 / n AS x FROM label JOIN per_user USING (user_id)), inv AS (SELECT persona, 1 / sum(x) AS inv FROM x GROUP BY 1),
 refine AS (SELECT persona, power(inv / (SELECT min(inv) FROM inv), 0.5) AS f FROM inv), near AS (SELECT u, v, p FROM trans WHERE v IN (SELECT user_id FROM label) QUALIFY row_number() OVER (PARTITION BY u ORDER BY p DESC, v) <= 10),
@@ -46,9 +46,9 @@ def event_edges(t):
 
 
 def label_set(t):
-    users = t.customers.join(event_edges(t).select(F.col("u").alias("customer_id")).distinct(), "customer_id", "left_semi")
-    name = lambda p, m: F.concat(F.lit(p), (F.col("customer_id") % m).cast("string")).alias("persona")
-    return users.where("customer_id % 3 = 0").select(F.col("customer_id").alias("user_id"), name("p", 4)).unionByName(users.where("customer_id % 6 = 0").select(F.col("customer_id").alias("user_id"), name("q", 2))).distinct()
+    """Labels of the users in the graph: their segment, and one more for a high balance; those with a low balance have none."""
+    users = t.customers.where("balance >= 1000").join(event_edges(t).select(F.col("u").alias("customer_id")).distinct(), "customer_id", "left_semi")
+    return users.select(F.col("customer_id").alias("user_id"), F.explode(F.when(F.col("balance") >= 5000, F.array("segment", F.lit("WEALTHY"))).otherwise(F.array("segment"))).alias("persona"))
 
 
 def norm_edges(t):
@@ -192,10 +192,11 @@ def persona_matrix(t):
     return rounded(full.select("u", "persona", F.coalesce("score", F.lit(1e-12)).alias("score")), 8)
 
 
-@plan(EDGES + ", known AS (SELECT DISTINCT t FROM edges WHERE u % 10 = 0) SELECT c.u, count(e.t) AS unseen FROM (SELECT DISTINCT u FROM edges WHERE u % 10 <> 0) c LEFT JOIN edges e ON e.u = c.u AND e.t NOT IN (SELECT t FROM known) GROUP BY 1")
+@plan(EDGES + ", known AS (SELECT DISTINCT t FROM edges JOIN customers ON customer_id = u WHERE balance >= 9000) SELECT c.u, count(e.t) AS unseen FROM (SELECT DISTINCT u FROM edges JOIN customers ON customer_id = u WHERE balance < 9000) c LEFT JOIN edges e ON e.u = c.u AND e.t NOT IN (SELECT t FROM known) GROUP BY 1")
 def rank_coverage(t):
-    edges = event_edges(t)
-    return graph.coverage_rank(edges.where("u % 10 <> 0").select("u").distinct(), edges, edges.where("u % 10 = 0").select("t").distinct())
+    edges, rich = event_edges(t), t.customers.where("balance >= 9000").select(F.col("customer_id").alias("u"))
+    others = t.customers.where("balance < 9000").select(F.col("customer_id").alias("u"))
+    return graph.coverage_rank(edges.select("u").distinct().join(others, "u", "left_semi"), edges, edges.join(rich, "u", "left_semi").select("t").distinct())
 
 
 @plan(
@@ -241,11 +242,11 @@ def empty_mapping(t):
     return graph.empty_mapping(recommend.encode_ids(t.products, "product_id", "tidx"), "tidx", "segments")
 
 
-@plan(WALK + ", names AS (SELECT persona, row_number() OVER (ORDER BY no NULLS LAST, persona) - 1 AS idx FROM (SELECT persona, CASE persona WHEN 'p1' THEN 1 WHEN 'p0' THEN 2 END AS no FROM (SELECT DISTINCT persona FROM label UNION SELECT 'p1' UNION SELECT 'p0'))) SELECT user_id, idx FROM label JOIN names USING (persona)")
+@plan(WALK + ", names AS (SELECT persona, row_number() OVER (ORDER BY no NULLS LAST, persona) - 1 AS idx FROM (SELECT persona, CASE persona WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 2 END AS no FROM (SELECT DISTINCT persona FROM label UNION SELECT 'MACHINERY' UNION SELECT 'BUILDING'))) SELECT user_id, idx FROM label JOIN names USING (persona)")
 def label_matrix(t):
     from tidemark.operators import personas
 
-    taxonomy = t.spark.createDataFrame([(1, "p1"), (2, "p0")], "no long, name string")
+    taxonomy = t.spark.createDataFrame([(1, "MACHINERY"), (2, "BUILDING")], "no long, name string")
     labels = label_set(t)
     return personas.label_matrix(labels, personas.persona_index(taxonomy, labels))
 

@@ -94,14 +94,14 @@ def bpr_top_n(t):
 
 @plan()
 def laplacian_embedding(t):
-    edges = event_edges(t).where("u < 60").select(F.concat(F.lit("u"), "u").alias("src"), F.concat(F.lit("i"), "t").alias("dst"), F.lit(1.0).alias("w"))
+    edges = event_edges(t).select(F.concat(F.lit("u"), "u").alias("src"), F.concat(F.lit("i"), "t").alias("dst"), F.lit(1.0).alias("w"))
     return models.laplacian_vectors(edges, 4)
 
 
 @plan()
 def sampler_run(t):
     edges = event_edges(t)
-    return models.sampler_run(edges, edges, edges.where("u % 25 = 0").select("u").distinct(), edges.select("u").distinct(), 10, 3)
+    return models.sampler_run(edges, edges, models.seeded_sample(edges.select("u").distinct(), "u", 6), edges.select("u").distinct(), 10, 3)
 
 
 @plan("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2", views=False)

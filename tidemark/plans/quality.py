@@ -40,48 +40,46 @@ def entropy_quality(t):
     return rounded(quality.quality_single(t.customers, "segment"))
 
 
-MULTI = """, labels_of AS (SELECT customer_id, CASE WHEN customer_id % 7 = 0 THEN 'query_failed' ELSE 'ok' END AS status, ['p' || (customer_id % 5), 'q' || (customer_id % 3)] AS personas FROM customers)"""
+MULTI = """, labels_of AS (SELECT customer_id, CASE WHEN balance < 0 THEN 'query_failed' ELSE 'ok' END AS status, [segment, country] AS personas FROM customers)"""
 
 
-def synthetic_labels(t):
-    pick = lambda name, m: F.concat(F.lit(name), (F.col("customer_id") % m).cast("string"))
-    return t.customers.select("customer_id", F.when(F.col("customer_id") % 7 == 0, "query_failed").otherwise("ok").alias("status"), F.array(pick("p", 5), pick("q", 3)).alias("personas"))
+def label_rows(t):
+    """Label rows of all customers: their segment and country; those with a debt count as failed queries."""
+    return t.customers.select("customer_id", F.when(F.col("balance") < 0, "query_failed").otherwise("ok").alias("status"), F.array("segment", "country").alias("personas"))
 
 
 @plan(f"{MULTI}, l AS (SELECT unnest(personas) AS label FROM labels_of WHERE status = 'ok'), s AS (SELECT label, count(*) * 1.0 / sum(count(*)) OVER () AS share FROM l GROUP BY 1) SELECT 'multi' AS kind, {ENTROPY} FROM s")
 def multi_label_quality(t):
-    return rounded(quality.quality_multi(synthetic_labels(t), "personas", "status"))
+    return rounded(quality.quality_multi(label_rows(t), "personas", "status"))
 
 
 @plan(f"{MULTI} SELECT status, count(*) AS n FROM labels_of GROUP BY 1")
 def status_roll_up(t):
     from tidemark.operators.personas import roll_up
 
-    return roll_up(synthetic_labels(t))
-
-
-CENTRES = ", centres AS (SELECT label AS centre, dim, avg(v) AS c FROM (SELECT label, unnest(range(64)) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY 1, 2)"
+    return roll_up(label_rows(t))
 
 
 @plan(
-    """WITH e AS (SELECT vec_id, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings), centres AS (SELECT vec_id AS centre, dim, v AS c FROM e WHERE vec_id < 5),
+    """WITH e AS (SELECT vec_id, label, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings), centres AS (SELECT label AS centre, dim, avg(v) AS c FROM e GROUP BY 1, 2),
 d AS (SELECT e.vec_id, centre, sum((v - c) * (v - c)) AS d FROM e JOIN centres USING (dim) GROUP BY 1, 2)
 SELECT vec_id, arg_min(centre, d) AS centre, round(sqrt(min(d)), 4) AS distance FROM d GROUP BY 1""",
     views=False,
 )
 def nearest_centroid(t):
     vectors = t.raw("embeddings")
-    centres = vectors.where("vec_id < 5").select(F.col("vec_id").alias("centre"), F.col("embedding").alias("cvec"))
+    means = vectors.select("label", F.posexplode("embedding").alias("dim", "v")).groupBy("label", "dim").agg(F.avg(F.col("v").cast("double")).alias("c"))
+    centres = means.groupBy(F.col("label").alias("centre")).agg(F.array_sort(F.collect_list(F.struct("dim", "c"))).getField("c").alias("cvec"))
     return rounded(models.nearest_centre(vectors, "vec_id", "embedding", centres), 4)
 
 
 @plan(
-    """WITH e AS (SELECT vec_id, unnest(range(8)) AS dim, unnest(embedding[1:8])::DOUBLE AS v FROM embeddings),
+    """WITH e AS (SELECT vec_id, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings),
 r AS (SELECT a.dim AS i, b.dim AS j, corr(a.v, b.v) AS r FROM e a JOIN e b USING (vec_id) WHERE a.dim < b.dim GROUP BY 1, 2) SELECT round(sqrt(sum(r * r)), 5) AS norm FROM r""",
     views=False,
 )
 def embedding_correlation_norm(t):
-    return rounded(quality.correlation_norm(t.raw("embeddings").select(F.slice("embedding", 1, 8).alias("v8")), "v8", 8), 5)
+    return rounded(quality.correlation_norm(t.raw("embeddings"), "embedding"), 5)
 
 
 @plan(

@@ -18,7 +18,7 @@ m AS (SELECT uidx AS row, tidx AS col, CAST(score AS DOUBLE) AS val FROM scores
 POPULAR = """, popular AS (SELECT item_id, sum(score) AS popularity FROM scores GROUP BY 1),
 popular_recs AS (SELECT user_id, item_id, CAST(popularity AS DOUBLE) AS score, row_number() OVER (PARTITION BY user_id ORDER BY popularity DESC, item_id) AS rank
   FROM users CROSS JOIN popular WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.user_id = users.user_id AND s.item_id = popular.item_id) QUALIFY rank <= 20),
-list_recs AS (SELECT user_id, item_id, CAST(popularity AS DOUBLE) AS score, row_number() OVER (PARTITION BY user_id ORDER BY popularity DESC, item_id) AS rank FROM users CROSS JOIN popular WHERE (user_id + item_id) % 3 > 0 QUALIFY rank <= 20)"""
+list_recs AS (SELECT user_id, item_id, CAST(popularity AS DOUBLE) AS score, row_number() OVER (PARTITION BY user_id ORDER BY popularity DESC, item_id) AS rank FROM users CROSS JOIN popular QUALIFY rank <= 20)"""
 BY_USER = """, ks AS (SELECT unnest([5, 10, 20]) AS k), sizes AS (SELECT user_id, count(*) AS n_truth FROM truth GROUP BY 1),
 by_user AS (
   SELECT z.user_id, ks.k, max(n_truth) AS n_truth, count(*) FILTER (t.item_id IS NOT NULL) AS hits, count(*) AS given,
@@ -37,10 +37,10 @@ def encoded(t):
 
 
 def list_recs(t, n=20):
-    """Popularity lists without every third item: what the metrics are computed on."""
+    """The n most popular items for every user, seen or not: what the metrics are computed on."""
     scores, users, _ = encoded(t)
-    popular = recommend.top_items(recommend.popularity(scores), 1000)
-    offered = users.crossJoin(F.broadcast(popular)).where((F.col("user_id") + F.col("item_id")) % 3 > 0)
+    popular = recommend.top_items(recommend.popularity(scores), n)
+    offered = users.crossJoin(F.broadcast(popular))
     return recommend.top_n(offered.select("user_id", "item_id", F.col("popularity").cast("double").alias("score")), n)
 
 

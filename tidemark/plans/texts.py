@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import personas, quality
-from tidemark.plans.base import ORDER_SPLIT, moment, plan
+from tidemark.plans.base import plan
 from tidemark.plans.features import FEATURES, customer_table
 from tidemark.plans.quality import TOP_TEXT, with_segment
 
@@ -112,20 +112,20 @@ def label_validate(t):
 
 
 @plan(
-    f""", b AS (SELECT o.customer_id AS user_id, p.product_name AS item_name, CAST(sum(quantity) AS BIGINT) AS q FROM sales o JOIN order_items i ON i.order_id = o.order_id JOIN products p ON p.product_id = i.product_id WHERE o.order_time >= '{ORDER_SPLIT}' GROUP BY 1, 2)
+    """, b AS (SELECT o.customer_id AS user_id, p.product_name AS item_name, CAST(sum(quantity) AS BIGINT) AS q FROM sales o JOIN order_items i ON i.order_id = o.order_id JOIN products p ON p.product_id = i.product_id GROUP BY 1, 2)
 SELECT user_id, string_agg(item_name || ' x' || q, ', ' ORDER BY item_name, q) AS purchases FROM b GROUP BY 1"""
 )
 def describe_user(t):
-    bought = t.orders.where(F.col("order_time") >= moment(ORDER_SPLIT)).join(t.order_items, "order_id").join(t.products, "product_id")
+    bought = t.orders.join(t.order_items, "order_id").join(t.products, "product_id")
     return personas.describe_purchases(bought.select(F.col("customer_id").alias("user_id"), F.col("product_name").alias("item_name"), "quantity"))
 
 
 @plan(
-    FEATURES + f""", b AS (SELECT o.customer_id, p.product_name AS item_name, CAST(sum(quantity) AS BIGINT) AS q FROM sales o JOIN order_items i ON i.order_id = o.order_id JOIN products p ON p.product_id = i.product_id WHERE o.order_time >= '{ORDER_SPLIT}' GROUP BY 1, 2), d AS (SELECT customer_id, string_agg(item_name || ' x' || q, ', ' ORDER BY item_name, q) AS purchases FROM b GROUP BY 1)
+    FEATURES + """, b AS (SELECT o.customer_id, p.product_name AS item_name, CAST(sum(quantity) AS BIGINT) AS q FROM sales o JOIN order_items i ON i.order_id = o.order_id JOIN products p ON p.product_id = i.product_id GROUP BY 1, 2), d AS (SELECT customer_id, string_agg(item_name || ' x' || q, ', ' ORDER BY item_name, q) AS purchases FROM b GROUP BY 1)
 SELECT customer_id, 'Purchases: ' || coalesce(purchases, 'N/A') || chr(10) || 'Sessions: ' || n_sessions || chr(10) || 'Favourite category: ' || coalesce(top_viewed_category, 'N/A') || chr(10) || 'Days since last order: ' || coalesce(CAST(order_recency_days AS VARCHAR), 'N/A') AS description FROM features LEFT JOIN d USING (customer_id)"""
 )
 def user_prompt_text(t):
-    bought = t.orders.where(F.col("order_time") >= moment(ORDER_SPLIT)).join(t.order_items, "order_id").join(t.products, "product_id")
+    bought = t.orders.join(t.order_items, "order_id").join(t.products, "product_id")
     return personas.describe_users(customer_table(t), bought.select(F.col("customer_id").alias("user_id"), F.col("product_name").alias("item_name"), "quantity"))
 
 
@@ -149,10 +149,10 @@ def conversation_turns(t):
     return t.raw("conversations").groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.count_distinct("conv_id").alias("conversations"), F.round(F.avg(F.length("text")), 6).alias("mean_length"))
 
 
-@plan("""WITH p AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS item_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '2001-01-01'),
+@plan("""WITH p AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS item_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 r AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY md5('split:' || user_id || ':' || item_id), item_id) AS at_, count(*) OVER (PARTITION BY user_id) AS n FROM p) SELECT user_id, item_id, CASE WHEN at_ <= greatest(floor(n * 0.8), 1) THEN 'train' ELSE 'test' END AS part FROM r""", views=False)
 def split_items(t):
-    pairs = t.orders.where(F.col("order_time") >= moment("2001-01-01")).join(t.order_items, "order_id").select(F.col("customer_id").alias("user_id"), F.col("product_id").alias("item_id")).distinct()
+    pairs = t.orders.join(t.order_items, "order_id").select(F.col("customer_id").alias("user_id"), F.col("product_id").alias("item_id")).distinct()
     return personas.split_items(pairs)
 
 
