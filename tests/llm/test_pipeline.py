@@ -19,7 +19,7 @@ def test_every_stage_equals_its_brute_force(spark):
         if name == "language_id":
             model = langid.train(docs)
             got = {r["doc_id"]: model.predict(r["text"]) for r in before}
-            assert kept == {i for i, (lang, share) in got.items() if lang != "und" and share >= 0.5} and len(kept) >= 0.97 * len(before)
+            assert kept == {i for i, (lang, share) in got.items() if lang != "und" and share >= corpus_pipeline.MAIN_LANGUAGE_SHARE} and len(kept) >= 0.97 * len(before)
         elif name == "toxicity":
             model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
             assert kept == {r["doc_id"] for r in before if model.score(r["text"]) < 0.3}
