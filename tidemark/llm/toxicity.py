@@ -59,25 +59,28 @@ class Trie:
             node[1], node[2] = word, stem
         self.exact = set(self.terms)
         self.max_edits = max((allowed(t) for t in self.terms), default=0)
-        self.screen = self._screen()
+        self.screens: dict[int, re.Pattern | None] = {}
 
-    def _screen(self) -> re.Pattern | None:
-        """A condition every match meets: with d edits, one of d+1 parts of the term stands unchanged in the word."""
-        parts = set(self.stems)
+    def _screen(self, n: int) -> re.Pattern | None:
+        """A condition every match of length n meets: with d edits, one of d+1 parts of the term stands unchanged in the word, moved by d at most."""
+        parts = [re.escape(s) for s in self.stems if len(s) <= n]
         for term in self.terms:
-            n = allowed(term) + 1
-            cuts = [len(term) * i // n for i in range(n + 1)]
-            parts.update(term[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
-        return re.compile("|".join(map(re.escape, sorted(parts, key=len)))) if parts else None
+            d = allowed(term)
+            if abs(len(term) - n) <= d:
+                cuts = [len(term) * i // (d + 1) for i in range(d + 2)]
+                parts += [f".{{{max(0, a - d)},{a + d}}}{re.escape(term[a:b])}" for a, b in zip(cuts, cuts[1:], strict=False)]
+        return re.compile("|".join(parts), re.S) if parts else None
 
     def match(self, word: str) -> tuple[str, int, bool] | None:
         """The nearest entry (entry, edits, is stem) within its allowance; ties go to the first in order."""
         if word in self.exact:
             return word, 0, False
-        if self.screen is None or not self.screen.search(word):
+        n, top = len(word), self.max_edits
+        if n not in self.screens:
+            self.screens[n] = self._screen(n)
+        if (screen := self.screens[n]) is None or not screen.match(word):
             return None
         best: tuple[int, str, bool] | None = None
-        n, top = len(word), self.max_edits
         stack = [(self.root, list(range(n + 1)), 0)]
         while stack:
             node, row, depth = stack.pop()
