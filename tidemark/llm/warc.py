@@ -220,5 +220,6 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     spark = pages.sparkSession
     archives, index = new_path(spark, "warc"), new_path(spark, "capture-index")
     write_archives(pages, archives, id_col, url_col, html_col)
-    build_index(scan_archives(spark, archives), index)
+    entries, _ = materialise(scan_archives(spark, archives), "entries")  # range partitioning reads its input twice
+    build_index(entries, index)
     return archives, index
