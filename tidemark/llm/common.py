@@ -53,12 +53,13 @@ def crc_mod(id_col: str | Column, modulus: int) -> Column:
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(modulus))
 
 
-def hash_sample(df: DataFrame, id_col: str, at_most: int, salt: int = 0) -> DataFrame:
+def hash_sample(df: DataFrame, id_col: str, at_most: int, salt: int = 0, total: int | None = None) -> DataFrame:
     """A deterministic sample of about ``at_most`` rows (the documented bound), chosen by a hash of the id.
 
-    Used only to fit classifiers. One cheap count fixes the rate; rows are then picked map-side.
+    Used only to fit classifiers. One count of rows (or ``total``, from a frame that reads fewer columns)
+    fixes the rate; rows are then picked map-side.
     """
-    total = df.count()
+    total = df.count() if total is None else total
     if total <= at_most:
         return df
     cut = int(at_most / total * (1 << 30))

@@ -234,8 +234,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     The bound is documented and does not depend on the size of the table.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, folds) != held_out_fold)).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang"))
-    rows = hash_sample(known, "__id", sample_rows).collect()
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, folds) != held_out_fold))
+    texts = known.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang"))
+    rows = hash_sample(texts, "__id", sample_rows, total=known.select(id_col, lang_col).count()).where(F.col("__text").isNotNull()).collect()
     rows.sort(key=lambda r: (r["__id"], r["__lang"], r["__text"]))
     return fit([(r["__text"], r["__lang"]) for r in rows])
 
