@@ -167,3 +167,24 @@ def test_learned_operators_hold_their_invariants(spark):
     assert {r["fold"] for r in folds.collect()} <= {0, 1, 2, 3}
     vecs = models.laplacian_vectors(edges.select(F.concat(F.lit("u"), "u").alias("src"), F.concat(F.lit("i"), "i").alias("dst"), F.lit(1.0).alias("w")), 2)
     assert vecs.count() == 18
+
+
+def test_spectral_filter_pooling_and_losses(spark):
+    rng = np.random.default_rng(4)
+    basis, signal, extra = rng.normal(size=(5, 3)), rng.normal(size=(5, 2)), rng.normal(size=(5, 2))
+    frame = lambda a: spark.createDataFrame([(f"n{j}", r.tolist()) for j, r in enumerate(a)], "node string, vec array<double>")
+    values = lambda df: np.array([r["vec"] for r in sorted(df.collect())])
+    kernel = [1.0, 0.5, 0.1]
+    assert np.allclose(values(graph.spectral_filter(frame(basis), frame(signal), kernel, 2)), basis @ np.diag(kernel) @ basis.T @ signal)
+    want = {"sum": signal + extra, "mean": (signal + extra) / 2, "max": np.maximum(signal, extra), "product": signal * extra, "concat": np.hstack([signal, extra])}
+    for how, w in want.items():
+        assert np.allclose(values(graph.pool_layers([frame(signal), frame(extra)], how)), w)
+    pairs = spark.createDataFrame([("n0", "n1", 1.0), ("n2", "n3", 0.0)], "u string, i string, y double")
+    s, y = np.array([signal[0] @ signal[1], signal[2] @ signal[3]]), np.array([1.0, 0.0])
+    p = 1 / (1 + np.exp(-s))
+    assert graph.pointwise_loss(pairs, frame(signal), 2, "mse").first()["loss"] == pytest.approx(((y - s) ** 2).mean())
+    assert graph.pointwise_loss(pairs, frame(signal), 2, "ce").first()["loss"] == pytest.approx(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+    for bad in (lambda: graph.pool_layers([frame(signal)], "x"), lambda: graph.pointwise_loss(pairs, frame(signal), 2, "x"), lambda: graph.graph_mode("x")):
+        with pytest.raises(ValueError):
+            bad()
+    assert graph.graph_mode("tri")[0] == 6 and graph.graph_mode("bipartite")[0] == 0

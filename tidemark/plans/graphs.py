@@ -254,3 +254,14 @@ def label_matrix(t):
 @plan(WALK + " SELECT v, round(sum(p), 5) AS mass FROM trans GROUP BY 1 ORDER BY sum(p) DESC, v LIMIT 5")
 def focused_users(t):
     return rounded(graph.focused_users(graph.transition(event_edges(t)), 5), 5)
+
+
+@plan(
+    VECTORS + """, b AS (SELECT node, dim AS f, v AS b FROM start), c AS (SELECT f, dim, sum(b * v) AS c FROM b JOIN final USING (node) GROUP BY 1, 2)
+SELECT node, dim, round(sum(b * c / (1 + f)), 5) AS v FROM b JOIN c USING (f) GROUP BY 1, 2"""
+)
+def spectral_filter(t):
+    vecs = vectors_of(t)
+    start = graph.initial_vectors(norm_edges(t).select(F.col("src").alias("node")).distinct(), DIMS)
+    out = graph.spectral_filter(start, vecs, [1 / (1 + f) for f in range(DIMS)], DIMS)
+    return out.select("node", F.posexplode("vec").alias("dim", "v")).select("node", F.col("dim").cast("long").alias("dim"), F.round("v", 5).alias("v"))
