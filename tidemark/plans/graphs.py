@@ -262,6 +262,5 @@ SELECT node, dim, round(sum(b * c / (1 + f)), 5) AS v FROM b JOIN c USING (f) GR
 )
 def spectral_filter(t):
     vecs = vectors_of(t)
-    start = graph.initial_vectors(norm_edges(t).select(F.col("src").alias("node")).distinct(), DIMS)
-    out = graph.spectral_filter(start, vecs, [1 / (1 + f) for f in range(DIMS)], DIMS)
+    out = graph.spectral_filter(t.kept["start_vectors"], vecs, [1 / (1 + f) for f in range(DIMS)], DIMS)
     return out.select("node", F.posexplode("vec").alias("dim", "v")).select("node", F.col("dim").cast("long").alias("dim"), F.round("v", 5).alias("v"))
