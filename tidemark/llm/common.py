@@ -47,6 +47,17 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(rows: int = 1000) -> None:
+    """Lower the session's rows an Arrow batch to ``rows``: texts are long, and a batch is held several times over by the JVM and the worker."""
+    spark = SparkSession.active()
+    now = int(spark.conf.get(BATCH_KEY, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(BATCH_KEY, str(rows))
+
+
 def crc_mod(id_col: str | Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``: the fold of a row."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import bound_batches
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -87,6 +89,7 @@ def _matcher(key: str, items: list, window: int) -> Matcher:
 
 def scan_column(items: list[tuple[str | None, list[str]]], text: Column, spark, window: int) -> Column:
     """Struct (n_words, runs of hit words, items) of every text against one automaton."""
+    bound_batches()
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, items))
 
     @F.pandas_udf(SCAN)

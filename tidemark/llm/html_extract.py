@@ -26,6 +26,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import bound_batches
+
 # Element names by the part they play in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -235,6 +237,7 @@ EXTRACT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_
 
 def extract_column(html: Column) -> Column:
     """Struct (text, n_chars) of every page's html, as a column."""
+    bound_batches()
 
     @F.pandas_udf(EXTRACT)
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import crc_mod, hash_sample
+from tidemark.llm.common import bound_batches, crc_mod, hash_sample
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 ALPHABET = 126  # commonest letters of the training texts; 0 stands for all others, 1 for a word's edge
 SIDE = ALPHABET + 2
 # First and last code point of the main blocks of each script.
@@ -246,6 +246,7 @@ PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructF
 
 def predict_column(model: LanguageModel, text: Column, spark) -> Column:
     """Struct (lang_pred, score) of every whole text, as a column."""
+    bound_batches()
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(PREDICTION)

@@ -30,6 +30,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import bound_batches
+
 # Bit rates in kbit/s by (version 1 or not, layer), and sample rates by version (ISO 11172-3 and 13818-3).
 BITRATES = {
     (True, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -274,6 +276,7 @@ def digest_row(text: str | None) -> tuple:
 
 def digest_column(text: Column) -> Column:
     """Struct of the digests and features of every text's stored form."""
+    bound_batches()
 
     @F.pandas_udf(MEDIA)
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -285,6 +288,7 @@ def digest_column(text: Column) -> Column:
 
 def encode_column(data: Column) -> Column:
     """Streams that hold a binary column."""
+    bound_batches()
 
     @F.pandas_udf(T.BinaryType())
     def stored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -301,6 +305,7 @@ STREAM = T.StructType(
 
 def parse_column(media: Column) -> Column:
     """Struct with exact duration (samples and rate), seek offsets, CRC counts, tags and VBR table of any MPEG audio column."""
+    bound_batches()
 
     @F.pandas_udf(STREAM)
     def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

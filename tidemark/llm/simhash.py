@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import materialise, remove, utf8_words
+from tidemark.llm.common import bound_batches, materialise, remove, utf8_words
 
 BITS = 64
 SHINGLE = 3
@@ -62,6 +62,7 @@ def signed(x: int) -> int:
 
 def fingerprint_column(text: Column) -> Column:
     """Fingerprint of every whole text as a signed long."""
+    bound_batches()
 
     @F.pandas_udf(T.LongType())
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

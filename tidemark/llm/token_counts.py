@@ -25,9 +25,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import bound_batches
+
 MARK = "▁"
 PRE_TOKEN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 COUNTS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
 
@@ -90,6 +92,7 @@ def frequent_table(model) -> dict[str, int]:
 
 def count_column(text: Column, spark, model_path: str, limit: int = 4096) -> Column:
     """Struct (n_bytes, n_tokens, over_limit) of every whole text; the model file is read by the driver and broadcast."""
+    bound_batches()
     import sentencepiece
 
     with open(model_path, "rb") as f:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import crc_mod, hash_sample
+from tidemark.llm.common import bound_batches, crc_mod, hash_sample
 
 WORD = re.compile(r"[^\W_](?:[\w@$!*]*[^\W_])?")
 OPENING, CLOSING, SYMMETRIC = "“«„‹‘", "”»“›’", "\""
@@ -36,7 +36,7 @@ OPENING, CLOSING, SYMMETRIC = "“«„‹‘", "”»“›’", "\""
 REPORTING = frozenset("said says wrote writes called quote quoted quotes citing cited dit écrit sagte schrieb dijo escribió".split())
 FEATURES = ("exact", "exact_quoted", "fuzzy", "fuzzy_quoted", "stem", "stem_quoted")
 PRIOR = np.array([-3.0, 4.0, 1.0, 1.5, 0.3, 3.0, 0.8])
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 # Signs that stand for letters.
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 
@@ -298,6 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score_column(model: ToxicityModel, text: Column, spark) -> Column:
     """Score of every whole text, as a column; the model goes to the workers once, as a broadcast."""
+    bound_batches()
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.DoubleType())
