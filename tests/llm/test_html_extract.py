@@ -25,6 +25,17 @@ def test_article_without_semantic_elements():
     assert main_text(page).split("\n\n") == [f"{LONG}{i}" for i in range(6)]
 
 
+@pytest.mark.parametrize("wrap", ["<div>{}</div>", "<section>{}</section>", "<table><tr><td>{}</td></tr></table>"])
+@pytest.mark.parametrize("outer", ["<div id=content>{}</div>", "{}"])
+def test_article_spread_over_long_sections(wrap, outer):
+    want = [f"{i} {j} {LONG * 3}".strip() for i in range(3) for j in range(20)]
+    parts = ["".join(f"<p>{p}</p>" for p in want[20 * i : 20 * i + 20]) for i in range(3)]
+    links = "".join(f"<a href=/{i}>{LONG}</a> " for i in range(4))
+    page = "<body><div>" + links + "</div>" + outer.format("<h2>Head</h2>" + "<h3>Between</h3>".join(map(wrap.format, parts))) + "<div>" + links + "</div></body>"
+    got = main_text(page).split("\n\n")
+    assert [x for x in got if x not in ("Head", "Between")] == want and got[0] == "Head" and got.count("Between") == 2
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<html></html>", "<script>x</script>", "<!-- only -->"])
 def test_nothing_to_extract(html):
     assert main_text(html) == ""

@@ -3,11 +3,12 @@
 A page is read into a tree. Every node gets the characters and tags of its subtree, and how many of
 them belong to links. Its density is characters per tag, adjusted by links: a node whose text is
 mostly link text falls towards zero. Each node is scored by the sum of its children's densities; the
-node with the largest sum marks the article. The smallest density on the path from the body to that
-node is the threshold: the highest ancestor on that path whose own density sum stays within reach of
-the maximum, and whose density meets the threshold, is taken as the subtree. Inside it, menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments are left out by their
-elements, roles and class names, and link lists by their density.
+node with the largest sum marks the article, and an article or main element around it is taken whole.
+Where there is none, the smallest density on the path from the body to that node is the threshold: from
+the body down, every node that reaches it gives the node of the largest sum in its subtree, so an article
+that is spread over several siblings stays whole, with what stands between them. Inside, menus, headers,
+footers, sidebars, notices, adverts, forms and reader comments are left out by their elements, roles and
+class names, and link lists by their density.
 
 Defined results: null or empty html, or a page without text, gives an empty text. Unclosed and
 misnested elements are closed as browsers do (a paragraph ends where the next block begins). Broken
@@ -38,6 +39,8 @@ BLOCK = frozenset(
 )
 CLOSES_PARAGRAPH = BLOCK - frozenset("td th tr tbody thead tfoot body html".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody")}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+TEXTUAL = HEADINGS | frozenset("p blockquote li pre ul ol dl figure".split())
 SCOPE = frozenset("table ul ol dl article section main div body html td th blockquote nav aside header footer form".split())
 BAD_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-?bar|widget\w*|menu\w*|nav\w*|breadcrumbs?|footer|masthead|comments?|respond|disqus|reply|replies|cookie\w*|consent|notice|notification|alert|popup|modal|newsletter|subscribe|subscription|signup|share|sharing|social\w*|related|recommend\w*|toolbar|pagination|pager|skip-?link\w*|login|search-?(?:form|box))(?:$|[\s_-])",
@@ -49,7 +52,7 @@ NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([
 
 
 class Node:
-    __slots__ = ("tag", "names", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "bad")
+    __slots__ = ("tag", "names", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "top", "bad")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.kids = tag, parent, []
@@ -161,28 +164,74 @@ def measure(root: Node) -> Node:
     return body
 
 
+def _raised(x: Node, stop: set[Node]) -> Node:
+    """One paragraph outweighs the sum of its siblings: its container holds the article. Stops below the nodes of ``stop``."""
+    while x.parent is not None and x.parent not in stop and (x.tag not in BLOCK or x.tag in ("p", "blockquote", "li", "pre")):
+        x = x.parent
+    return x
+
+
 def select(body: Node) -> Node:
-    """The subtree with the largest density sum, widened within the threshold of its path to the body."""
-    best, stack = body, [body]
+    """The article or main element around the largest density sum, or else the body pruned to the subtrees that reach the threshold of the path."""
+    order, stack = [], [body]
     while stack:
         x = stack.pop()
-        if x.total > best.total:
-            best = x
+        order.append(x)
         stack += [k for k in x.kids if not isinstance(k, str) and not k.bad]
+    for x in reversed(order):
+        x.top = max([x, *(k.top for k in x.kids if not isinstance(k, str) and not k.bad)], key=lambda t: t.total)
+    best = body.top
     path = [best]
     while path[-1] is not body and path[-1].parent is not None:
         path.append(path[-1].parent)
-    threshold = min(x.density for x in path)
-    chosen = best
+    home = best if best.tag in ("article", "main") else None
     for x in path[1:]:
-        if x.tag in ("article", "main") or x.tag not in ("body", "html") and x.density >= threshold and x.total >= 0.5 * best.total:
-            chosen = x
+        home = x if x.tag in ("article", "main") else home
         if x.tag == "article":
             break
-    if chosen.tag == "p" or chosen.tag not in BLOCK:  # one paragraph outweighs the sum of its siblings: its container holds the article
-        while chosen.parent is not None and chosen is not body and (chosen.tag not in BLOCK or chosen.tag in ("p", "blockquote", "li", "pre")):
-            chosen = chosen.parent
-    return chosen
+    if home is not None:
+        return home
+    threshold = min(x.density for x in path)
+    for x in path[1:]:  # an ancestor that adds little to the best sum is its frame
+        if x.tag not in ("body", "html") and x.total >= 0.5 * path[0].total:
+            best = x
+    best = _raised(best, set())
+    if best is body:
+        return best
+    above, marked = set(path[path.index(best) + 1 :]), {best}
+    stack = [body] if threshold > 0 else []
+    while stack:
+        x = stack.pop()
+        if x in marked:
+            continue
+        if x not in above:
+            marked.add(_raised(x.top, above))
+        stack += [k for k in x.kids if not isinstance(k, str) and not k.bad and k.density >= threshold]
+    _prune(body, marked)
+    return body
+
+
+def _prune(body: Node, marked: set[Node]) -> None:
+    """Leaves below the body the marked subtrees, what stands between them, and the headings and loose text that belong to them."""
+    holds = set()
+    for x in marked:
+        while x is not None and x not in holds:
+            holds.add(x)
+            x = x.parent
+    stack = [body]
+    while stack:
+        x = stack.pop()
+        if x in marked:
+            continue
+        at = [i for i, k in enumerate(x.kids) if not isinstance(k, str) and k in holds]
+        first, last = at[0], at[-1]
+        stack += [x.kids[i] for i in at]
+        if first < last:  # the article is spread over this node
+            x.kids = [k for i, k in enumerate(x.kids) if first <= i <= last or isinstance(k, str) or k.tag in TEXTUAL and 2 * k.link_chars <= k.chars]
+            continue
+        while first and (isinstance(k := x.kids[first - 1], str) and not k.strip() or not isinstance(k, str) and k.tag in HEADINGS):
+            first -= 1
+        x.kids = x.kids[first : last + 1]
 
 
 def blocks(top: Node) -> list[str]:
