@@ -36,6 +36,27 @@ def test_article_spread_over_long_sections(wrap, outer):
     assert [x for x in got if x not in ("Head", "Between")] == want and got[0] == "Head" and got.count("Between") == 2
 
 
+ARTICLE = "".join(f"<p>{i} {LONG}</p>" for i in range(5))
+ARTICLE_TEXT = "\n\n".join(f"{i} {LONG}".strip() for i in range(5))
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "site-main with-sidebar", "post type-notice", "layout-sidebar", "page_menu"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "{}", "<div class='main-widget'>{}</div>", "<form>{}</form>"])
+def test_names_of_wrappers_do_not_count(name, inner):
+    page = f"<body><div class=sidebar>{LONG}</div><div class='{name}'>{inner.format(ARTICLE)}<div class=share>{LONG}</div></div><div class=comments><p>{LONG}</p></div></body>"
+    assert main_text(page) == ARTICLE_TEXT
+
+
+def test_long_comments_are_no_wrapper():
+    assert main_text(f"<body><div><h1>A</h1><p>{LONG}</p></div><div id=comments>{ARTICLE * 20}</div></body>") == f"A\n\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("start", ["<html><head><title>T</title>", "<head><meta charset=x><style>p{}</style><noscript><link></noscript>", "<html><head><title>T</title><body>", "<title>T</title>", "<html><head><title>T</title></head>"])
+def test_head_ends_at_the_first_content(start):
+    assert main_text(start + ARTICLE) == ARTICLE_TEXT
+    assert main_text(start + "Plain text.") == "Plain text."
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<html></html>", "<script>x</script>", "<!-- only -->"])
 def test_nothing_to_extract(html):
     assert main_text(html) == ""

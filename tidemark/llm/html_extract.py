@@ -8,16 +8,20 @@ Where there is none, the smallest density on the path from the body to that node
 the body down, every node that reaches it gives the node of the largest sum in its subtree, so an article
 that is spread over several siblings stays whole, with what stands between them. Inside, menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments are left out by their elements, roles and
-class names, and link lists by their density.
+class names, and link lists by their density. Names that only say what a page has or lacks (``has-``,
+``no-``, ``with-``) don't count, and neither do names and forms around nearly all of the text.
 
 Defined results: null or empty html, or a page without text, gives an empty text. Unclosed and
-misnested elements are closed as browsers do (a paragraph ends where the next block begins). Broken
+misnested elements are closed as browsers do (a paragraph ends where the next block begins, the head
+where the first content does). Broken
 markup never raises: a ``<`` that opens no tag is text. Whole pages are read at any length.
 """
 
 from __future__ import annotations
 
+import heapq
 import html as entities
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -46,36 +50,49 @@ BAD_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-?bar|widget\w*|menu\w*|nav\w*|breadcrumbs?|footer|masthead|comments?|respond|disqus|reply|replies|cookie\w*|consent|notice|notification|alert|popup|modal|newsletter|subscribe|subscription|signup|share|sharing|social\w*|related|recommend\w*|toolbar|pagination|pager|skip-?link\w*|login|search-?(?:form|box))(?:$|[\s_-])",
     re.I,
 )
+OTHERS_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|respond|disqus|reply|replies)(?:$|[\s_-])", re.I)
+LAYOUT_NAMES = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-]\S*", re.I)
+HEAD = frozenset("base basefont bgsound link meta noscript script style template title head".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "names", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "top", "bad")
+    __slots__ = ("tag", "names", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "top", "bad", "named")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.kids = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.bad = tag in HIDDEN or tag in BOILERPLATE
+        self.named = ""  # why the node is bad, where that is only a name or a form
+        if tag == "form":
+            self.bad, self.named = False, tag
         if attributes and not self.bad:
             for m in NAMES.finditer(attributes):
                 name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
                 if name in ("class", "id"):
-                    self.bad = self.bad or tag not in ("body", "html", "article", "main") and bool(BAD_NAMES.search(value))
+                    if tag not in ("body", "html", "article", "main") and BAD_NAMES.search(value := LAYOUT_NAMES.sub("", value)):
+                        self.named += " " + value
                 elif name == "role":
                     self.bad = self.bad or value.lower() in BAD_ROLES
                 elif name == "hidden" or value.lower() == "true":
                     self.bad = True
+        if self.bad:
+            self.named = ""
+        self.bad = self.bad or bool(self.named)
 
 
 def parse(html: str) -> Node:
     """Tree of a page; text is kept as strings among the children, entities decoded."""
     root = Node("html", None)
-    node, at, n = root, 0, len(html)
+    node, at, n, begun = root, 0, len(html), False  # begun: the head ended without a body tag
 
     def text(raw: str) -> None:
+        nonlocal node, begun
+        if node.tag == "head" and raw and not raw.isspace():
+            node, begun = root, True
         if raw:
             node.kids.append(entities.unescape(raw) if "&" in raw else raw)
 
@@ -106,8 +123,10 @@ def parse(html: str) -> Node:
             if up is not None and up.parent is not None:
                 node = up.parent
             continue
-        if name in ("html", "body") and node is root:
-            if name == "body":
+        if node.tag == "head" and name not in HEAD:
+            node, begun = root, name not in ("html", "body", "frameset")
+        if name in ("html", "body") and (node is root or begun):
+            if name == "body" and not begun:
                 node.kids.append(new := Node("body", node, m[3]))
                 node = new
             continue
@@ -159,11 +178,53 @@ def measure(root: Node) -> Node:
             base = math.log(x.chars * x.link_chars / rest + slope * x.chars + math.e)
             plain *= math.log(max(1.0, x.chars / x.link_chars * max(1, x.tags) / max(1, x.link_tags)) + 1e-9, base) if base > 1 else 1.0
         x.density = max(0.0, plain)
+    free_wrappers(body)
     for x in order:
         x.total = sum(k.density for k in x.kids if not isinstance(k, str) and not k.bad) + (x.chars - sum(k.chars for k in x.kids if not isinstance(k, str) and k.tag not in HIDDEN) if x.chars else 0)
     return body
 
 
+def free_wrappers(body: Node) -> None:
+    """Names count only for nodes that hold little: what is named bad but holds nearly all text, or half of it and the page's heading or article, is a wrapper."""
+    plain = lambda x: x.chars - x.link_chars
+
+    def scan(top: Node) -> int:
+        """Plain text below a node that is outside the bad ones, whose named ones become candidates."""
+        rest, stack = plain(top), [k for k in top.kids if not isinstance(k, str)]
+        while stack:
+            x = stack.pop()
+            if x.tag in HIDDEN:
+                continue
+            if not x.bad:
+                stack += [k for k in x.kids if not isinstance(k, str)]
+                continue
+            rest -= plain(x)
+            if x.named and plain(x) > 0:
+                heapq.heappush(heap, (-plain(x), next(number), x))
+        return rest
+
+    heap, number = [], itertools.count()
+    rest = scan(body)
+    while heap:
+        size, _, x = heapq.heappop(heap)
+        if -size < rest:
+            return
+        others = OTHERS_NAMES.search(x.named)
+        if 4 * rest <= -size and not others or _encloses(x, ("h1", "main") if others else ("h1", "main", "article")):
+            x.bad = False
+            rest += scan(x)
+
+
+def _encloses(x: Node, tags: tuple[str, ...]) -> bool:
+    stack = [x]
+    while stack:
+        x = stack.pop()
+        if x.tag in tags:
+            return True
+        stack += [k for k in x.kids if not isinstance(k, str) and (not k.bad or k.named)]
+    return False
+
+
 def _raised(x: Node, stop: set[Node]) -> Node:
     """One paragraph outweighs the sum of its siblings: its container holds the article. Stops below the nodes of ``stop``."""
     while x.parent is not None and x.parent not in stop and (x.tag not in BLOCK or x.tag in ("p", "blockquote", "li", "pre")):
