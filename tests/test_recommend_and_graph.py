@@ -1,3 +1,4 @@
+import math
 from math import log2, sqrt
 
 import numpy as np
@@ -124,6 +125,43 @@ def test_reverse_walk_equals_the_forward_walk_times_labels(spark):
     assert graph.reverse_walk(e, lab, threshold=10.0).count() == 0
 
 
+def test_reverse_prediction_weighs_common_personas_down(spark):
+    labels = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "a"), (4, "b")], "user_id long, persona string")
+    scores = spark.createDataFrame([(9, "a", 0.6), (9, "b", 0.4)], "u long, persona string, score double")
+    got = {r["persona"]: r["score"] for r in graph.reverse_prediction(scores, labels).collect()}
+    assert got == pytest.approx({"a": 0.6, "b": 0.8})
+
+
+def slow_gains(edges, labels, chosen):
+    """Criterion 3 of every user that is not chosen, from pairs of users with teleport."""
+    users, names = sorted({u for u, _ in edges}), sorted({p for u, p in labels if u in chosen})
+    du, dt = ({k: sum(x[i] == k for x in edges) for k in {x[i] for x in edges}} for i in (0, 1))
+    step = lambda u, v: 0.999 * sum(1 / du[u] / dt[t] for x, t in edges if x == u and (v, t) in edges) + 0.001 / len(users)
+    q = {p: sum(1 for u, x in labels if u in chosen and x == p) for p in names}
+    gains = {}
+    for u in set(users) - set(chosen):
+        raw = {p: sum(step(u, v) for v, x in labels if v in chosen and x == p) for p in names}
+        share = {p: x / sum(raw.values()) for p, x in raw.items()}
+        gains[u] = sum(-s * math.log(s) + q[p] / sum(q.values()) * math.log(q[p] / sum(q.values()) / s) for p, s in share.items())
+    return gains
+
+
+def test_sampler_ranks_by_information(spark):
+    edges = [(1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (4, 1), (5, 2), (5, 4), (6, 4), (7, 1), (7, 3), (7, 4)]
+    labels = [(1, "a"), (2, "b"), (2, "a"), (3, "c"), (4, "a"), (5, "b"), (6, "c"), (7, "a")]
+    e = spark.createDataFrame(edges, "u long, t long")
+    lab, seeds = spark.createDataFrame(labels, "user_id long, persona string"), spark.createDataFrame([(1,), (2,)], "u long")
+    run = models.sampler_run(e, e, seeds, e.select("u").distinct(), 1, 3, lab).where("round > 0").orderBy("round").collect()
+    chosen = [1, 2]
+    for r in run:
+        gains = slow_gains(set(edges), labels, chosen)
+        assert gains[r["u"]] == pytest.approx(max(gains.values()))
+        chosen.append(r["u"])
+    assert len(chosen) == 5
+    back = [r["u"] for r in models.sampler_run(e, e, seeds, e.select("u").distinct(), 1, 3, lab, reverse=True).where("round = 1").collect()]
+    assert back == [6]  # shares no item with users 1 and 2
+
+
 def test_teleport_and_step(spark):
     _, _, e, _ = toy(spark)
     users = e.select("u").distinct().count()

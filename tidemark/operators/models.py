@@ -231,20 +231,48 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, folds: in
     return df.sparkSession.createDataFrame(rows, "reg double, fold int, auc double")
 
 
-def sampler_run(transitions: DataFrame, edges: DataFrame, seeds: DataFrame, pool: DataFrame, chunk: int, rounds: int) -> DataFrame:
-    """Users chosen for labelling: the seeds, then in each round the chunk that knows fewest unseen items; (u, round)."""
-    from tidemark.operators.graph import coverage_rank
+def _cut(df: DataFrame) -> DataFrame:
+    """The rows in the shared checkpoint folder, without what they come from; kept as they are where no folder is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def sampler_run(transitions: DataFrame, edges: DataFrame, seeds: DataFrame, pool: DataFrame, chunk: int, rounds: int, labels: DataFrame | None = None, criterion: int | None = None, reverse: bool = False) -> DataFrame:
+    """Users chosen for labelling: the seeds, then in each round the best chunk of the pool; (u, round).
+
+    Criterion 3, the default where there are ``labels`` (user_id, persona), takes the largest entropy plus
+    divergence under what the users chosen so far are labelled; criterion 1 takes those who know fewest unseen
+    items. ``reverse`` scores by the reverse walk, where users that no label reaches come first. The walk is
+    summed over ``edges``, which gives what ``transitions`` hold without a row for each pair of users.
+    """
+    from tidemark.operators import graph
+    from tidemark.operators.quality import shares
 
     spark = edges.sparkSession
-    chosen = seeds.select("u", F.lit(0).alias("round"))
+    criterion = criterion or (1 if labels is None else 3)
+    if criterion not in (1, 3) or criterion == 3 and labels is None:
+        raise ValueError("criterion 1, or 3 with labels")
+    table = lambda rows: spark.createDataFrame(rows, "u long, round int").coalesce(1)
+    picked = [(r["u"], 0) for r in seeds.select("u").collect()]
+    if criterion == 3:
+        steps, labels = graph.walk_steps(edges).transform(_cut), labels.transform(_cut)  # rounds don't repeat what these come from
+        users = steps.select("u").distinct().count()
+    pool = pool.select("u").transform(_cut)
     for i in range(1, rounds + 1):
-        known = edges.join(chosen.select("u"), "u", "left_semi").select("t").distinct()
+        chosen = table(picked)
         rest = pool.select("u").join(chosen.select("u"), "u", "left_anti")
-        picked = [r["u"] for r in coverage_rank(rest, edges, known).orderBy(F.asc("unseen"), F.xxhash64("u"), "u").limit(chunk).collect()]
-        if not picked:
+        if criterion == 1:
+            known = edges.join(chosen.select("u"), "u", "left_semi").select("t").distinct()
+            ranked = graph.coverage_rank(rest, edges, known).select("u", (-F.col("unseen")).alias("gain"))
+        else:
+            known = labels.join(chosen.select(F.col("u").alias("user_id")), "user_id", "left_semi").transform(_cut)
+            scores = (graph.reverse_walk(edges, known) if reverse else graph.forward_scores(steps, known, users)).transform(_cut)
+            current = shares(known, "persona").select("persona", F.col("share").alias("q"))
+            ranked = rest.join(graph.information_rank(scores, current, 1e-16 if reverse else 0.0), "u", "left")
+        best = [(r["u"], i) for r in ranked.orderBy(F.desc_nulls_first("gain"), F.xxhash64("u"), "u").limit(chunk).collect()]
+        if not best:
             break
-        chosen = chosen.unionByName(spark.createDataFrame([(u, i) for u in picked], "u long, round int"))
-    return chosen
+        picked += best
+    return table(picked)
 
 
 def save_als(model: ALSModel, users: DataFrame, items: DataFrame, path: str) -> None:

@@ -175,6 +175,13 @@ def reverse_walk(t):
     return rounded(graph.reverse_walk(event_edges(t), label_set(t)), 8)
 
 
+@plan(REVERSE + """, inv AS (SELECT persona, 1.0 / count(*) AS inv FROM label GROUP BY 1)
+SELECT u, persona, round(score * power(inv / (SELECT min(inv) FROM inv), 0.5), 8) AS score FROM reversed JOIN inv USING (persona)""")
+def persona_predict_rev(t):
+    labels = label_set(t)
+    return rounded(graph.reverse_prediction(graph.reverse_walk(event_edges(t), labels), labels), 8)
+
+
 @plan(
     WALK + """, r1 AS (SELECT user_id AS l, persona, 1.0 / n AS r FROM label JOIN per_user USING (user_id) WHERE 1.0 / n >= 0.001 / 3),
 r2 AS (SELECT b.t, persona, sum(r / dt.d) AS r FROM r1 JOIN edges b ON b.u = l JOIN dt ON dt.t = b.t GROUP BY 1, 2 HAVING sum(r / dt.d) >= 0.001 / 3) SELECT e.u, persona, round(sum(r / du.d), 8) AS score FROM r2 JOIN edges e USING (t) JOIN du ON du.u = e.u GROUP BY 1, 2"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import graph, models, recommend
 from tidemark.plans.base import plan, rounded
 from tidemark.plans.features import segment_table
-from tidemark.plans.graphs import event_edges
+from tidemark.plans.graphs import event_edges, label_set
 from tidemark.plans.recommend import encoded, list_recs, truth_of
 from tidemark.streaming import events as stream
 
@@ -101,7 +101,7 @@ def laplacian_embedding(t):
 @plan()
 def sampler_run(t):
     edges = event_edges(t)
-    return models.sampler_run(edges, edges, models.seeded_sample(edges.select("u").distinct(), "u", 6), edges.select("u").distinct(), 10, 3)
+    return models.sampler_run(edges, edges, models.seeded_sample(edges.select("u").distinct(), "u", 6), edges.select("u").distinct(), 10, 3, t.keep("sampler_labels", label_set(t)))
 
 
 @plan("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2", views=False)
