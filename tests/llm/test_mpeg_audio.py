@@ -3,6 +3,7 @@ import struct
 import zlib
 from fractions import Fraction
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -21,6 +22,25 @@ def test_round_trip(data):
     assert s["offsets"] == [o for o in s["offsets"] if media[o] == 0xFF and media[o + 1] == 0xFA]
 
 
+@pytest.mark.parametrize("mark", [b"TAG", b"APETAGEX"])
+@pytest.mark.parametrize("size", [100, 192, 1400, 3000])
+def test_text_that_looks_like_a_tag(mark, size):
+    found = 0
+    for at in range(size - len(mark) + 1):
+        data = b"x" * at + mark + b"x" * (size - len(mark) - at)
+        media = m.encode(data)
+        payload, n, s = m.decode(media)
+        assert payload == m.pad(data) and n == size and s["skipped"] == 0 and s["vbr"]["frames"] == len(s["offsets"])
+        found += s["vbr"]["frames"] > m.parse_stream(m.encode(b"x" * size))["vbr"]["frames"]
+    assert found <= mark.count(b"TAG") + (mark == b"APETAGEX")  # that mark holds the other one
+
+
+def test_lost_payload_is_an_error():
+    media = m.encode(b"x" * 5000)
+    with pytest.raises(ValueError):
+        m.decode(media[:-10])
+
+
 def test_resynchronises_after_junk_and_false_headers():
     media = m.encode(b"\xff\xfb\x90\x00" * 2000)
     s = m.parse_stream(media)

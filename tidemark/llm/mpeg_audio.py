@@ -8,7 +8,8 @@ and the byte offset of every frame for seeking. It reads layers I to III of MPEG
 The writer stores a payload losslessly in a layer III stream whose granules are silent: each frame's
 side information says that no main data is used, so the rest of the frame is ancillary data, and that
 is where the bytes go. Full frames have the highest bit rate; the last frame takes the lowest one that
-holds what is left, so the stream has a variable bit rate, and a first frame holds its Xing table.
+holds what is left, so the stream has a variable bit rate, and a first frame holds its Xing table. Where
+the payload's end would be read as a tag, an empty frame follows.
 
 Defined results: null is stored like empty bytes; equal payloads give equal streams; junk between
 frames is skipped and counted; a stream without a frame has duration 0 and no offsets; a wrong CRC is
@@ -235,6 +236,9 @@ def encode(data: bytes | None) -> bytes:
     if rest:
         bits_at, room = next(x for x in sizes if x[1] >= rest)
         frames.append(_frame_head(bits_at) + payload[full * top :].ljust(room, b"\0"))
+    if frames[-1][-128:-125] == b"TAG" or frames[-1][-32:-24] == b"APETAGEX":  # text that would be read as a tag
+        bits_at, room = sizes[0]
+        frames.append(_frame_head(bits_at) + bytes(room))
     audio = sum(map(len, frames))
     info_at, room = next(x for x in sizes if x[1] >= 116)
     table = bytearray(b"Xing" + struct.pack(">III", 7, len(frames), audio + room + OVERHEAD))
@@ -254,6 +258,8 @@ def decode(media: bytes) -> tuple[bytes, int, dict]:
     stream = parse_stream(media)
     n, _, padded = stream["tags"]["TXXX:n_bytes"].partition("\0")
     body = b"".join(media[o + OVERHEAD : o + size] for o, size in zip(stream["offsets"], stream["lengths"], strict=True))
+    if len(body) < int(padded):
+        raise ValueError(f"{len(body)} of {padded} payload bytes can be read back")
     return body[: int(padded)], int(n), stream
 
 
