@@ -14,11 +14,14 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only a session without that
-    setting (a local test) gets a temporary folder, which then is kept in the session.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local session without that
+    setting (a test) gets a temporary folder, which then is kept in the session; a cluster without it is
+    refused, as its executors would not see the driver's folder.
     """
     found = spark.conf.get(CHECKPOINT_KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")
@@ -77,6 +80,16 @@ def hash_sample(df: DataFrame, id_col: str, at_most: int, salt: int = 0, total:
     return df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(1 << 30)) < cut)
 
 
+def at_most_rows(df: DataFrame, rows: int, *key_cols: str) -> DataFrame:
+    """The first ``rows`` rows in the order of a hash of the key columns: a hard bound where a sampled id repeats."""
+    return df.orderBy(F.xxhash64(*key_cols)).limit(rows)
+
+
+def in_fold(id_col: str | Column, modulus: int, fold: int) -> Column:
+    """Whether a row's fold is ``fold``; a null id is in none."""
+    return F.coalesce(crc_mod(id_col, modulus) == fold, F.lit(False))
+
+
 def utf8_words(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, as UTF-8."""
     return text.encode("utf-8").lower().split()

@@ -3,11 +3,14 @@
 The scripts of a text's letters narrow the candidate languages. Each word then has a log-score per
 candidate (whole-word counts backed off to letter trigrams), and a Viterbi pass with a penalty for
 every switch of language labels spans of mixed text. A document's language is the one whose spans
-hold the most score-bearing letters.
-
-Defined results: a null text, or one with no letter, is ``und`` with score 0; ties go to the first
-language in code-point order; letters of a script that no learned language uses are ``und``. Texts
-are read whole at any length. Extra columns are never read.
+hold the most letters of words that tell languages apart.
+
+Defined results: a null text, or one with no letter, is ``und`` with score 0, and so is every text if no
+language was learned; ties go to the first language in code-point order. Words of a script that no
+learned language uses are in ``und`` spans. A text with letters always gets a learned language: where no
+word tells languages apart, that of its longest spans (the first language, if it has none) with score 0.
+A null id is in no fold, so its row is not held out, and is not learned from. Texts are read whole at any
+length. Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -23,13 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import bound_batches, crc_mod, hash_sample
+from tidemark.llm.common import at_most_rows, bound_batches, crc_mod, hash_sample
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 CACHE_WORDS = 250_000
-ALPHABET = 126  # commonest letters of the training texts; 0 stands for all others, 1 for a word's edge
-SIDE = ALPHABET + 2
+ALPHABET = 96  # commonest letters of the training texts, with a number each
+RARE = 30  # numbers that all other letters share by a hash of the code point
+SIDE = ALPHABET + RARE + 2  # 0 stands for signs that are no letters, 1 for a word's edge
 # First and last code point of the main blocks of each script.
 SCRIPTS = {
     "latin": ((0x41, 0x24F), (0x1E00, 0x1EFF)),
@@ -108,6 +112,11 @@ class LanguageModel:
         score[~usable.any(axis=1)] = 0
         return score
 
+    def usable(self, words: list[str]) -> np.ndarray:
+        """Whether some language uses the script that each word starts with."""
+        firsts = np.fromiter((min(ord(w[0]), len(SCRIPT_OF) - 1) for w in words), dtype=np.int64, count=len(words))
+        return self.uses[SCRIPT_OF[firsts]].any(axis=1)
+
     def rows_of(self, words: list[str]) -> np.ndarray:
         """Row of the score table for every word (0: no candidate language), through a cache of bounded size."""
         if self._table is None or len(self._index) > CACHE_WORDS:
@@ -120,24 +129,28 @@ class LanguageModel:
             if last > len(self._table):
                 self._table = np.concatenate([self._table, np.zeros((max(len(self._table), last - len(self._table)), len(self.langs)))])
             self._table[first:last] = score
-            known = score.any(axis=1) if len(self.langs) > 1 else np.array([self.uses[SCRIPT_OF[min(ord(w[0]), len(SCRIPT_OF) - 1)]].any() for w in new])
-            index.update(zip(new, np.where(known, np.arange(first, last), 0).tolist(), strict=True))
+            index.update(zip(new, np.where(self.usable(new), np.arange(first, last), 0).tolist(), strict=True))
         return np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
 
     def label(self, words: list[str]) -> np.ndarray:
-        """Viterbi path: the language of every word (-1 where no candidate is left).
+        """Viterbi path: the language of every word (-1 where no candidate is left)."""
+        return self._path(self.rows_of(words))
+
+    def _path(self, at: np.ndarray) -> np.ndarray:
+        """Viterbi path over rows of the score table.
 
-        Where no stretch of words gains more than one switch costs over the best single language, the
-        constant path is optimal and the dynamic programme is not run.
+        The constant path of the best single language is optimal, and the dynamic programme is not run, where
+        no stretch of words gains more than half a switch in another language. A path with k runs of other
+        languages has k - 1 switches or more; with one it is no better than the constant path, or has a switch,
+        and with k >= 2 it gains at most k/2 switches, which is not more than k - 1.
         """
-        at = self.rows_of(words)
-        table = self._table[at]
         if not at.any():
-            return np.full(len(words), -1)
+            return np.full(len(at), -1)
+        table = self._table[at]
         best = int(table.sum(axis=0).argmax())
         gain = np.cumsum(table - table[:, [best]], axis=0)
         low = np.minimum.accumulate(np.vstack([np.zeros((1, len(self.langs))), gain]), axis=0)[:-1]
-        path = np.full(len(words), best) if (gain - low).max() <= self.switch_penalty else self._viterbi(table)
+        path = np.full(len(at), best) if (gain - low).max() <= self.switch_penalty / 2 else self._viterbi(table)
         path[at == 0] = -1
         return path
 
@@ -172,18 +185,19 @@ class LanguageModel:
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language with most labelled letters, and its share of all letters."""
+        """The language with most letters in words that tell languages apart, and their share of all letters."""
         words = LETTERS.findall(text.lower()) if text else []
-        if not words:
-            return UNDETERMINED, 0.0
-        if not self.langs:
+        if not self.langs or not any(any(map(str.isalpha, w)) for w in words):
             return UNDETERMINED, 0.0
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        held = np.bincount(self.label(words) + 1, weights=size, minlength=len(self.langs) + 1)[1:]
-        if not held.any():
-            return UNDETERMINED, 0.0
-        best = int(held.argmax())
-        return self.langs[best], float(held[best] / size.sum())
+        at = self.rows_of(words)
+        path = self._path(at)
+        told = np.where(self._table[at].any(axis=1) | (len(self.langs) == 1), size, 0)
+        held = np.bincount(path + 1, weights=told, minlength=len(self.langs) + 1)[1:]
+        if held.any():
+            best = int(held.argmax())
+            return self.langs[best], float(held[best] / size.sum())
+        return self.langs[int(np.bincount(path + 1, weights=size, minlength=len(self.langs) + 1)[1:].argmax())], 0.0
 
 
 def fit(rows: list[tuple[str, str]], min_count: int = 2, frequent: int = 20) -> LanguageModel:
@@ -197,7 +211,7 @@ def fit(rows: list[tuple[str, str]], min_count: int = 2, frequent: int = 20) ->
         for w, n in c.items():
             for ch in set(w):
                 held[ch] += n
-    letters = np.zeros(len(SCRIPT_OF), dtype=np.uint8)
+    letters = (2 + ALPHABET + (np.arange(len(SCRIPT_OF)) * 2654435761 >> 16) % RARE).astype(np.uint8)
     letters[0] = 1
     for i, ch in enumerate(sorted(held, key=lambda ch: (-held[ch], ch))[:ALPHABET]):
         letters[min(ord(ch), len(letters) - 1)] = i + 2
@@ -230,13 +244,14 @@ def fit(rows: list[tuple[str, str]], min_count: int = 2, frequent: int = 20) ->
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_out_fold: int = 1, sample_rows: int = 3000) -> LanguageModel:
-    """Fit on at most about ``sample_rows`` rows with a language, never from the held-out fold.
+    """Fit on about ``sample_rows`` rows with a language, never from the held-out fold, and on twice as many at most.
 
-    The bound is documented and does not depend on the size of the table.
+    The bound is documented and does not depend on the size of the table, nor on how often an id repeats.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, folds) != held_out_fold))
     texts = known.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang"))
-    rows = hash_sample(texts, "__id", sample_rows, total=known.select(id_col, lang_col).count()).where(F.col("__text").isNotNull()).collect()
+    picked = hash_sample(texts, "__id", sample_rows, total=known.select(id_col, lang_col).count()).where(F.col("__text").isNotNull())
+    rows = at_most_rows(picked, 2 * sample_rows, "__id", "__lang", "__text").collect()
     rows.sort(key=lambda r: (r["__id"], r["__lang"], r["__text"]))
     return fit([(r["__text"], r["__lang"]) for r in rows])
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, html_extract, langid, mixing, mpeg_audio, simhash, token_counts, toxicity, url_filter, warc
-from tidemark.llm.common import crc_mod
+from tidemark.llm.common import in_fold
 
 TOXIC_AT = 0.3
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = docs.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), toxicity.score_column(model, F.col("text"), spark).alias("score"))
+    scored = docs.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), toxicity.score_column(model, F.col("text"), spark).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= TOXIC_AT).cast("int"))
 
 
@@ -33,7 +33,7 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs)
-    found = docs.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), langid.predict_column(model, F.col("text"), spark).alias("p"))
+    found = docs.select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), langid.predict_column(model, F.col("text"), spark).alias("p"))
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
