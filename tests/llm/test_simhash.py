@@ -3,6 +3,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
 
@@ -79,6 +80,21 @@ def test_long_chain_becomes_one_component(spark):
     assert {r["component"] for r in simhash.components(edges).collect()} == {0}
 
 
+def test_rounds_that_run_out_raise(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        simhash.components(edges, max_rounds=2)
+
+
+def test_rows_without_an_id_link_like_any_other(spark, monkeypatch):
+    prints = {"a": 0, "bridge": 0b111, "b": 0b111111, "far": (1 << 64) - 1, "lone": 0xFFFF}
+    rows = [("x", "a"), (None, "bridge"), ("k", "b"), (None, "far"), ("z", "lone")]
+    column = lambda text: F.create_map(*[F.lit(v) for k, p in prints.items() for v in (k, simhash.signed(p))])[text]
+    monkeypatch.setattr(simhash, "fingerprint_column", column)
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {("x", "k"), (None, "k"), ("k", "k"), (None, None), ("z", "z")}
+
+
 def test_query_on_odd_rows(spark, odd_docs, no_docs):
     got = simhash.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()

@@ -15,7 +15,9 @@ tables in the shared folder; nothing but counts reaches the driver.
 
 Defined results: null and empty texts, and texts without words, have fingerprint zero and link like
 any other; texts of fewer words than a shingle are one shingle; repeated rows come back as many times;
-an empty table gives an empty result.
+a row without an id links like any other, so it may bridge two classes, and its class is named by the
+smallest id there is, or null if there is none; an empty table gives an empty result. Ids are of any type
+that has an order.
 """
 
 from __future__ import annotations
@@ -164,7 +166,8 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, component) for every node of the edges (a, b): the smallest node it can reach.
 
     Alternating large-star and small-star steps; each round's edges are a table in the shared folder, and
-    rounds end when neither count nor checksum of the edges changes.
+    rounds end when neither count nor checksum of the edges changes. The number of rounds grows with the
+    logarithm of the longest chain; edges that still change after ``max_rounds`` raise an error.
     """
     spark = edges.sparkSession
     now, path = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -182,13 +185,17 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
+    else:
+        raise RuntimeError(f"the components still change after {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, bucket_limit: int = 1024) -> DataFrame:
     """doc_id, fp (signed long), component_id for every row: classes of fingerprints within ``radius`` bits."""
     prints, _ = materialise(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), "prints")
-    nodes, _ = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("nid")), "nodes")
-    found = components(candidate_edges(nodes.where("nid is not null"), radius, bucket_limit))
-    classes = nodes.join(found, F.col("nid") == F.col("node"), "left").select("fp", F.coalesce("component", "nid").alias("component_id"))
+    nodes, _ = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    found = components(candidate_edges(nodes.select(F.col("fp").alias("nid"), "fp"), radius, bucket_limit))
+    named = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = named.join(least, "component").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
