@@ -36,27 +36,51 @@ def test_rules_equal_brute_force(spark):
         assert r["verdict"] == (action or "allow")
 
 
-def slow_rank(weights, edges, damping, rounds):
-    out = {}
-    for s, d in edges:
-        out.setdefault(s, []).append(d)
-    now = {h: w * (1 - damping) for h, w in weights.items() if w > 0}
-    start = dict(now)
+@pytest.mark.parametrize("as_table", [False, True])
+def test_joined_rules_equal_expressions(spark, as_table):
+    rules = [*RULES, ("block", "com", "/"), ("allow", "x.com", ""), ("block", "c.com", "/x"), ("block", "com", "/xy"), ("allow", "ö.com", "/a"), ("block", "ü.ö.com", "/a b")]
+    urls = [*URLS, "http://x.com/xyz", "http://a.b.c.com/xy/z", "http://c.com/x", "http://.com/", "http://com./", "http://a..com/xy"]
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)] + [(0, urls[0], "")], PAGES)
+    want = sorted(map(str, url_filter.judge(df, rules).collect()))
+    given = url_filter.rule_table(spark, rules) if as_table else rules
+    assert sorted(map(str, url_filter.judge(df, given, expression_rules=2).collect())) == want
+    many = [("block", f"h{i}.org", "/") for i in range(3000)]
+    assert [r["rule"] for r in url_filter.judge(spark.createDataFrame([(1, "http://www.h2999.org/a", None)], PAGES), many).collect()] == ["h2999.org/"]
+
+
+def slow_rank(weights, shares, damping, rounds=400):
+    moved = {h: w * (1 - damping) for h, w in weights.items() if w > 0}
+    score = dict(moved)
     for _ in range(rounds):
-        new = dict(start)
-        for h, x in now.items():
-            for d in out.get(h, ()):
-                new[d] = new.get(d, 0) + damping * x / len(out[h])
-        now = new
-    return now
-
-
-def test_propagation_equals_brute_force(spark):
+        new = {}
+        for frm, to, share in shares:
+            if frm in moved:
+                new[to] = new.get(to, 0) + damping * moved[frm] * share
+        moved = new
+        for h, x in moved.items():
+            score[h] = score.get(h, 0) + x
+    return score
+
+
+@pytest.mark.parametrize("hub_edges", [1000, 2])
+@pytest.mark.parametrize("against", [False, True])
+def test_propagation_equals_brute_force(spark, against, hub_edges):
     edges = [(f"h{a}", f"h{b}") for a in range(8) for b in range(8) if a != b and (a * 3 + b) % 4 == 0]
+    out = {a: sum(x == a for x, _ in edges) for a, _ in edges}
+    shares = [(b, a, 1 / out[a]) if against else (a, b, 1 / out[a]) for a, b in edges]
     weights = {"h0": 1.0, "h3": 0.5, "h7": 0.0}
     seeds = spark.createDataFrame(list(weights.items()), "host string, weight double")
-    got = {r["host"]: r["score"] for r in url_filter.propagate(seeds, spark.createDataFrame(edges, "src string, dst string"), 0.85, 7, every=3).collect()}
-    assert got == pytest.approx(slow_rank(weights, edges, 0.85, 7))
+    found = url_filter.propagate(seeds, spark.createDataFrame(shares, "frm string, to string, share double"), 0.85, 1e-4, every=4, hub_edges=hub_edges)
+    assert {r["host"]: r["score"] for r in found.collect()} == pytest.approx(slow_rank(weights, shares, 0.85), abs=1e-3)
+
+
+@pytest.mark.parametrize("hosts", [1, 2, 12])
+def test_a_farm_of_any_size_is_blocked(spark, hosts):
+    rows = [(0, "http://spam.net/es/", None)]
+    rows += [(1 + i, f"http://farm{i}.org/", f'<a href="http://spam.net/x">x</a><a href="http://farm{(i + 1) % hosts}.org/">y</a>') for i in range(hosts)]
+    rows += [(100, "http://news.org/", "".join(f'<a href="http://{h}/">x</a>' for h in ("spam.net", "a.org", "b.org", "c.org")))]
+    verdict = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, PAGES), RULES).collect()}
+    assert {verdict[i] for i in range(hosts + 1)} == {"block"} and verdict[100] == "allow"
 
 
 def test_distrust_reaches_those_who_link_to_blocked_hosts(spark):

@@ -80,31 +80,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_html_extract, op3_language_id, op4_mpeg_audio, op5_simhash, op6_token_counts, op7_url_filter, op8_mixing, op9_warc, op10_decontaminate)}
 
 
-def _spread_sql(name: str, column: str, source: str, target: str, damping: float = 0.85, rounds: int = 10) -> str:
-    """CTEs for the rounds of one propagation; the last is called ``name``."""
-    parts = [f"{name}_deg AS (SELECT {source} AS h, count(*) AS d FROM edges GROUP BY 1)", f"{name}_0 AS (SELECT host, {1 - damping} * {column} AS s FROM seeds WHERE {column} > 0)"]
-    for i in range(1, rounds + 1):
-        parts.append(f"{name}_{i} AS (SELECT host, sum(s) AS s FROM (SELECT * FROM {name}_0 UNION ALL SELECT e.{target}, {damping} * x.s / d FROM {name}_{i - 1} x JOIN {name}_deg ON h = x.host JOIN edges e ON e.{source} = x.host) GROUP BY 1)")
-    return ", ".join([*parts, f"{name} AS (SELECT * FROM {name}_{rounds})"])
+def _spread_sql(name: str, column: str, source: str, target: str, damping: float = 0.85, tolerance: float = 1e-3) -> str:
+    """CTEs for one propagation over all its rounds; the last is called ``name``."""
+    start = f"SELECT 0 AS n, host, {1 - damping} * {column} AS moved FROM seeds WHERE {column} > 0"
+    step = f"SELECT n + 1, e.{target}, sum({damping} * moved * share) FROM {name}_moves x JOIN links e ON e.{source} = x.host WHERE n < {url_filter.max_rounds(damping, tolerance)} GROUP BY 1, 2"
+    return f"{name}_moves AS ({start} UNION ALL {step}), {name} AS (SELECT host, sum(moved) AS s FROM {name}_moves GROUP BY 1)"
 
 
 def _url_filter_sql() -> str:
     host = "translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    rules = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    rules = url_filter.rule_order(RULES)
     fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in rules]
     cases = lambda value: "CASE " + " ".join(f"WHEN {f} THEN '{value(r)}'" for f, r in zip(fits, rules, strict=True)) + " END"
     link = url_filter.LINK.replace("'", "''")
     return f"""
-WITH own AS (
+WITH RECURSIVE own AS (
   SELECT page_id, html, coalesce({host.format("url")}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
 ), ruled AS (
   SELECT page_id, html, host, path, {cases(lambda r: r[1] + r[2])} AS rule, {cases(lambda r: r[0])} AS action FROM own
 ), seeds AS (
   SELECT host, avg(CASE WHEN action = 'allow' THEN 1.0 ELSE 0.0 END) AS trust, avg(CASE WHEN action = 'block' THEN 1.0 ELSE 0.0 END) AS distrust FROM ruled WHERE host <> '' GROUP BY 1
-), links AS (
+), found AS (
   SELECT host AS src, 'x://' || regexp_replace(unnest(regexp_extract_all(html, '{link}', 1)), '(?i)^(?:[a-z][a-z0-9+.-]*:)?//', '') AS u FROM ruled
 ), edges AS (
-  SELECT DISTINCT src, dst FROM (SELECT src, {host.format("u")} AS dst FROM links) WHERE src <> '' AND dst <> '' AND src <> dst
+  SELECT DISTINCT src, dst FROM (SELECT src, {host.format("u")} AS dst FROM found) WHERE src <> '' AND dst <> '' AND src <> dst
+), links AS (
+  SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS share FROM edges
 ), {_spread_sql("good", "trust", "src", "dst")}, {_spread_sql("bad", "distrust", "dst", "src")}, blocked AS (
   SELECT bad.host FROM bad LEFT JOIN good USING (host) WHERE bad.s > coalesce(good.s, 0) AND bad.s > 0.5 * {1 - 0.85}
 )
