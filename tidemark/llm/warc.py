@@ -6,15 +6,16 @@ Spark's own text writer, whose line separator is the blank line that ends a reco
 plain concatenated records in any file system Spark knows, and a lost executor's files are written
 again by the commit protocol.
 
-Index: archives are read back record by record, digests are verified, and each record gives an entry
-keyed by its host-reversed URL. Entries are sorted by range partitioning (the id breaks ties, so one
-hot host spreads over partitions) and packed into compressed blocks of ``block_entries``; a sparse
-directory keeps the first key of every block. A lookup searches the directory for the block, the block
-for the entry, and reads the record's byte range only.
+Index: archives are streamed back, a file to a task and a record at a time, so files and records may be of any
+size; digests are verified, and each record gives an entry keyed by its host-reversed URL. Entries are
+sorted by range partitioning (the id breaks ties, so one hot host spreads over partitions) and packed into
+compressed blocks of ``block_entries``; a sparse directory keeps the first key of every block. A lookup
+finds the block in the directory and the entry in the block by binary search, and reads the record's byte
+range only; captures come one after another, so a key may have any number of them.
 
 Defined results: null html is stored like empty html, and both are equal payloads; a null url gives a
-record without a target URI, under the empty key; control characters of a url are percent-encoded in
-the header; rows that repeat an id with an equal payload are all responses if no smaller id has it;
+record without a target URI, under the empty key; spaces and control characters of a url are percent-encoded, in
+the header as in lookups, and all others stay as they are; rows that repeat an id with an equal payload are all responses if no smaller id has it;
 payloads of any length are stored whole; an empty table gives no archives and an empty index.
 """
 
@@ -25,18 +26,21 @@ import hashlib
 import json
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import materialise, new_path
+from tidemark.llm.common import BATCH_KEY, materialise, new_path
 
 SEPARATOR = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
+#: Characters that a header line can't hold, or that end a URL.
+UNSAFE = [chr(i) for i in (*range(0x21), 0x7F)]
 BASE32_DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -54,17 +58,25 @@ def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     return keyed.join(first, "digest").where("page_id > refers_to").distinct()
 
 
+def encoded(char: str) -> str:
+    return f"%{ord(char):02X}"
+
+
+def safe_url(url: Column) -> Column:
+    """The url with its spaces and control characters percent-encoded, and nothing else."""
+    return F.when(url.rlike(r"[\x00-\x20\x7F]"), reduce(lambda u, c: F.replace(u, F.lit(c), F.lit(encoded(c))), UNSAFE, url)).otherwise(url)
+
+
 def record_column(page_id: Column, url: Column, payload: Column, digest: Column, refers_to: Column) -> Column:
     """Bytes of a record without the blank line that ends it, as a string."""
     eol, n = F.lit("\r\n"), F.octet_length(payload)
-    safe = F.when(url.rlike(r"[\x00-\x20\x7F]"), F.regexp_replace(F.url_encode(url), r"\+", "%20")).otherwise(url)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), n.cast("string"), F.lit("\r\n\r\n"))
     revisit = refers_to.isNotNull()
     body = F.when(revisit, http).otherwise(F.concat(http, payload))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), eol,
         F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(f">\r\nWARC-Date: {DATE}\r\n"),
-        F.coalesce(F.concat(F.lit("WARC-Target-URI: "), safe, eol), F.lit("")),
+        F.coalesce(F.concat(F.lit("WARC-Target-URI: "), safe_url(url), eol), F.lit("")),
         F.lit("WARC-Payload-Digest: sha1:"), digest, eol,
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), refers_to.cast("string"), F.lit(">\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
@@ -89,17 +101,22 @@ def url_key(url: str | None) -> str:
     """Host-reversed key of a URL: ``http://www.a.org/b?c`` is ``org,a)/b?c``."""
     if not url:
         return ""
+    url = "".join(encoded(c) if c in UNSAFE else c for c in url)
     m = re.match(r"(?:[a-zA-Z][\w+.-]*://)?([^/?#]*)([^#]*)", url)
     host = m[1].rpartition("@")[2].partition(":")[0].lower()
     return ",".join(reversed(host.removeprefix("www.").split("."))) + ")" + (m[2] or "/").lower()
 
 
+def headers(raw: bytes) -> dict:
+    return dict(line.split(": ", 1) for line in raw.decode("utf-8").split("\r\n")[1:])
+
+
 def read_record(data: bytes, at: int) -> tuple[dict, bytes, int]:
     """Headers, block and end (with its blank line) of the record at an offset."""
     cut = data.find(b"\r\n\r\n", at)
     if cut < 0 or not data.startswith(b"WARC/", at):
         raise ValueError(f"no WARC record at {at}")
-    head = dict(line.split(": ", 1) for line in data[at:cut].decode("utf-8").split("\r\n")[1:])
+    head = headers(data[at:cut])
     start, n = cut + 4, int(head["Content-Length"])
     end = start + n
     if data[end : end + 4] != b"\r\n\r\n":
@@ -123,23 +140,64 @@ ENTRIES = T.StructType(
 )
 
 
+class Records:
+    """Records of one archive from pieces of its bytes that come in order; a record is given out when it is whole."""
+
+    def __init__(self):
+        self.held, self.offset, self.need = bytearray(), 0, 0
+
+    def add(self, piece: bytes) -> Iterator[tuple[dict, bytes, int, int]]:
+        """Headers, block, offset and length of each record that the piece completes."""
+        self.held += piece
+        while len(self.held) > self.need:
+            if not self.need:
+                cut = self.held.find(b"\r\n\r\n")
+                if cut < 0:
+                    return
+                self.need = cut + 4 + int(headers(self.held[:cut])["Content-Length"]) + 3
+                continue
+            head, block, end = read_record(self.held, 0)
+            yield head, bytes(block), self.offset, end
+            del self.held[:end]
+            self.offset, self.need = self.offset + end, 0
+
+    def close(self) -> None:
+        if self.held:
+            raise ValueError(f"the archive ends within the record at {self.offset}")
+
+
 def scan_archives(spark: SparkSession, path: str) -> DataFrame:
-    """An entry for every record of the archives below ``path``, read back from their bytes."""
+    """An entry for every record of the archives below ``path``, read back from their bytes and kept as a table.
+
+    Spark's text reader cuts the files at blank lines, wherever these stand; the pieces of a file are put
+    together again record by record. A file is one task: a session of its own keeps the reader from splitting or
+    packing files.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for name, data in zip(files["path"], files["content"], strict=True):
-                data, at, out = bytes(data), 0, []
-                while at < len(data):
-                    head, block, end = read_record(data, at)
+        name, records = None, Records()
+        for batch in batches:
+            out = []
+            for file, piece in zip(batch["file"], batch["piece"], strict=True):
+                if file != name:
+                    records.close()
+                    name, records = file, Records()
+                for head, block, offset, length in records.add(bytes(piece) + SEPARATOR.encode()):
                     e = describe(head, block)
-                    out.append((url_key(e["url"]), e["page_id"], e["url"], e["type"], e["digest"], e["bytes"], e["refers_to"], name, at, end - at))
-                    at = end
-                frame = pd.DataFrame(out, columns=ENTRIES.names)
-                yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInPandas(scan, ENTRIES)
+                    out.append((url_key(e["url"]), e["page_id"], e["url"], e["type"], e["digest"], e["bytes"], e["refers_to"], name, offset, length))
+            if out:
+                yield pd.DataFrame(out, columns=ENTRIES.names).astype({"page_id": "Int64", "refers_to": "Int64"})
+        records.close()
+
+    own = spark.newSession()
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        own.conf.set(key, str(1 << 50))
+    own.conf.set(BATCH_KEY, "1000")
+    lines = own.read.option("lineSep", SEPARATOR).option("pathGlobFilter", "part-*").text(path)
+    pieces = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
+    target = new_path(spark, "entries")
+    pieces.mapInPandas(scan, ENTRIES).write.parquet(target)
+    return spark.read.schema(ENTRIES).parquet(target)
 
 
 BLOCKS = T.StructType([T.StructField(n, t) for n, t in (("first_key", T.StringType()), ("first_id", T.LongType()), ("last_key", T.StringType()), ("entries", T.LongType()), ("block", T.StringType()), ("data", T.BinaryType()))])
@@ -198,21 +256,51 @@ def read_range(spark: SparkSession, file: str, offset: int, length: int) -> byte
         stream.close()
 
 
-def lookup(spark: SparkSession, path: str, url: str) -> list[tuple[dict, bytes]]:
-    """Headers and block of every capture of a URL: directory, then block, then byte range."""
-    key = url_key(url)
-    directory = spark.read.parquet(f"{path}/directory").where((F.col("first_key") <= key) & (F.col("last_key") >= key))
-    wanted = [r["block"] for r in directory.select("block").collect()]
-    out = []
-    for row in spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where(F.col("block").isin(wanted)).select("data").collect() if wanted else []:
-        entries = decode_block(bytes(row["data"]))
-        keys = [e[0] for e in entries]
-        at = bisect_right(keys, key) - 1
-        while at >= 0 and keys[at] == key:
-            head, block, _ = read_record(read_range(spark, entries[at][7], entries[at][8], entries[at][9]), 0)
-            out.append((head, block))
-            at -= 1
-    return out
+class CaptureIndex:
+    """Lookups in an index: binary search in the directory, then in a block, then a byte range of an archive.
+
+    A directory of up to ``top_rows`` blocks is held by the driver. Of a larger one the driver holds a sample, chosen by a
+    hash, and reads the part between two neighbours of the sample when it is asked for a key there.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, top_rows: int = 100_000):
+        self.spark, self.blocks = spark, spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+        self.directory = spark.read.schema(T.StructType([f for f in BLOCKS if f.name != "data"])).parquet(f"{path}/directory").select("first_key", "first_id", "block")
+        step = -(-self.directory.count() // top_rows)
+        self.whole = step <= 1
+        top = self.directory if self.whole else self.directory.where(F.pmod(F.xxhash64("block"), F.lit(step)) == 0)
+        self.top = self._sorted(top)
+
+    @staticmethod
+    def _sorted(rows: DataFrame) -> list[tuple]:
+        return sorted(map(tuple, rows.collect()), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
+
+    def _near(self, key: str) -> list[tuple]:
+        """Directory rows, in order, of the blocks that may hold the key: the last that begins before it, and all that begin with it."""
+        rows = self.top
+        if not self.whole:
+            keys = [r[0] for r in rows]
+            low, high = bisect_left(keys, key) - 1, bisect_right(keys, key)
+            part = self.directory.where(F.col("first_key") >= keys[low]) if low >= 0 else self.directory
+            rows = self._sorted(part.where(F.col("first_key") < keys[high]) if high < len(keys) else part)
+        keys = [r[0] for r in rows]
+        return rows[max(0, bisect_left(keys, key) - 1) : bisect_right(keys, key)]
+
+    def captures(self, url: str | None) -> Iterator[tuple[dict, bytes]]:
+        """Headers and block of every capture of a URL, one after another."""
+        key = url_key(url)
+        for first_key, first_id, block in self._near(key):
+            wanted = (F.col("first_key") == first_key) & F.col("first_id").eqNullSafe(F.lit(first_id)) & (F.col("block") == block)
+            entries = decode_block(bytes(self.blocks.where(wanted).select("data").first()["data"]))
+            keys = [e[0] for e in entries]
+            for e in entries[bisect_left(keys, key) : bisect_right(keys, key)]:
+                head, body, _ = read_record(read_range(self.spark, e[7], e[8], e[9]), 0)
+                yield head, body
+
+
+def lookup(spark: SparkSession, path: str, url: str | None) -> list[tuple[dict, bytes]]:
+    """Headers and block of every capture of a URL."""
+    return list(CaptureIndex(spark, path).captures(url))
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[str, str]:
@@ -220,6 +308,5 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     spark = pages.sparkSession
     archives, index = new_path(spark, "warc"), new_path(spark, "capture-index")
     write_archives(pages, archives, id_col, url_col, html_col)
-    entries, _ = materialise(scan_archives(spark, archives), "entries")  # range partitioning reads its input twice
-    build_index(entries, index)
+    build_index(scan_archives(spark, archives), index)
     return archives, index
