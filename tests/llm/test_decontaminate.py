@@ -1,4 +1,7 @@
+import pathlib
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +49,46 @@ def test_equals_brute_force(spark, limit):
         assert (r["__tm_scan"]["n_words"], r["__tm_hit"], sorted(r["__tm_scan"]["items"])) == (n, hit, found)
 
 
+@pytest.mark.parametrize("window", [1, 2, 3, 8, 13])
+def test_matcher_equals_brute_force_at_any_window(window):
+    rng = random.Random(window)
+    for vocab_size in (1, 2, 4):
+        vocab = [f"w{i}" for i in range(vocab_size)]
+        words = lambda n: [rng.choice(vocab) for _ in range(n)]
+        items = [(str(i), words(rng.randint(0, 3 * window))) for i in range(5)]
+        m = d.Matcher(items, window)
+        for _ in range(60):
+            text = words(rng.randint(0, 5 * window)) + rng.choice(items)[1][rng.randint(0, 3) :] + words(2)
+            runs, found = m.scan(text)
+            assert (len(text), sum(b - a for a, b in runs), sorted(found)) == brute_force(" ".join(text), items, window)
+
+
+def test_worker_keeps_the_automata_that_fit(monkeypatch):
+    monkeypatch.setattr(d, "_BUILT", {})
+    monkeypatch.setattr(d, "KEPT_WORDS", 10)
+    parts = {k: [(k, [k, "b", "c", "d"])] for k in "xyz"}
+    first = {k: d._matcher(k, v, 13) for k, v in list(parts.items())[:2]}
+    assert all(d._matcher(k, parts[k], 13) is m for k, m in first.items())
+    d._matcher("z", parts["z"], 13)
+    assert list(d._BUILT) == ["y", "z"] and d._matcher("x", parts["x"], 13) is not first["x"]
+
+
+def test_memory_of_a_full_part_is_bounded():
+    code = """
+import random, resource, sys
+sys.path.insert(0, %r)
+from tidemark.llm import decontaminate as d
+rng = random.Random(1)
+items = [(str(i), [f"w{rng.randrange(40000)}" for _ in range(100)]) for i in range(d.MAX_PATTERN_WORDS // 100)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+m = d.Matcher(items, 13)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    root = pathlib.Path(d.__file__).parents[2]
+    got = subprocess.run([sys.executable, "-c", code % str(root)], capture_output=True, text=True, timeout=300, check=True)
+    assert int(got.stdout) < 400
+
+
 def test_spans_map_to_the_original_text():
     m = d.Matcher([("1", d.words_of("Alpha beta GAMMA"))], 13)
     text = "Say: ALPHA-beta, gamma! Then alpha beta."

@@ -17,6 +17,7 @@ and special strings inside a text are ordinary text; whole texts are counted at
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -90,6 +91,17 @@ def frequent_table(model) -> dict[str, int]:
     return {w: len(ids) for w, ids in zip(words, model.encode([w[1:] for w in words]), strict=True)}
 
 
+_KEPT: dict[str, Counter] = {}
+
+
+def _counter(key: str, model_proto: bytes, frequent: dict[str, int]) -> Counter:
+    """The counter of a model, kept with its cache for the tasks that follow in this worker."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Counter(model_proto, frequent)
+    return _KEPT[key]
+
+
 def count_column(text: Column, spark, model_path: str, limit: int = 4096) -> Column:
     """Struct (n_bytes, n_tokens, over_limit) of every whole text; the model file is read by the driver and broadcast."""
     bound_batches()
@@ -98,11 +110,11 @@ def count_column(text: Column, spark, model_path: str, limit: int = 4096) -> Col
     with open(model_path, "rb") as f:
         proto = f.read()
     frequent = frequent_table(sentencepiece.SentencePieceProcessor(model_proto=proto))
-    shared = spark.sparkContext.broadcast((proto, frequent))
+    shared = spark.sparkContext.broadcast((hashlib.sha256(proto).hexdigest(), proto, frequent))
 
     @F.pandas_udf(COUNTS)
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        counter = Counter(*shared.value)
+        counter = _counter(*shared.value)
         for texts in batches:
             tokens = [counter.count(t) for t in texts]
             yield pd.DataFrame({"n_bytes": [len(t.encode("utf-8")) if t else 0 for t in texts], "n_tokens": tokens, "over_limit": [n > limit for n in tokens]})
