@@ -86,7 +86,7 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
 """
     root = pathlib.Path(d.__file__).parents[2]
     got = subprocess.run([sys.executable, "-c", code % str(root)], capture_output=True, text=True, timeout=300, check=True)
-    assert int(got.stdout) < 400
+    assert int(got.stdout) < 200
 
 
 def test_spans_map_to_the_original_text():

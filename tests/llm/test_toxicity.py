@@ -59,6 +59,25 @@ def test_lexicon_is_learned_with_terms_and_stems():
     assert all(model.score(t) >= 0.3 for t in bad) and all(model.score(t) < 0.3 for t in clean)
 
 
+def test_stems_that_clean_rows_have_too_are_judged_by_their_number():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(("ta", "ro", "mi", "lu", "ne", "so")) for _ in range(rng.randint(1, 4)))
+    bad_word = lambda: "vequ" + word() + word()
+    clean = [" ".join([*(word() for _ in range(30)), *([bad_word()] if i % 20 == 0 else [])]) for i in range(600)]
+    bad = [" ".join([*(word() for _ in range(30)), *(bad_word() for _ in range(8))]) for _ in range(80)]
+    model = toxicity.fit(bad, clean)
+    assert model.stems == ["vequ"] and not [t for t in model.terms if t.startswith("vequ")]
+    new = [" ".join(f"vequxyz{e}" for e in "abcdefgh"[:n]) for n in (1, 8)]
+    assert [h["term"] for h in model.hits(new[0])] == ["vequ"] and model.score(new[0]) < 0.3 <= model.score(new[1])
+    assert model.score(" ".join(["vequxyza"] * 8)) == model.score(new[0])
+
+
+def test_only_branches_that_a_word_opens_with_are_walked_for_stems():
+    trie = toxicity.Trie(["vxxxxxxxx"], ["vequ", "vetano"])
+    assert trie.match("vequab") == ("vequ", 0, True) and trie.match("vetano") == ("vetano", 0, True)
+    assert trie.match("vetan") is None and trie.match("veq") is None and trie.match("avequ") is None
+
+
 def test_misspelt_terms_count_where_clean_rows_have_none():
     rng = random.Random(3)
     word = lambda: "".join(rng.choice(("ta", "ro", "mi", "lu", "ne", "so")) for _ in range(rng.randint(1, 4)))
@@ -86,9 +105,17 @@ def test_odd_rows_and_fold_rule(spark, odd_docs, no_docs):
 
 
 def test_held_out_accuracy(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.train(docs, labels)
     held = docs.join(labels, "doc_id").where(toxicity.crc_mod("doc_id", 4) == 2).select("toxic", "text").collect()
+    assert model.stems
+    scores = sorted((model.score(r["text"]), r["toxic"]) for r in held)
+    pos = sum(y for _, y in scores)
+    ahead, wrong = 0, 0
+    for _, y in scores:  # pairs that the scores order wrongly
+        ahead += y
+        wrong += ahead if not y else 0
+    assert 1 - wrong / (pos * (len(held) - pos)) >= 0.95
     right = sum((model.score(r["text"]) >= 0.3) == bool(r["toxic"]) for r in held)
     assert right >= 0.93 * len(held)

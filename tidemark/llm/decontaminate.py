@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import bound_batches
 
-MAX_PATTERN_WORDS = 500_000  # about 90 MB in a worker
-KEPT_WORDS = 2_000_000
+MAX_PATTERN_WORDS = 250_000  # some 120 MB in a worker
+KEPT_WORDS = 1_000_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

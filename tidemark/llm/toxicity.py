@@ -3,14 +3,15 @@
 A lexicon is learned from labelled documents: whole terms, and stems that open many different
 words. It is kept as a trie. A word is matched by walking the trie and the Levenshtein automaton of
 the word together: the automaton's state is one row of the edit-distance table, and a branch is
-left as soon as no entry of that row is within the distance allowed. So misspelled terms are found
-without listing their variants. Every hit gets a context window: hits inside quotation marks or
-after a reporting word count apart from direct ones. A logistic model over those counts gives the
-score.
+left as soon as no entry of that row is within the distance allowed and the word doesn't open with it. So
+misspelled terms are found without listing their variants, and words with new endings by their stem. Every hit gets a context window: hits inside quotation marks or
+after a reporting word count apart from direct ones. A logistic model over the counts of different words
+that hit gives the score.
 
 Defined results: a null or empty text has no hits and gets the score of the bias alone; the score of
-equal texts is equal; very long texts are read whole. Extra columns are never read. With no labelled
-row of either class, the lexicon is empty and the model keeps its prior weights.
+equal texts is equal; very long texts are read whole. Extra columns are never read. A null id is in no
+fold, so its row is not held out, and it has no label. With no labelled row of either class, the lexicon is
+empty and the model keeps its prior weights.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import bound_batches, crc_mod, hash_sample
+from tidemark.llm.common import at_most_rows, bound_batches, crc_mod, hash_sample
 
 WORD = re.compile(r"[^\W_](?:[\w@$!*]*[^\W_])?")
 OPENING, CLOSING, SYMMETRIC = "“«„‹‘", "”»“›’", "\""
@@ -81,12 +82,12 @@ class Trie:
         if (screen := self.screens[n]) is None or not screen.match(word):
             return None
         best: tuple[int, str, bool] | None = None
-        stack = [(self.root, list(range(n + 1)), 0)]
+        stack = [(self.root, list(range(n + 1)), 0, True)]  # the last: the word opens with this node's path
         while stack:
-            node, row, depth = stack.pop()
+            node, row, depth, opens = stack.pop()
             if node[1] is not None:
                 if node[2]:
-                    if depth and word.startswith(node[1]):
+                    if opens:
                         best = min(best or (99, "", False), (0, node[1], True))
                 elif row[n] <= allowed(node[1]):
                     best = min(best or (99, "", False), (row[n], node[1], False))
@@ -95,8 +96,9 @@ class Trie:
                 for i in range(1, n + 1):
                     left = min(left + 1, row[i] + 1, row[i - 1] + (word[i - 1] != ch))
                     new.append(left)
-                if min(new) <= top or self.stems and word.startswith(ch):
-                    stack.append((child, new, depth + 1))
+                on = opens and depth < n and word[depth] == ch
+                if min(new) <= top or on:
+                    stack.append((child, new, depth + 1, on))
         return None if best is None else (best[1], best[0], best[2])
 
 
@@ -127,10 +129,10 @@ class ToxicityModel:
         got = self._trie.match(word)
         if got is None and not word.isalpha() and (plain := word.translate(LOOKALIKES)) != word and plain in self._trie.exact:
             got = plain, sum(a != b for a, b in zip(word, plain, strict=True)), False
-        return None if got and got[1] and word in self.harmless else got
+        return got
 
     def matches(self, words: Iterable[str]) -> dict[str, tuple[str, int, bool]]:
-        """Those of the words that match, through a cache of bounded size."""
+        """Those of the words that match and aren't harmless, through a cache of bounded size."""
         cache = self._cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
@@ -138,7 +140,7 @@ class ToxicityModel:
         for w in words:
             if w not in cache:
                 cache[w] = self.look_up(w)
-            if (got := cache[w]) is not None:
+            if (got := cache[w]) is not None and not (got[1] and w in self.harmless):
                 out[w] = got
         return out
 
@@ -176,8 +178,9 @@ class ToxicityModel:
     def features(self, text: str | None) -> np.ndarray:
         x = np.zeros(len(FEATURES) + 1)
         x[0] = 1
-        for h in self.hits(text) if text else ():
-            x[1 + (4 if h["stem"] else 2 if h["edits"] else 0) + h["quoted"]] += 1
+        low = text.lower() if text else ""
+        for _, stem, misspelt, quoted in {(low[h["start"] : h["end"]], h["stem"], h["edits"] > 0, h["quoted"]) for h in self.hits(text)} if text else ():
+            x[1 + (4 if stem else 2 if misspelt else 0) + quoted] += 1
         x[1:] = np.log1p(x[1:])
         return x
 
@@ -202,12 +205,12 @@ def without_copies(texts: list[str], size: int = 5) -> list[str]:
     return out
 
 
-def learn_lexicon(toxic: list[str], clean: list[str], min_share: float = 0.015, precision: float = 0.95) -> tuple[list[str], list[str]]:
-    """Terms and stems that open words of toxic documents and hardly any of clean ones.
+def learn_lexicon(toxic: list[str], clean: list[str], min_share: float = 0.015, precision: float = 0.95, stem_precision: float = 0.8, stem_words: int = 8) -> tuple[list[str], list[str]]:
+    """Stems that open many words of toxic documents, and terms, both by document.
 
-    Every opening of 4 or more characters is counted by document. An opening is taken where its
-    precision reaches the bound, and followed downwards while one continuation keeps 9 of 10 of its
-    documents: if that ends a word it is a term, else a stem, which has to open 8 different words.
+    Every opening of 4 or more characters is counted. It is followed downwards while one continuation keeps 9
+    of 10 of its documents. A stem opens ``stem_words`` different words and reaches the lower precision; the
+    weights judge it. A term is a whole word that reaches the higher one and that no stem opens.
     """
     pos, neg, opens, whole = Counter(), Counter(), defaultdict(set), Counter()
     for texts, count in ((toxic, pos), (clean, neg)):
@@ -221,23 +224,30 @@ def learn_lexicon(toxic: list[str], clean: list[str], min_share: float = 0.015,
                         opens[w[:k]].add(w)
     least = max(3, min_share * len(toxic))
     scale = len(clean) / max(1, len(toxic))
-    good = {p for p, n in pos.items() if n >= least and (n * scale) / (n * scale + neg[p] + 0.5) >= precision and neg[p] * 20 <= n}
+    share = {p: (n * scale) / (n * scale + neg[p] + 0.5) for p, n in pos.items() if n >= least}
     children = defaultdict(list)
     for p in pos:
         children[p[:-1]].append(p)
-    terms, stems = set(), set()
-    for p in sorted(good, key=len):
-        if p[:-1] in good:
-            continue
+
+    def narrowed(p: str) -> str:
         while True:
             best = max(children[p], key=lambda c: (pos[c], c), default=None)
             if best is None or pos[best] < 0.9 * pos[p] or whole[p] >= 0.9 * pos[p]:
-                break
+                return p
             p = best
-        if whole[p] >= 0.5 * pos[p]:
-            terms.add(p)
-        elif len(opens[p]) >= 8:
-            stems.add(p)
+
+    stems, terms = set(), set()
+    for p in sorted((p for p, x in share.items() if x >= stem_precision), key=lambda p: (len(p), p)):
+        if not any(p[:k] in stems for k in range(4, len(p))):
+            p = narrowed(p)
+            if share.get(p, 0) >= stem_precision and len(opens[p]) >= stem_words and whole[p] < 0.5 * pos[p]:
+                stems.add(p)
+    good = {p for p, x in share.items() if x >= precision and neg[p] * 20 <= pos[p]}
+    for p in sorted(good, key=len):
+        if p[:-1] not in good:
+            p = narrowed(p)
+            if whole[p] >= 0.5 * pos[p] and not any(p[:k] in stems for k in range(4, len(p) + 1)):
+                terms.add(p)
     return sorted(terms), sorted(stems)
 
 
@@ -248,23 +258,20 @@ def fit(toxic: list[str], clean: list[str], rounds: int = 200) -> ToxicityModel:
     clean row has a near word not seen before is estimated by the near words seen once (Good-Turing). The
     smaller it is, the nearer a misspelt hit comes to the fitted weight of an exact one.
     """
-    terms, stems = learn_lexicon(without_copies(toxic), without_copies(clean))
-    model = ToxicityModel(terms, stems)
+    model = ToxicityModel(*learn_lexicon(without_copies(toxic), without_copies(clean)))
     near_pos, near_neg = Counter(), Counter()
     for texts, count in ((toxic, near_pos), (clean, near_neg)):
         for text in texts:
             count.update(w for w, (_, edits, _s) in model.matches(set(WORD.findall(text.lower()))).items() if edits)
     scale = len(clean) / max(1, len(toxic))
-    harmless = frozenset(w for w, n in near_neg.items() if near_pos[w] * scale < 4 * n)
-    model = ToxicityModel(terms, stems, harmless)
+    model.harmless = frozenset(w for w, n in near_neg.items() if near_pos[w] * scale < 4 * n)
     x = np.array([model.features(t) for t in [*toxic, *clean]]).reshape(-1, len(PRIOR))
     y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
     w = _logistic(x, y, PRIOR, rounds)
     unseen = (sum(n == 1 for n in near_neg.values()) + 0.5) / (len(clean) + 1)
     prior = w.copy()
     prior[3] = max(PRIOR[3], w[1] * math.log(1 / unseen) / math.log(2 * len(clean) + 2)) if len(clean) else PRIOR[3]
-    w = _logistic(x, y, prior, rounds)
-    model.weights = w
+    model.weights = _logistic(x, y, prior, rounds)
     return model
 
 
@@ -281,17 +288,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, rounds: int) -> n
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held_out_fold: int = 2, sample_per_class: int = 2500) -> ToxicityModel:
-    """Fit on at most about ``sample_per_class`` labelled rows of each class, never from the held-out fold.
+    """Fit on about ``sample_per_class`` labelled rows of each class, never from the held-out fold, and on four times as many in all at most.
 
     The sample is the documented bound: ids are picked by hash on the small label table, then their
-    texts are fetched by a join with those few ids.
+    texts are fetched by a join with those few ids; the bound on rows also holds where an id repeats.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, folds) != held_out_fold)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).distinct()
     picked = None
     for y in (0, 1):
         part = hash_sample(known.where(F.col("__y") == y), "__id", sample_per_class)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id").select("__id", "__y", "__text").collect()
+    picked = at_most_rows(picked, 4 * sample_per_class, "__id", "__y")
+    found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id").select("__id", "__y", "__text")
+    rows = at_most_rows(found, 4 * sample_per_class, "__id", "__y", "__text").collect()
     rows.sort(key=lambda r: (r["__id"], r["__text"] or ""))
     return fit([r["__text"] or "" for r in rows if r["__y"] == 1], [r["__text"] or "" for r in rows if r["__y"] == 0])
 
