@@ -1,8 +1,13 @@
+import math
+import random
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidemark.llm import html_extract as h
 from tidemark.llm.html_extract import extract_column, main_text
 
 LONG = "This sentence stands for the long running text of an article that readers came for. "
@@ -57,6 +62,89 @@ def test_head_ends_at_the_first_content(start):
     assert main_text(start + "Plain text.") == "Plain text."
 
 
+@pytest.mark.parametrize("part", ["<section class='related'>{}</section>", "<section id=recommendations>{}</section>"])
+def test_names_of_related_matter_count_only_for_links(part):
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Story {i}</a></li>" for i in range(4)) + "</ul>"
+    text = f"<p>{LONG}Part of it.</p>"
+    got = main_text(f"<body><article>{ARTICLE}{part.format(text)}{part.format(links)}</article></body>")
+    assert got == f"{ARTICLE_TEXT}\n\n{LONG}Part of it."
+
+
+@pytest.mark.parametrize("head", ["<h2 id='notice'>Head</h2>", "<h3 class='menu share'>Head</h3>", "<p><span class='comment'>Head</span></p>", "<p><b id=footer>Head</b></p>"])
+def test_names_of_headings_and_inline_elements_do_not_count(head):
+    assert main_text(f"<body><article>{ARTICLE}{head}</article></body>") == f"{ARTICLE_TEXT}\n\nHead"
+
+
+@pytest.mark.parametrize("tag", ["<p class=a\">", "<p onclick=it's>", "<p title='a>b' class=\"x\">", "<p a=b'c\"d e>", "<p a = 'x>y'>", "<p a='x class=comments y'>", "<p \" '>", "<p =>", "<p a=>", "<p data-x=1/2>"])
+def test_quotes_count_only_after_an_equals_sign(tag):
+    assert main_text(f"<body><article>{ARTICLE}{tag}Hello.</p><p>It's \"here\".</p></article></body>") == f"{ARTICLE_TEXT}\n\nHello.\n\nIt's \"here\"."
+
+
+def slow_density(x, body):
+    """Characters, tags, link characters and link tags of a node by walking its whole subtree, and its density."""
+    if isinstance(x, str):
+        return len("".join(x.split()))
+    chars = tags = link_chars = link_tags = 0
+    stack = [(k, x.tag == "a") for k in x.kids]
+    while stack:
+        k, linked = stack.pop()
+        if isinstance(k, str):
+            n = len("".join(k.split()))
+            chars, link_chars = chars + n, link_chars + (n if linked else 0)
+        elif k.tag not in h.HIDDEN:
+            tags, link_tags = tags + 1, link_tags + (k.tag == "a")
+            stack += [(y, linked or k.tag == "a") for y in k.kids]
+    if not chars:
+        return 0.0
+    if not link_chars:
+        return chars / max(1, tags)
+    base = math.log(chars * link_chars / max(1, chars - link_chars) + body * chars + math.e)
+    return chars / max(1, tags) * max(0.0, math.log(max(1.0, chars / link_chars * max(1, tags) / max(1, link_tags)) + 1e-9, base))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_densities_and_sums_equal_brute_force(seed):
+    rng = random.Random(seed)
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(1, 30)))
+        tag = rng.choice(["div", "section", "ul", "a", "b", "td", "script"])
+        return f"<{tag}>{''.join(grow(depth - 1) for _ in range(rng.randint(0, 5)))}</{tag}>"
+
+    body = h.measure(h.parse(f"<body>{''.join(grow(4) for _ in range(4))}</body>"))
+    stack, ratio = [body], body.link_chars / max(1, body.chars)
+    while stack:
+        x = stack.pop()
+        below = [k for k in x.kids if isinstance(k, str) or k.tag not in h.HIDDEN]
+        assert x.density == pytest.approx(slow_density(x, ratio), rel=1e-9, abs=1e-9)
+        if x.chars:
+            text = 0 if x.tag == "a" else sum(slow_density(k, ratio) for k in below if isinstance(k, str))
+            assert x.total == pytest.approx(text + sum(slow_density(k, ratio) for k in below if not isinstance(k, str) and not k.bad))
+        stack += [k for k in below if not isinstance(k, str)]
+
+
+def test_threshold_keeps_sparse_nodes_out():
+    links = "".join(f"<p>See <a href=/{i}>{LONG}</a></p>" for i in range(6))
+    sparse = "".join(f"<div><span><i>{w}</i></span></div>" for w in "some words in very many tags".split())
+    page = f"<body><div>{ARTICLE}</div><div>{sparse}</div><div>{links}</div><div>{ARTICLE}</div></body>"
+    got = main_text(page).split("\n\n")
+    assert got[:5] == got[-5:] == ARTICLE_TEXT.split("\n\n")
+    assert main_text(f"<body><div>{sparse}</div><div>{ARTICLE}</div><div>{sparse}</div></body>") == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize("html", ["<b>" * 100_000 + "</x>" * 100_000 + "t", "<p>" + "<b>" * 50_000 + "<hr>" * 50_000 + "t", "<table><li>" + "<i>" * 50_000 + "<li>" * 50_000 + "t", "<a b=\"" * 30_000 + "t", "<p a='" + "<p a=" * 50_000])
+def test_time_is_in_proportion_to_the_page(html):
+    began = time.time()
+    main_text(html)
+    assert time.time() - began < 5
+
+
+def test_other_columns_do_not_matter(spark):
+    df = spark.createDataFrame([(1, f"<p>{LONG}</p>")], "page_id long, html string").selectExpr("*", "'c' AS text", "1 AS n_chars", "2 AS x")
+    assert [r["y"]["text"] for r in df.select(extract_column(F.col("html")).alias("y")).collect()] == [LONG.strip()]
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<html></html>", "<script>x</script>", "<!-- only -->"])
 def test_nothing_to_extract(html):
     assert main_text(html) == ""

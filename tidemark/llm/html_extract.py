@@ -2,19 +2,22 @@
 
 A page is read into a tree. Every node gets the characters and tags of its subtree, and how many of
 them belong to links. Its density is characters per tag, adjusted by links: a node whose text is
-mostly link text falls towards zero. Each node is scored by the sum of its children's densities; the
+mostly link text falls towards zero. A text node is a node without tags, so its density is its characters, and
+nothing inside a link. Each element is scored by the sum of its child nodes' densities; the
 node with the largest sum marks the article, and an article or main element around it is taken whole.
 Where there is none, the smallest density on the path from the body to that node is the threshold: from
 the body down, every node that reaches it gives the node of the largest sum in its subtree, so an article
-that is spread over several siblings stays whole, with what stands between them. Inside, menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments are left out by their elements, roles and
-class names, and link lists by their density. Names that only say what a page has or lacks (``has-``,
-``no-``, ``with-``) don't count, and neither do names and forms around nearly all of the text.
+that is spread over several siblings stays whole, with what stands between them, and nodes below the threshold stay out.
+Inside, menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left out by
+their elements, roles and class names, and link lists by their density. Class names are a weak signal: they don't
+count for headings and inline elements, around nearly all of the text, or if they only say what a page has or
+lacks (``has-``, ``no-``, ``with-``), and those of related matter count only where links hold most of the text.
 
 Defined results: null or empty html, or a page without text, gives an empty text. Unclosed and
 misnested elements are closed as browsers do (a paragraph ends where the next block begins, the head
-where the first content does). Broken
-markup never raises: a ``<`` that opens no tag is text. Whole pages are read at any length.
+where the first content does); quotes in a tag count only after an equals sign. Broken
+markup never raises: a ``<`` that opens no tag is text. Whole pages are read at any length, in time in
+proportion to it.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import html as entities
 import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,6 +46,7 @@ BLOCK = frozenset(
 )
 CLOSES_PARAGRAPH = BLOCK - frozenset("td th tr tbody thead tfoot body html".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody")}
+WHOLE = frozenset("body html article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 TEXTUAL = HEADINGS | frozenset("p blockquote li pre ul ol dl figure".split())
 SCOPE = frozenset("table ul ol dl article section main div body html td th blockquote nav aside header footer form".split())
@@ -54,8 +58,12 @@ OTHERS_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|respond|disqus|reply|replie
 LAYOUT_NAMES = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-]\S*", re.I)
 HEAD = frozenset("base basefont bgsound link meta noscript script style template title head".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+LINKED_NAMES = re.compile(r"(?:^|[\s_-])(?:related|recommend\w*)(?:$|[\s_-])", re.I)
+INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+VALUE = r"\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)"
+TAG = re.compile(rf"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|={VALUE}|=)*+)(?:>|$)", re.S)
+ATTRIBUTE = re.compile(rf"([^\s=/]+)(?:\s*+=({VALUE})?)?", re.S)
+NAMED = re.compile(r"class|id|role|hidden", re.I)
 
 
 class Node:
@@ -69,41 +77,63 @@ class Node:
         self.named = ""  # why the node is bad, where that is only a name or a form
         if tag == "form":
             self.bad, self.named = False, tag
-        if attributes and not self.bad:
-            for m in NAMES.finditer(attributes):
-                name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
+        if attributes and not self.bad and NAMED.search(attributes):
+            for m in ATTRIBUTE.finditer(attributes):
+                name, value = m[1].lower(), (m[2] or "").strip().strip("\"'")
                 if name in ("class", "id"):
-                    if tag not in ("body", "html", "article", "main") and BAD_NAMES.search(value := LAYOUT_NAMES.sub("", value)):
+                    if tag not in WHOLE and tag not in HEADINGS and tag not in INLINE and BAD_NAMES.search(value := LAYOUT_NAMES.sub("", value)):
                         self.named += " " + value
                 elif name == "role":
                     self.bad = self.bad or value.lower() in BAD_ROLES
-                elif name == "hidden" or value.lower() == "true":
+                elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                     self.bad = True
         if self.bad:
             self.named = ""
         self.bad = self.bad or bool(self.named)
 
 
+class Parser:
+    """Open elements of a page while it is read; those of each name are on a stack, so no search walks up the tree."""
+
+    def __init__(self):
+        self.root = Node("html", None)
+        self.node, self.level = self.root, 0
+        self.open: dict[str, list[tuple[int, Node]]] = {}  # by name: depth and node
+
+    def push(self, node: Node) -> None:
+        self.node, self.level = node, self.level + 1
+        self.open.setdefault(node.tag, []).append((self.level, node))
+
+    def up_to(self, node: Node) -> None:
+        """Close all elements below a node that is open."""
+        while self.node is not node:
+            self.open[self.node.tag].pop()
+            self.node, self.level = self.node.parent, self.level - 1
+
+    def deepest(self, names: Iterable[str]) -> tuple[int, Node | None]:
+        return max((self.open[n][-1] for n in names if self.open.get(n)), key=lambda x: x[0], default=(0, None))
+
+    def close(self, names: Iterable[str], stop: Iterable[str]) -> None:
+        """Close the innermost open element of these names, if none of ``stop`` is inside it."""
+        level, found = self.deepest(names)
+        if found is not None and level > self.deepest(stop)[0]:
+            self.up_to(found.parent)
+
+
+LISTS = frozenset(("table", "ul", "ol", "dl"))
+
+
 def parse(html: str) -> Node:
     """Tree of a page; text is kept as strings among the children, entities decoded."""
-    root = Node("html", None)
-    node, at, n, begun = root, 0, len(html), False  # begun: the head ended without a body tag
+    p, at, n, begun = Parser(), 0, len(html), False  # begun: the head ended without a body tag
 
     def text(raw: str) -> None:
-        nonlocal node, begun
-        if node.tag == "head" and raw and not raw.isspace():
-            node, begun = root, True
+        nonlocal begun
+        if p.node.tag == "head" and raw and not raw.isspace():
+            p.up_to(p.root)
+            begun = True
         if raw:
-            node.kids.append(entities.unescape(raw) if "&" in raw else raw)
-
-    def close(names: tuple[str, ...] | frozenset[str], stop: frozenset[str]) -> None:
-        nonlocal node
-        up = node
-        while up.parent is not None and up.tag not in stop:
-            if up.tag in names:
-                node = up.parent
-                return
-            up = up.parent
+            p.node.kids.append(entities.unescape(raw) if "&" in raw else raw)
 
     while at < n:
         m = TAG.search(html, at)
@@ -117,32 +147,31 @@ def parse(html: str) -> Node:
             continue
         name = name.lower()
         if m[1]:
-            up = node
-            while up is not None and up.tag != name:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            _, found = p.deepest((name,))
+            if found is not None:
+                p.up_to(found.parent)
             continue
-        if node.tag == "head" and name not in HEAD:
-            node, begun = root, name not in ("html", "body", "frameset")
-        if name in ("html", "body") and (node is root or begun):
+        if p.node.tag == "head" and name not in HEAD:
+            p.up_to(p.root)
+            begun = name not in ("html", "body", "frameset")
+        if name in ("html", "body") and (p.node is p.root or begun):
             if name == "body" and not begun:
-                node.kids.append(new := Node("body", node, m[3]))
-                node = new
+                p.node.kids.append(new := Node("body", p.node, m[3]))
+                p.push(new)
             continue
         if name in CLOSES_PARAGRAPH:
-            close(("p",), SCOPE)
+            p.close(("p",), SCOPE)
         if name in CLOSED_BY:
-            close(CLOSED_BY[name], frozenset(("table", "ul", "ol", "dl")) - {name} if name not in ("dt", "dd") else frozenset(("dl",)))
-        node.kids.append(new := Node(name, node, m[3]))
+            p.close(CLOSED_BY[name], LISTS - {name} if name not in ("dt", "dd") else ("dl",))
+        p.node.kids.append(new := Node(name, p.node, m[3]))
         if name in VOID or m[3].endswith("/") and name not in BLOCK:
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = end.end() if end else n
             continue
-        node = new
-    return root
+        p.push(new)
+    return p.root
 
 
 def measure(root: Node) -> Node:
@@ -178,9 +207,14 @@ def measure(root: Node) -> Node:
             base = math.log(x.chars * x.link_chars / rest + slope * x.chars + math.e)
             plain *= math.log(max(1.0, x.chars / x.link_chars * max(1, x.tags) / max(1, x.link_tags)) + 1e-9, base) if base > 1 else 1.0
         x.density = max(0.0, plain)
+    for x in order:
+        if x.named and x.bad and 2 * x.link_chars < x.chars and not BAD_NAMES.search(LINKED_NAMES.sub(" ", x.named)) and x.tag != "form":
+            x.bad = False
     free_wrappers(body)
     for x in order:
-        x.total = sum(k.density for k in x.kids if not isinstance(k, str) and not k.bad) + (x.chars - sum(k.chars for k in x.kids if not isinstance(k, str) and k.tag not in HIDDEN) if x.chars else 0)
+        below = [k for k in x.kids if not isinstance(k, str)]
+        own = x.chars - sum(k.chars for k in below if k.tag not in HIDDEN) if x.chars and x.tag != "a" else 0
+        x.total = sum(k.density for k in below if not k.bad) + own
     return body
 
 
