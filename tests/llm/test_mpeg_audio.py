@@ -81,6 +81,80 @@ def test_tags_and_tables():
     assert m.parse_stream(b"")["duration"] == 0 and m.parse_stream(b"no audio at all")["offsets"] == []
 
 
+def slow_crc(bits):
+    c = 0xFFFF
+    for b in bits:
+        top = (c >> 15) ^ b
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return c
+
+
+def bits_of(data):
+    return [b >> i & 1 for b in data for i in range(7, -1, -1)]
+
+
+@pytest.mark.parametrize("layer", [1, 2])
+@pytest.mark.parametrize("mode", [0x00, 0x40, 0x50, 0x70, 0xC0])  # stereo, joint from subband 4, 8 and 16 on, mono
+@pytest.mark.parametrize("head", [(0xFC, 5, 0), (0xFC, 9, 4), (0xFC, 14, 8), (0xF4, 5, 0)])  # versions, bit rates and sample rates
+def test_checksums_of_layers_one_and_two(layer, mode, head):
+    version, rate_at, hz = head
+    four = bytes((0xFF, version & 0xF8 | (4 - layer) << 1, rate_at << 4 | hz, mode))
+    h = m.Header.parse(four, 0)
+    assert h.layer == layer and h.protected
+    body = bytes((i * 37 + 11) % 256 for i in range(h.length - 6))
+    bits, channels = bits_of(body), 1 if mode == 0xC0 else 2
+    bound = 4 + 4 * (mode >> 4 & 3) if mode >> 6 == 1 else 32
+    if layer == 1:
+        covered = 4 * (32 if channels == 1 else 32 + bound)
+    else:
+        covered, scale = 0, 0
+        for subband, width in enumerate(m.allocation_table(h)):
+            for _ in range(channels if subband < bound else 1):
+                if any(bits[covered : covered + width]):
+                    scale += 2 * (1 if subband < bound else channels)
+                covered += width
+        covered += scale
+    crc = slow_crc(bits_of(four[2:]) + bits[:covered])
+    frame = four + crc.to_bytes(2, "big") + body
+    s = m.parse_stream(frame * 3)
+    assert (s["crc_good"], s["crc_bad"], len(s["offsets"])) == (3, 0, 3)
+    wrong = bytearray(frame * 3)
+    wrong[7] ^= 0x10
+    assert m.parse_stream(bytes(wrong))["crc_bad"] == 1
+
+
+def test_subbands_of_layer_two():
+    sizes = {k: sum(n for _, n in v) for k, v in m.ALLOCATION.items()}
+    assert sizes == {"a": 27, "b": 30, "c": 8, "d": 12, "lsf": 30}
+
+
+def test_streams_of_mixed_rates_have_exact_durations():
+    fast, slow = bytes((0xFF, 0xFB, 0x90, 0xC0)) + bytes(413), bytes((0xFF, 0xFB, 0x98, 0xC0)) + bytes(572)
+    s = m.parse_stream(fast * 3 + slow * 2 + fast)
+    assert s["duration"] == Fraction(4 * 1152, 44100) + Fraction(2 * 1152, 32000) and s["samples"] == 6 * 1152
+    at = [Fraction(0)]
+    for rate in (44100, 44100, 44100, 32000, 32000):
+        at.append(at[-1] + Fraction(1152, rate))
+    assert [m.seek_offset(s, t) for t in at] == s["offsets"] and m.seek_offset(s, s["duration"]) is None
+    assert m.seek_offset(s, at[4] - Fraction(1, 10**6)) == s["offsets"][3]
+
+
+def test_tags_of_all_versions():
+    audio = m.encode(b"x")[m.parse_tags(m.encode(b"x"))[1] :]
+    size = lambda n: n.to_bytes(4, "big")
+    v22 = b"TT2" + (5).to_bytes(3, "big") + b"\0Song" + b"TXX" + (6).to_bytes(3, "big") + b"\0k\0val"
+    for major, flags, body, want in (
+        (2, 0, v22, {"TT2": "Song", "TXX:k": "val"}),
+        (3, 0x40, size(6) + bytes(6) + b"TIT2" + size(5) + b"\0\0" + b"\0Song", {"TIT2": "Song"}),
+        (3, 0x80, (b"TIT2" + size(5) + b"\0\0" + b"\x00a\xffbc").replace(b"\xff", b"\xff\x00"), {"TIT2": "a\xffbc"}),
+        (4, 0x40, m.synchsafe(6) + b"\x01\0" + b"TIT2" + m.synchsafe(5) + b"\0\0" + b"\x03Song", {"TIT2": "Song"}),
+        (4, 0, b"TIT2" + m.synchsafe(7) + b"\0\x02" + b"\x00a\xff\x00bcd", {"TIT2": "a\xffbcd"}),
+        (4, 0, b"TIT2" + m.synchsafe(9) + b"\0\x01" + m.synchsafe(5) + b"\x03Song" + b"TALB" + m.synchsafe(3) + b"\0\0" + b"\x03AB", {"TIT2": "Song", "TALB": "AB"}),
+    ):
+        s = m.parse_stream(b"ID3" + bytes((major, 0, flags)) + m.synchsafe(len(body)) + body + audio)
+        assert s["tags"] == want and s["skipped"] == 0 and len(s["offsets"]) == 1
+
+
 def test_column(spark, odd_docs, no_docs):
     rows = odd_docs.select("text", m.digest_column(F.col("text")).alias("m")).select("text", "m.*").collect()
     for r in rows:

@@ -1,9 +1,10 @@
 """MPEG audio columns: write bytes into valid frames, and parse any MPEG audio stream.
 
 The reader resynchronises on frame headers (a header counts only if a second one, or the end,
-follows where its length says), parses ID3v1, ID3v2 and APE tags and the Xing, Info and VBRI tables,
-verifies the CRC-16 of protected frames, and gives exact durations (samples over rate, as a fraction)
-and the byte offset of every frame for seeking. It reads layers I to III of MPEG 1, 2 and 2.5.
+follows where its length says), parses ID3v1, ID3v2 (2.2 to 2.4, with extended headers and
+unsynchronisation) and APE tags and the Xing, Info and VBRI tables, verifies the CRC-16 of protected frames
+of all layers, and gives exact durations (samples over rate, summed over rates as a fraction) and the
+byte offset of every frame for seeking. It reads layers I to III of MPEG 1, 2 and 2.5.
 
 The writer stores a payload losslessly in a layer III stream whose granules are silent: each frame's
 side information says that no main data is used, so the rest of the frame is ancillary data, and that
@@ -22,9 +23,12 @@ import hashlib
 import json
 import struct
 import zlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -42,6 +46,8 @@ BITRATES = {
     (False, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
     (False, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
+# Subbands of layer II by bits of their allocation, as (bits, subbands), by table (ISO 11172-3 B.2a to B.2d, 13818-3 B.1).
+ALLOCATION = {"a": ((4, 11), (3, 12), (2, 4)), "b": ((4, 11), (3, 12), (2, 7)), "c": ((4, 2), (3, 6)), "d": ((4, 2), (3, 10)), "lsf": ((4, 4), (3, 7), (2, 19))}
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 UNIT = 192
 RATE = 32000
@@ -71,10 +77,19 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """CRC-16 of the first bits of the data."""
+    c = crc16(data[: bits // 8])
+    for i in range(bits // 8 * 8, bits):
+        top = c >> 15 ^ data[i // 8] >> 7 - i % 8 & 1
+        c = (c << 1 ^ (0x8005 if top else 0)) & 0xFFFF
+    return c
+
+
 class Header:
     """A decoded frame header; ``parse`` gives None where the four bytes are no header."""
 
-    __slots__ = ("version", "layer", "protected", "bitrate", "rate", "mono", "length", "samples", "side")
+    __slots__ = ("version", "layer", "protected", "bitrate", "rate", "mono", "bound", "length", "samples", "side")
 
     @classmethod
     def parse(cls, data: bytes, at: int) -> Header | None:
@@ -95,6 +110,7 @@ def _decode(four: bytes) -> Header | None:
     h.version, h.layer, h.protected = version, layer, not four[1] & 1
     h.bitrate, h.rate = BITRATES[version == 3, layer][bits_at] * 1000, RATES[version][rate_at]
     h.mono = four[3] >> 6 == 3
+    h.bound = 4 + 4 * (four[3] >> 4 & 3) if four[3] >> 6 == 1 else 32  # subbands from here on share what they allocate
     pad = four[2] >> 1 & 1
     h.samples = 384 if layer == 1 else 1152 if layer == 2 or version == 3 else 576
     h.length = (12 * h.bitrate // h.rate + pad) * 4 if layer == 1 else h.samples // 8 * h.bitrate // h.rate + pad
@@ -102,38 +118,77 @@ def _decode(four: bytes) -> Header | None:
     return h
 
 
-def _checked_bytes(data: bytes, at: int, h: Header) -> bytes | None:
-    """What the CRC covers: two header bytes with the side information (III) or the bit allocation (I); None where that needs a table (II)."""
+def allocation_table(h: Header) -> tuple[int, ...]:
+    """Bits of the allocation of each subband of a layer II frame."""
+    if h.version != 3:
+        name = "lsf"
+    else:
+        each = h.bitrate // (1 if h.mono else 2)
+        name = ("d" if h.rate == 32000 else "c") if each <= 48000 else "a" if each <= 80000 or h.rate == 48000 else "b"
+    return tuple(bits for bits, n in ALLOCATION[name] for _ in range(n))
+
+
+def _checked_bits(data: bytes, at: int, h: Header) -> tuple[bytes, int]:
+    """What the CRC covers, and how many bits of it: two header bytes, then the side information (III), or the allocation (I) and the selection of scale factors (II)."""
+    head, channels = data[at + 2 : at + 4], 1 if h.mono else 2
     if h.layer == 3:
-        return data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]
+        return head + data[at + 6 : at + 6 + h.side], 16 + 8 * h.side
     if h.layer == 1:
-        return data[at + 2 : at + 4] + data[at + 6 : at + 6 + (16 if h.mono else 32)]
-    return None
+        bits = 4 * (32 if h.mono else min(h.bound, 32) + 32)
+        return head + data[at + 6 : at + 6 + -(-bits // 8)], 16 + bits
+    body = data[at + 6 : at + 6 + 60]
+    value, size, used, chosen = int.from_bytes(body, "big"), 8 * len(body), 0, 0
+    for subband, bits in enumerate(allocation_table(h)):
+        for _ in range(channels if subband < h.bound else 1):
+            if value >> max(0, size - used - bits) & (1 << bits) - 1:
+                chosen += 1 if subband < h.bound else channels
+            used += bits
+    return head + body, min(16 + used + 2 * chosen, 16 + size)
 
 
 def synchsafe(n: int) -> bytes:
     return bytes(n >> s & 0x7F for s in (21, 14, 7, 0))
 
 
+def _synchsafe_value(raw: bytes) -> int:
+    return sum(b << s for b, s in zip(raw, (21, 14, 7, 0), strict=False))
+
+
+def parse_id3v2(body: bytes, major: int, flags: int) -> dict:
+    """Text frames of an ID3v2 tag's body, by frame name; ``TXXX`` and ``TXX`` by their description."""
+    tags: dict[str, str] = {}
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\x00", b"\xff")
+    at, short = 0, major == 2
+    if flags & 0x40 and not short:  # an extended header, whose size counts itself only from 2.4 on
+        at = _synchsafe_value(body[:4]) if major >= 4 else 4 + int.from_bytes(body[:4], "big")
+    width, head = (3, 6) if short else (4, 10)
+    while at + head <= len(body) and body[at : at + width].isalnum():
+        key, raw = body[at : at + width].decode("latin-1"), body[at + width : at + 2 * width]
+        n = _synchsafe_value(raw) if major >= 4 else int.from_bytes(raw, "big")
+        frame = body[at + head : at + head + n]
+        if major >= 4:
+            if body[at + 9] & 0x01:  # the frame begins with its length
+                frame = frame[4:]
+            if body[at + 9] & 0x02 or flags & 0x80:
+                frame = frame.replace(b"\xff\x00", b"\xff")
+        if key.startswith("T") and frame:
+            text = frame[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(frame[0], "utf-8"), "replace").rstrip("\0")
+            if key in ("TXXX", "TXX"):
+                name, _, text = text.partition("\0")
+                key = f"{key}:{name}"
+            tags[key] = text.lstrip("\ufeff")
+        at += head + n
+    return tags
+
+
 def parse_tags(data: bytes) -> tuple[dict, int, int]:
     """Tags of a stream, and where audio may begin and end."""
     tags, start, end = {}, 0, len(data)
     if data[:3] == b"ID3" and len(data) >= 10:
-        size = sum(b << s for b, s in zip(data[6:10], (21, 14, 7, 0), strict=True))
+        size = _synchsafe_value(data[6:10])
         start = min(len(data), 10 + size + (10 if data[5] & 0x10 else 0))
-        at, stop, major = 10, min(len(data), 10 + size), data[3]
-        while at + 10 <= stop and data[at : at + 4].strip(b"\0").isalnum():
-            key = data[at : at + 4].decode("latin-1")
-            raw = data[at + 4 : at + 8]
-            n = sum(b << s for b, s in zip(raw, (21, 14, 7, 0), strict=True)) if major >= 4 else int.from_bytes(raw, "big")
-            body = data[at + 10 : at + 10 + n]
-            if key.startswith("T") and body:
-                text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace").rstrip("\0")
-                if key == "TXXX":
-                    name, _, text = text.partition("\0")
-                    key = f"TXXX:{name}"
-                tags[key] = text
-            at += 10 + n
+        tags |= parse_id3v2(data[10 : min(len(data), 10 + size)], data[3], data[5])
     if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         for key, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
@@ -173,7 +228,7 @@ def parse_stream(data: bytes) -> dict:
     """Everything the stream says: tags, variable-bit-rate table, frames with offsets, CRC results, exact duration."""
     tags, at, end = parse_tags(data)
     offsets, lengths, skipped, good, bad, vbr = [], [], 0, 0, 0, None
-    samples, rate, bits, locked = 0, 0, set(), False
+    kinds, bits, locked = [], set(), False  # samples and rate of every frame
     while at + 4 <= end:
         h = Header.parse(data, at)
         follows = h is not None and at + h.length <= end and (locked or at + h.length == end or Header.parse(data, at + h.length) is not None)
@@ -182,9 +237,8 @@ def parse_stream(data: bytes) -> dict:
             skipped += (nxt if nxt > 0 else end) - at
             at, locked = (nxt if nxt > 0 else end), False
             continue
-        covered = _checked_bytes(data, at, h) if h.protected else None
-        if covered is not None:
-            if crc16(covered) == int.from_bytes(data[at + 4 : at + 6], "big"):
+        if h.protected:
+            if crc16_bits(*_checked_bits(data, at, h)) == int.from_bytes(data[at + 4 : at + 6], "big"):
                 good += 1
             else:
                 bad += 1
@@ -194,19 +248,27 @@ def parse_stream(data: bytes) -> dict:
             continue
         offsets.append(at)
         lengths.append(h.length)
-        samples, rate = samples + h.samples, rate or h.rate
+        kinds.append((h.samples, h.rate))
         bits.add(h.bitrate)
         at, locked = at + h.length, True
     skipped += end - at if at < end else 0
-    return {"tags": tags, "vbr": vbr, "offsets": offsets, "lengths": lengths, "skipped": skipped, "crc_good": good, "crc_bad": bad, "samples": samples, "rate": rate, "bitrates": sorted(bits), "duration": Fraction(samples, rate) if rate else Fraction(0)}
+    by_kind = Counter(kinds)
+    return {
+        "tags": tags, "vbr": vbr, "offsets": offsets, "lengths": lengths, "skipped": skipped, "crc_good": good, "crc_bad": bad,
+        "samples": sum(n * k for (n, _), k in by_kind.items()), "rate": kinds[0][1] if kinds else 0, "kinds": kinds if len(by_kind) > 1 else kinds[:1], "bitrates": sorted(bits),
+        "duration": sum((Fraction(n * k, r) for (n, r), k in by_kind.items()), Fraction(0)),
+    }
 
 
 def seek_offset(stream: dict, seconds: Fraction | float) -> int | None:
     """Byte offset of the frame that holds a moment; None beyond the end."""
-    if not stream["offsets"]:
+    if not stream["offsets"] or not 0 <= seconds < stream["duration"]:
         return None
-    at = int(Fraction(seconds) * len(stream["offsets"]) / stream["duration"])
-    return stream["offsets"][at] if 0 <= at < len(stream["offsets"]) else None
+    if len(stream["kinds"]) == 1:
+        samples, rate = stream["kinds"][0]
+        return stream["offsets"][int(Fraction(seconds) * rate / samples)]
+    starts = list(accumulate((Fraction(n, r) for n, r in stream["kinds"]), initial=Fraction(0)))
+    return stream["offsets"][bisect_right(starts, Fraction(seconds)) - 1]
 
 
 def _frame_head(bits_at: int) -> bytes:
@@ -305,18 +367,18 @@ def encode_column(data: Column) -> Column:
 
 
 STREAM = T.StructType(
-    [T.StructField(n, t) for n, t in (("duration_samples", T.LongType()), ("rate", T.IntegerType()), ("frame_offsets", T.ArrayType(T.LongType())), ("crc_good", T.LongType()), ("crc_bad", T.LongType()), ("skipped_bytes", T.LongType()), ("tags", T.MapType(T.StringType(), T.StringType())), ("vbr", T.StringType()))]
+    [T.StructField(n, t) for n, t in (("duration", T.StringType()), ("duration_samples", T.LongType()), ("rate", T.IntegerType()), ("frame_offsets", T.ArrayType(T.LongType())), ("crc_good", T.LongType()), ("crc_bad", T.LongType()), ("skipped_bytes", T.LongType()), ("tags", T.MapType(T.StringType(), T.StringType())), ("vbr", T.StringType()))]
 )
 
 
 def parse_column(media: Column) -> Column:
-    """Struct with exact duration (samples and rate), seek offsets, CRC counts, tags and VBR table of any MPEG audio column."""
+    """Struct with the exact duration in seconds (a fraction, as text), samples, first rate, seek offsets, CRC counts, tags and VBR table of any MPEG audio column."""
     bound_batches()
 
     @F.pandas_udf(STREAM)
     def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             found = [parse_stream(bytes(m) if m is not None else b"") for m in rows]
-            yield pd.DataFrame([(s["samples"], s["rate"], s["offsets"], s["crc_good"], s["crc_bad"], s["skipped"], s["tags"], json.dumps(s["vbr"], sort_keys=True)) for s in found], columns=STREAM.names)
+            yield pd.DataFrame([(f"{s['duration'].numerator}/{s['duration'].denominator}", s["samples"], s["rate"], s["offsets"], s["crc_good"], s["crc_bad"], s["skipped"], s["tags"], json.dumps(s["vbr"], sort_keys=True)) for s in found], columns=STREAM.names)
 
     return parsed(media)
