@@ -1,3 +1,4 @@
+import pathlib
 import shutil
 
 import pytest
@@ -18,8 +19,8 @@ def test_every_stage_equals_its_brute_force(spark):
         kept = {r["doc_id"] for r in out.collect()}
         if name == "language_id":
             model = langid.train(docs)
-            got = {r["doc_id"]: model.predict(r["text"]) for r in before}
-            assert kept == {i for i, (lang, share) in got.items() if lang != "und" and share >= corpus_pipeline.MAIN_LANGUAGE_SHARE} and len(kept) >= 0.97 * len(before)
+            got = {r["doc_id"]: model.describe(r["text"]) for r in before}
+            assert kept == {i for i, (lang, _, known) in got.items() if lang != "und" and known >= corpus_pipeline.KNOWN_LETTERS} and len(kept) >= 0.97 * len(before)
         elif name == "toxicity":
             model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
             assert kept == {r["doc_id"] for r in before if model.score(r["text"]) < 0.3}
@@ -43,6 +44,30 @@ def test_every_stage_equals_its_brute_force(spark):
         docs = out
 
 
+def test_language_stage_keeps_mixed_texts_and_rejects_unknown_scripts(spark):
+    words = {"en": "the cat sat on the mat and the dog ran", "fr": "le chat est sur la table avec le chien", "es": "el gato duerme sobre la mesa con el perro"}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(list(words.items()) * 8)]
+    rows += [(100, " ".join(words.values()), None), (101, "кот сидит на столе и ест", None), (102, "кот сидит на столе и ест the cat", None), (103, "12 ?!", "en"), (104, None, "en"), (105, "", None)]
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()}
+    assert kept == {*range(24), 100}
+
+
+def test_rows_without_an_id_keep_one_of_a_class(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (None, a), (None, b), (None, b), (2, c), (2, c)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, a), (0, b), (2, c)])
+
+
+def test_run_leaves_one_table(spark, tmp_path):
+    from tidemark.llm.common import shared_dir
+
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file://")) / "tidemark"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    got = corpus_pipeline.run(spark, SF)
+    assert [p.name.split("-")[0] for p in set(folder.iterdir()) - before] == [corpus_pipeline.STAGES[-1][0]] and got.count()
+
+
 @pytest.mark.parametrize("rows", ["odd", "none"])
 def test_odd_tables_run_through(spark, odd_docs, no_docs, tmp_path, rows):
     (odd_docs if rows == "odd" else no_docs).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")

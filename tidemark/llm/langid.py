@@ -184,20 +184,24 @@ class LanguageModel:
                 out.append({"start": m.start(), "end": m.end(), "lang": lang, "words": 1})
         return out
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language with most letters in words that tell languages apart, and their share of all letters."""
+    def describe(self, text: str | None) -> tuple[str, float, float]:
+        """The language with most letters in words that tell languages apart, their share of all letters, and the share of letters in words of any language's script."""
         words = LETTERS.findall(text.lower()) if text else []
         if not self.langs or not any(any(map(str.isalpha, w)) for w in words):
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, 0.0
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         at = self.rows_of(words)
-        path = self._path(at)
+        path, known = self._path(at), float(size[at > 0].sum() / size.sum())
         told = np.where(self._table[at].any(axis=1) | (len(self.langs) == 1), size, 0)
         held = np.bincount(path + 1, weights=told, minlength=len(self.langs) + 1)[1:]
         if held.any():
             best = int(held.argmax())
-            return self.langs[best], float(held[best] / size.sum())
-        return self.langs[int(np.bincount(path + 1, weights=size, minlength=len(self.langs) + 1)[1:].argmax())], 0.0
+            return self.langs[best], float(held[best] / size.sum()), known
+        return self.langs[int(np.bincount(path + 1, weights=size, minlength=len(self.langs) + 1)[1:].argmax())], 0.0, known
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """The language of a text and its share of the letters."""
+        return self.describe(text)[:2]
 
 
 def fit(rows: list[tuple[str, str]], min_count: int = 2, frequent: int = 20) -> LanguageModel:
@@ -256,11 +260,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit([(r["__text"], r["__lang"]) for r in rows])
 
 
-PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())])
 
 
 def predict_column(model: LanguageModel, text: Column, spark) -> Column:
-    """Struct (lang_pred, score) of every whole text, as a column."""
+    """Struct (lang_pred, score, known) of every whole text, as a column; see :meth:`LanguageModel.describe`."""
     bound_batches()
     shared = spark.sparkContext.broadcast(model)
 
@@ -268,6 +272,6 @@ def predict_column(model: LanguageModel, text: Column, spark) -> Column:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for texts in batches:
-            yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame([own.describe(t) for t in texts], columns=PREDICTION.names)
 
     return predict(text)

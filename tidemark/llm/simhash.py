@@ -191,11 +191,14 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, bucket_limit: int = 1024) -> DataFrame:
-    """doc_id, fp (signed long), component_id for every row: classes of fingerprints within ``radius`` bits."""
+    """doc_id, fp (signed long), component_id and component for every row: classes of fingerprints within ``radius`` bits.
+
+    ``component`` names the class by its smallest fingerprint, also where no row of it has an id.
+    """
     prints, _ = materialise(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), "prints")
     nodes, _ = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = components(candidate_edges(nodes.select(F.col("fp").alias("nid"), "fp"), radius, bucket_limit))
     named = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "component").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = named.join(least, "component").select("fp", "component_id", "component")
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id", "component")
