@@ -81,26 +81,10 @@ def test_odd_urls_are_found_and_only_odd_characters_are_encoded(spark, stored):
     assert head["WARC-Target-URI"] == "http://a.org/x%09y%7F%20z" and block.endswith(b"\r\n\r\n\r\n\r\n\r\n")
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 7, 100, 10**6])
-def test_records_come_from_pieces_of_any_size(size):
-    blocks = [b"", b"\r\n", b"\r\n\r\n", b"a\r\n\r\nWARC/1.1", b"x" * 50]
-    raw = [b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in blocks]
-    data, records, got = b"".join(raw), warc.Records(), []
-    for at in range(0, len(data), size):
-        got += records.add(data[at : at + size])
-    records.close()
-    assert [b for _, b, _, _ in got] == blocks
-    assert [(o, n) for _, _, o, n in got] == [(sum(map(len, raw[:i])), len(r)) for i, r in enumerate(raw)]
-    cut = warc.Records()
-    list(cut.add(data[:-1]))
-    with pytest.raises(ValueError):
-        cut.close()
-
-
 def test_many_captures_of_one_key_and_a_thinned_directory(spark, tmp_path):
     rows = [(i, "http://hot.org/", f"v{i}") for i in range(60)] + [(100 + i, f"http://h{i}.org/{i}", f"p{i}") for i in range(40)]
     path = f"file://{tmp_path}"
-    warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(2), f"{path}/a", records_per_file=30)
+    warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(2), f"{path}/a", file_bytes=4000)
     warc.build_index(warc.scan_archives(spark, f"{path}/a"), f"{path}/i", block_entries=5)
     for top_rows in (1000, 4):
         index = warc.CaptureIndex(spark, f"{path}/i", top_rows)
@@ -112,11 +96,14 @@ def test_many_captures_of_one_key_and_a_thinned_directory(spark, tmp_path):
         assert list(index.captures("http://zzz.org/")) == [] == list(index.captures("http://0.com/"))
 
 
-def test_a_large_file_is_streamed(spark, tmp_path):
-    """One file far larger than what the reader would split; its records come back one at a time."""
-    pages = spark.range(300, numPartitions=1).selectExpr("id AS page_id", "concat('http://a.org/', id) AS url", "repeat(concat('text ', id, ' '), 100000) AS html")
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    pages = spark.range(300, numPartitions=1).selectExpr("id AS page_id", "concat('http://a.org/', id) AS url", "repeat(concat('text ', id, ' '), IF(id % 50 = 0, 100000, 100)) AS html")
     path = f"file://{tmp_path}"
-    warc.write_archives(pages, f"{path}/a")
-    entries = warc.scan_archives(spark, f"{path}/a")
-    assert entries.count() == 300 and entries.select("file").distinct().count() == 1
-    assert entries.agg({"offset": "max"}).first()[0] > 200_000_000
+    warc.write_archives(pages, f"{path}/a", file_bytes=1 << 20)
+    entries = warc.scan_archives(spark, f"{path}/a").collect()
+    assert sorted(r["page_id"] for r in entries) == list(range(300))
+    sizes, longest = {}, max(r["length"] for r in entries)
+    for r in entries:
+        sizes[r["file"]] = sizes.get(r["file"], 0) + r["length"]
+    assert len(sizes) > 3 and max(sizes.values()) <= (1 << 20) + longest
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"

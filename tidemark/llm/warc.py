@@ -4,11 +4,11 @@ Writing: a page is one WARC/1.1 record. Equal payloads are found by digest; the
 smallest id is the response, the others revisit it. Records are built by expressions and written by
 Spark's own text writer, whose line separator is the blank line that ends a record, so archives are
 plain concatenated records in any file system Spark knows, and a lost executor's files are written
-again by the commit protocol.
+again by the commit protocol. A file ends with the record that brings it to ``file_bytes``, so files are
+bounded by that and one record.
 
-Index: archives are streamed back, a file to a task and a record at a time, so files and records may be of any
-size; digests are verified, and each record gives an entry keyed by its host-reversed URL. Entries are
-sorted by range partitioning (the id breaks ties, so one hot host spreads over partitions) and packed into
+Index: archives are read back a file at a time, digests are verified, and each record gives an entry
+keyed by its host-reversed URL. Entries are sorted by range partitioning (the id breaks ties, so one hot host spreads over partitions) and packed into
 compressed blocks of ``block_entries``; a sparse directory keeps the first key of every block. A lookup
 finds the block in the directory and the entry in the block by binary search, and reads the record's byte
 range only; captures come one after another, so a key may have any number of them.
@@ -28,6 +28,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pandas as pd
@@ -84,17 +85,52 @@ def record_column(page_id: Column, url: Column, payload: Column, digest: Column,
     return F.concat(head, body)
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", records_per_file: int = 4000) -> None:
+def file_numbers(sizes: Column, file_bytes: int) -> Column:
+    """Number of the file that each record of a task goes to: a new one begins after ``file_bytes``. Only the sizes go through Python."""
+
+    @F.pandas_udf(T.LongType())
+    def numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        number = held = 0
+        for batch in batches:
+            out = []
+            for size in batch.tolist():
+                out.append(number)
+                held += size
+                if held >= file_bytes:
+                    number, held = number + 1, 0
+            yield pd.Series(out, dtype="int64")
+
+    return numbers.asNondeterministic()(sizes)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for what runs within the block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = 64 << 20) -> None:
     """Write all pages as WARC files below ``path``.
 
     Only ids and digests are shuffled to find equal payloads. The html itself is joined with the table of
-    revisits, which Spark broadcasts only while that table's size on disk is within its limit.
+    revisits, which Spark broadcasts only while that table's size on disk is within its limit. Rows wait for
+    their file's number a hundred at a time, and up to 16 files of a task are written without a sort.
     """
     repeated, _ = materialise(revisits(pages, id_col, html_col), "revisits")
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload")).withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
     joined = own.join(repeated, ["page_id", "digest"], "left")
-    lines = joined.select(record_column(F.col("page_id"), F.col("url"), F.col("payload"), F.col("digest"), F.col("refers_to")).alias("value"))
-    lines.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", records_per_file).text(path)
+    record = record_column(F.col("page_id"), F.col("url"), F.col("payload"), F.col("digest"), F.col("refers_to"))
+    lines = joined.select(record.alias("value"))
+    numbered = lines.withColumn("file_no", file_numbers(F.octet_length("value"), file_bytes))
+    with settings(pages.sparkSession, {BATCH_KEY: "100", "spark.sql.maxConcurrentOutputFileWriters": "16"}):
+        numbered.write.partitionBy("file_no").option("lineSep", SEPARATOR).text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -140,64 +176,22 @@ ENTRIES = T.StructType(
 )
 
 
-class Records:
-    """Records of one archive from pieces of its bytes that come in order; a record is given out when it is whole."""
-
-    def __init__(self):
-        self.held, self.offset, self.need = bytearray(), 0, 0
-
-    def add(self, piece: bytes) -> Iterator[tuple[dict, bytes, int, int]]:
-        """Headers, block, offset and length of each record that the piece completes."""
-        self.held += piece
-        while len(self.held) > self.need:
-            if not self.need:
-                cut = self.held.find(b"\r\n\r\n")
-                if cut < 0:
-                    return
-                self.need = cut + 4 + int(headers(self.held[:cut])["Content-Length"]) + 3
-                continue
-            head, block, end = read_record(self.held, 0)
-            yield head, bytes(block), self.offset, end
-            del self.held[:end]
-            self.offset, self.need = self.offset + end, 0
-
-    def close(self) -> None:
-        if self.held:
-            raise ValueError(f"the archive ends within the record at {self.offset}")
-
-
 def scan_archives(spark: SparkSession, path: str) -> DataFrame:
-    """An entry for every record of the archives below ``path``, read back from their bytes and kept as a table.
-
-    Spark's text reader cuts the files at blank lines, wherever these stand; the pieces of a file are put
-    together again record by record. A file is one task: a session of its own keeps the reader from splitting or
-    packing files.
-    """
+    """An entry for every record of the archives below ``path``, read back from their bytes."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, records = None, Records()
-        for batch in batches:
-            out = []
-            for file, piece in zip(batch["file"], batch["piece"], strict=True):
-                if file != name:
-                    records.close()
-                    name, records = file, Records()
-                for head, block, offset, length in records.add(bytes(piece) + SEPARATOR.encode()):
+        for files in batches:
+            for name, data in zip(files["path"], files["content"], strict=True):
+                data, at, out = bytes(data), 0, []
+                while at < len(data):
+                    head, block, end = read_record(data, at)
                     e = describe(head, block)
-                    out.append((url_key(e["url"]), e["page_id"], e["url"], e["type"], e["digest"], e["bytes"], e["refers_to"], name, offset, length))
-            if out:
+                    out.append((url_key(e["url"]), e["page_id"], e["url"], e["type"], e["digest"], e["bytes"], e["refers_to"], name, at, end - at))
+                    at = end
                 yield pd.DataFrame(out, columns=ENTRIES.names).astype({"page_id": "Int64", "refers_to": "Int64"})
-        records.close()
 
-    own = spark.newSession()
-    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
-        own.conf.set(key, str(1 << 50))
-    own.conf.set(BATCH_KEY, "1000")
-    lines = own.read.option("lineSep", SEPARATOR).option("pathGlobFilter", "part-*").text(path)
-    pieces = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
-    target = new_path(spark, "entries")
-    pieces.mapInPandas(scan, ENTRIES).write.parquet(target)
-    return spark.read.schema(ENTRIES).parquet(target)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    return files.select("path", "content").mapInPandas(scan, ENTRIES)
 
 
 BLOCKS = T.StructType([T.StructField(n, t) for n, t in (("first_key", T.StringType()), ("first_id", T.LongType()), ("last_key", T.StringType()), ("entries", T.LongType()), ("block", T.StringType()), ("data", T.BinaryType()))])
@@ -308,5 +302,6 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     spark = pages.sparkSession
     archives, index = new_path(spark, "warc"), new_path(spark, "capture-index")
     write_archives(pages, archives, id_col, url_col, html_col)
-    build_index(scan_archives(spark, archives), index)
+    entries, _ = materialise(scan_archives(spark, archives), "entries")  # range partitioning reads its input twice
+    build_index(entries, index)
     return archives, index
