@@ -36,7 +36,7 @@ def test_train_metrics(spark):
 def test_popularity_leaves_out_what_was_seen(spark):
     seen = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "user_id long, item_id long")
     popular = spark.createDataFrame([(i, 10 - i) for i in range(1, 6)], "item_id long, popularity long")
-    got = recommend.popular_top_n(seen, seen, popular, 2, 2).collect()
+    got = recommend.popular_top_n(seen, seen, popular, 2).collect()
     assert {(r["user_id"], r["item_id"], r["rank"]) for r in got} == {(1, 3, 1), (1, 4, 2), (2, 1, 1), (2, 2, 2)}
 
 
@@ -151,14 +151,14 @@ def test_sampler_ranks_by_information(spark):
     labels = [(1, "a"), (2, "b"), (2, "a"), (3, "c"), (4, "a"), (5, "b"), (6, "c"), (7, "a")]
     e = spark.createDataFrame(edges, "u long, t long")
     lab, seeds = spark.createDataFrame(labels, "user_id long, persona string"), spark.createDataFrame([(1,), (2,)], "u long")
-    run = models.sampler_run(e, e, seeds, e.select("u").distinct(), 1, 3, lab).where("round > 0").orderBy("round").collect()
+    run = models.sampler_run(e, seeds, e.select("u").distinct(), 1, 3, lab).where("round > 0").orderBy("round").collect()
     chosen = [1, 2]
     for r in run:
         gains = slow_gains(set(edges), labels, chosen)
         assert gains[r["u"]] == pytest.approx(max(gains.values()))
         chosen.append(r["u"])
     assert len(chosen) == 5
-    back = [r["u"] for r in models.sampler_run(e, e, seeds, e.select("u").distinct(), 1, 3, lab, reverse=True).where("round = 1").collect()]
+    back = [r["u"] for r in models.sampler_run(e, seeds, e.select("u").distinct(), 1, 3, lab, reverse=True).where("round = 1").collect()]
     assert back == [6]  # shares no item with users 1 and 2
 
 
@@ -168,7 +168,7 @@ def test_teleport_and_step(spark):
     p = graph.transition(e)
     assert graph.with_teleport(p, users).agg(F.min("p")).first()[0] > 0.001 / users - 1e-12
     start = e.select(F.col("u").alias("v")).distinct().withColumn("mass", F.lit(1 / users))
-    assert graph.pagerank_step(start, p).agg(F.sum("mass")).first()[0] == pytest.approx(1)
+    assert graph.pagerank_step(start, e).agg(F.sum("mass")).first()[0] == pytest.approx(1)
 
 
 def test_rankings_for_the_sampler(spark):
@@ -176,7 +176,7 @@ def test_rankings_for_the_sampler(spark):
     known = spark.createDataFrame([(1,)], "t long")
     got = {r["u"]: r["unseen"] for r in graph.coverage_rank(edges.select("u").distinct(), edges, known).collect()}
     assert got == {1: 1, 2: 0, 3: 3}
-    run = models.sampler_run(edges, edges, spark.createDataFrame([(1,)], "u long"), edges.select("u").distinct(), 1, 5)
+    run = models.sampler_run(edges, spark.createDataFrame([(1,)], "u long"), edges.select("u").distinct(), 1, 5)
     assert [r["u"] for r in run.orderBy("round").collect()] == [1, 2, 3]
 
 
@@ -188,17 +188,15 @@ def test_learned_operators_hold_their_invariants(spark):
     scaled = models.scale(rows.withColumn("c", F.lit(5.0)), ["a", "c"]).agg(F.avg("a").alias("m"), F.stddev_pop("a").alias("s"), F.max("c").alias("c")).first()
     assert scaled["m"] == pytest.approx(0, abs=1e-9) and scaled["s"] == pytest.approx(1) and scaled["c"] == 0
     scores = spark.createDataFrame([(u, i, 1 + (u + i) % 4) for u in range(8) for i in range(10) if (u + i) % 2], "user_id long, item_id long, score long")
-    recs = models.als_top_n(models.fit_als(scores, rank=4, iterations=3), scores.select("user_id"), scores, 3, 10)
+    recs = models.als_top_n(models.fit_als(scores, rank=4, iterations=3), scores.select("user_id"), scores, 3)
     assert recs.join(scores, ["user_id", "item_id"]).count() == 0
     for u in {r["user_id"] for r in recs.collect()}:
         ranks = sorted(r["rank"] for r in recs.where(F.col("user_id") == u).collect())
         assert ranks == list(range(1, len(ranks) + 1)) and len(ranks) == 3
     edges = scores.select(F.col("user_id").alias("u"), F.col("item_id").alias("i"))
-    first, losses = models.train_bpr(edges, dims=4, epochs=15)
-    again, _ = models.train_bpr(edges, dims=4, epochs=15)
-    assert np.isfinite(losses).all() and losses[-1] < losses[0] and np.array_equal(first["user_vectors"], again["user_vectors"])
     items = recommend.encode_ids(scores, "item_id", "tidx")
     negative = models.sample_negatives(scores.select("user_id", "item_id"), items, 2)
+    assert negative.count() == 2 * scores.count()
     assert negative.join(scores.select("user_id", F.col("item_id").alias("negative")), ["user_id", "negative"]).count() == 0
     assert models.seeded_sample(rows, "customer_id", 5).collect() == models.seeded_sample(rows.repartition(3), "customer_id", 5).collect()
     folds = models.stratified_folds(rows.withColumn("y", (F.col("customer_id") % 2)), "customer_id", "y", 4)

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans, KMeansModel
+import pandas as pd
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.operators.recommend import top_n
+from tidemark.operators.recommend import encode_ids
 
 
 def scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -45,133 +48,319 @@ def _vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="__features").transform(df)
 
 
-def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int = 6, restarts: int = 5, seed: int = 42) -> KMeansModel:
-    """The restart with the smallest inertia, on scaled columns."""
-    ready = _vectors(df, columns).select("__features").cache()
+SUMS = T.StructType(
+    [
+        T.StructField("model", T.IntegerType()),
+        T.StructField("centre", T.IntegerType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("cost", T.DoubleType()),
+        T.StructField("sums", T.ArrayType(T.DoubleType())),
+    ]
+)
+APART = T.StructType([T.StructField(n, t) for n, t in (("model", T.IntegerType()), ("centre", T.IntegerType()), ("query", T.IntegerType()), ("n", T.LongType()), ("total", T.DoubleType()))])
+
+
+@dataclass(frozen=True)
+class Clustering:
+    """Centres, sorted so that equal ones give equal ids, with sizes and the sum of squared distances."""
+
+    centres: np.ndarray
+    sizes: np.ndarray
+    inertia: float
+
+
+def _points(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+
+
+def _square_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None, :])
+
+
+def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Start centres, each drawn with a chance in proportion to its squared distance from those before."""
+    centres = [x[rng.integers(len(x))]]
+    near = _square_distances(x, centres[0][None])[:, 0]
+    while len(centres) < k:
+        total = near.sum()
+        centres.append(x[rng.choice(len(x), p=near / total)] if total > 0 else x[rng.integers(len(x))])
+        near = np.minimum(near, _square_distances(x, centres[-1][None])[:, 0])
+    return np.array(centres)
+
+
+def _one_pass(points: DataFrame, models: dict[int, np.ndarray], dims: int) -> dict[int, list]:
+    """Sizes, sums and costs by centre of all models, from one pass over the points."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = {m: [np.zeros(len(c)), np.zeros(len(c)), np.zeros(c.shape)] for m, c in models.items()}
+        stacked = np.concatenate(list(models.values()))
+        for batch in batches:
+            x = np.array(batch["x"].tolist(), dtype=float).reshape(len(batch), dims)
+            far, at = _square_distances(x, stacked), 0
+            for m, c in models.items():
+                own = far[:, at : at + len(c)]
+                at += len(c)
+                nearest = own.argmin(1)
+                held[m][0] += np.bincount(nearest, minlength=len(c))
+                held[m][1] += np.bincount(nearest, weights=own[np.arange(len(x)), nearest], minlength=len(c))
+                for d in range(dims):
+                    held[m][2][:, d] += np.bincount(nearest, weights=x[:, d], minlength=len(c))
+        rows = [(m, j, int(n[j]), float(cost[j]), total[j].tolist()) for m, (n, cost, total) in held.items() for j in range(len(n))]
+        yield pd.DataFrame(rows, columns=SUMS.names)
+
+    parts = points.mapInPandas(sums, SUMS)
+    added = F.array(*[F.sum(F.col("sums")[d]) for d in range(dims)])
+    rows = parts.groupBy("model", "centre").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), added.alias("sums")).collect()
+    out = {m: [np.zeros(len(c)), np.zeros(len(c)), np.zeros(c.shape)] for m, c in models.items()}
+    for r in rows:
+        for held, value in zip(out[r["model"]], (r["n"], r["cost"], r["sums"]), strict=True):
+            held[r["centre"]] = value
+    return out
+
+
+def cluster(points: DataFrame, dims: int, ks: Sequence[int], restarts: int = 20, seed: int = 42, max_iter: int = 300, tol: float = 1e-4, start_rows: int = 10_000) -> dict[int, Clustering]:
+    """By k, the best of ``restarts`` k-means runs; all runs of all k share each pass over the points (x).
+
+    Start centres come from k-means++ on at most ``start_rows`` rows in the order of a hash. A run is done when its
+    centres move by less than ``tol`` of the columns' mean variance. An empty cluster keeps its centre.
+    """
+    sample = np.array([r["x"] for r in points.orderBy(F.xxhash64("x")).limit(start_rows).collect()], dtype=float).reshape(-1, dims)
+    if not len(sample):
+        return {}
+    rng, limit = np.random.default_rng(seed), tol * float(sample.var(axis=0).mean())
+    runs = {i: _plus_plus(sample, k, rng) for i, k in enumerate(k for k in ks for _ in range(restarts))}
+    kinds = [k for k in ks for _ in range(restarts)]
+    done: dict[int, Clustering] = {}
+    for _ in range(max_iter):
+        found = _one_pass(points, runs, dims)
+        for i, (n, cost, total) in found.items():
+            new = np.where(n[:, None] > 0, total / np.maximum(1, n)[:, None], runs[i])
+            moved = float(np.square(new - runs[i]).sum())
+            done[i] = Clustering(runs[i], n, float(cost.sum()))
+            if moved <= limit:
+                del runs[i]
+            else:
+                runs[i] = new
+        if not runs:
+            break
+    best = {k: min((c for i, c in done.items() if kinds[i] == k), key=lambda c: c.inertia) for k in ks}
+    out = {}
+    for k, c in best.items():
+        order = np.lexsort(np.round(c.centres, 9).T[::-1])
+        out[k] = Clustering(c.centres[order], c.sizes[order], c.inertia)
+    return out
+
+
+def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int = 6, restarts: int = 20, seed: int = 42) -> Clustering:
+    """The restart with the smallest inertia."""
+    points = _points(df, columns).persist()
     try:
-        models = [KMeans(k=k, seed=seed + i, featuresCol="__features", predictionCol="segment_id", maxIter=50).fit(ready) for i in range(restarts)]
-        return min(models, key=lambda m: m.summary.trainingCost)
+        found = cluster(points, len(columns), [k], restarts, seed)
+        if not found:
+            raise ValueError("no rows to cluster")
+        return found[k]
     finally:
-        ready.unpersist()
+        points.unpersist()
 
 
-def assign_kmeans(model: KMeansModel, df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    """(key, segment_id) with ids in the order of the centres, so that equal centres give equal ids."""
-    order = sorted(range(len(model.clusterCenters())), key=lambda i: tuple(np.round(model.clusterCenters()[i], 9)))
-    names = F.array(*[F.lit(order.index(i)) for i in range(len(order))])
-    return model.transform(_vectors(df, columns)).select(key, F.element_at(names, F.col("segment_id") + 1).cast("long").alias("segment_id"))
+def assign_kmeans(model: Clustering, df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    """(key, segment_id): the nearest centre; ties go to the smaller id."""
+    x = F.array(*[F.col(c).cast("double") for c in columns])
+    far = lambda c: F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    nearest = F.array_min(F.array(*[F.struct(far(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(model.centres)]))
+    return df.select(key, nearest["i"].cast("long").alias("segment_id"))
 
 
-def k_sweep(df: DataFrame, columns: Sequence[str], ks: Sequence[int], restarts: int = 2) -> DataFrame:
-    """By k, inertia, simplified silhouette (distances to centres) and the smallest and largest share."""
-    spark, rows = df.sparkSession, []
-    ready = _vectors(df, columns).select("__features").cache()
-    for k in ks:
-        model = min((KMeans(k=k, seed=42 + i, featuresCol="__features", predictionCol="c", maxIter=30).fit(ready) for i in range(restarts)), key=lambda m: m.summary.trainingCost)
-        centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-        x = vector_to_array("__features")
-        apart = F.array_sort(F.transform(centres, lambda c: F.sqrt(F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))))
-        near = ready.select(apart.alias("d")).agg(F.avg(F.try_divide(F.col("d")[1] - F.col("d")[0], F.col("d")[1])).alias("s")).first()["s"]
-        sizes = model.summary.clusterSizes
-        rows.append((k, float(model.summary.trainingCost), float(near or 0.0), min(sizes) / sum(sizes), max(sizes) / sum(sizes)))
-    ready.unpersist()
-    return spark.createDataFrame(rows, "k int, inertia double, silhouette double, smallest double, largest double")
+def silhouettes(points: DataFrame, dims: int, models: dict[int, np.ndarray], queries: int = 1000) -> dict[int, float]:
+    """By model, the mean Euclidean silhouette of at most ``queries`` points, each against all points.
+
+    The points asked for are the first in the order of a hash; if there are no more, the value is exact.
+    """
+    asked = np.array([r["x"] for r in points.orderBy(F.xxhash64("x")).limit(queries).collect()], dtype=float).reshape(-1, dims)
+
+    def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sizes = {m: np.zeros(len(c), dtype=np.int64) for m, c in models.items()}
+        totals = {m: np.zeros((len(c), len(asked))) for m, c in models.items()}
+        for batch in batches:
+            every = np.array(batch["x"].tolist(), dtype=float).reshape(len(batch), dims)
+            for at in range(0, len(every), 2000):
+                x = every[at : at + 2000]
+                far = np.sqrt(np.square(x[:, None, :] - asked[None]).sum(2))
+                for m, c in models.items():
+                    nearest = _square_distances(x, c).argmin(1)
+                    sizes[m] += np.bincount(nearest, minlength=len(c))
+                    for j in range(len(c)):
+                        totals[m][j] += far[nearest == j].sum(0)
+        for m, c in models.items():
+            for j in range(len(c)):
+                yield pd.DataFrame({"model": m, "centre": j, "query": np.arange(len(asked)), "n": sizes[m][j], "total": totals[m][j]})
+
+    rows = points.mapInPandas(distances, APART).groupBy("model", "centre", "query").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
+    out = {}
+    for m, c in models.items():
+        n, total = np.zeros(len(c)), np.zeros((len(c), len(asked)))
+        for r in rows:
+            if r["model"] == m:
+                n[r["centre"]], total[r["centre"], r["query"]] = r["n"], r["total"]
+        own, at = _square_distances(asked, c).argmin(1), np.arange(len(asked))
+        inner = total[own, at] / np.maximum(1, n[own] - 1)
+        means = np.where(n[:, None] > 0, total / np.maximum(1, n)[:, None], np.inf)
+        means[own, at] = np.inf
+        outer = means.min(axis=0)
+        value = np.where((n[own] > 1) & np.isfinite(outer), (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0)
+        out[m] = float(value.mean()) if len(value) else 0.0
+    return out
+
+
+def k_sweep(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(3, 10), restarts: int = 20) -> tuple[DataFrame, DataFrame]:
+    """By k, inertia, Euclidean silhouette and the smallest and largest share; and (k, segment_id, size, share)."""
+    spark, points = df.sparkSession, _points(df, columns).persist()
+    try:
+        found = cluster(points, len(columns), ks, restarts)
+        near = silhouettes(points, len(columns), {k: c.centres for k, c in found.items()}) if found else {}
+    finally:
+        points.unpersist()
+    rows = [(int(k), c.inertia, near[k], float(c.sizes.min() / c.sizes.sum()), float(c.sizes.max() / c.sizes.sum())) for k, c in found.items()]
+    sizes = [(int(k), j, int(n), float(n / c.sizes.sum())) for k, c in found.items() for j, n in enumerate(c.sizes)]
+    measures = spark.createDataFrame(rows, "k int, inertia double, silhouette double, smallest double, largest double")
+    return measures, spark.createDataFrame(sizes, "k int, segment_id int, size long, share double")
+
 
+def nearest_centre(points: DataFrame, key: str, vec: str, centres: DataFrame, most: int = 10_000) -> DataFrame:
+    """(key, centre, distance) of the nearest of a few centres (centre, cvec); ties go to the smaller centre.
 
-def nearest_centre(points: DataFrame, key: str, vec: str, centres: DataFrame) -> DataFrame:
-    """(key, centre, distance) of the nearest of a few centres (centre, cvec); ties go to the smaller centre."""
+    The centres are one row with an array, which is sent to all tasks: points are neither multiplied nor shuffled.
+    """
     size = centres.count()
-    if size > 10_000:
+    if size > most:
         raise ValueError(f"{size} centres are too many to be sent to every task")
-    pairs = points.crossJoin(F.broadcast(centres))
-    far = F.aggregate(F.zip_with(vec, "cvec", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    return pairs.groupBy(key).agg(F.min(F.struct(far.alias("d"), F.col("centre").alias("c"))).alias("x")).select(key, F.col("x.c").alias("centre"), F.sqrt("x.d").alias("distance"))
+    listed = centres.agg(F.array_sort(F.collect_list(F.struct(F.col("centre"), F.col("cvec")))).alias("__centres"))
+    square = lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))
+    far = lambda c: F.aggregate(F.zip_with(vec, c["cvec"], square), F.lit(0.0), lambda s, v: s + v)
+    best = F.array_min(F.transform("__centres", lambda c: F.struct(far(c).alias("d"), c["centre"].alias("c"))))
+    found = points.crossJoin(F.broadcast(listed)).select(key, best.alias("x")).where(F.col("x").isNotNull())
+    return found.select(key, F.col("x.c").alias("centre"), F.sqrt("x.d").alias("distance"))
 
 
-def fit_als(scores: DataFrame, rank: int = 16, iterations: int = 10, reg: float = 0.1, alpha: float = 0.5, seed: int = 42) -> ALSModel:
-    """Implicit ALS on (user_id, item_id, score)."""
-    typed = scores.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), F.col("score").cast("float"))
-    return ALS(userCol="user_id", itemCol="item_id", ratingCol="score", implicitPrefs=True, rank=rank, maxIter=iterations, regParam=reg, alpha=alpha, seed=seed, coldStartStrategy="drop").fit(typed)
+@dataclass(frozen=True)
+class Als:
+    """A fitted model with the encodings of its users (user_id, uidx) and items (item_id, tidx)."""
 
+    model: ALSModel
+    users: DataFrame
+    items: DataFrame
 
-def als_top_n(model: ALSModel, users: DataFrame, seen: DataFrame, n: int, longest_history: int) -> DataFrame:
-    """By user, the n best items not seen: the model's list is long enough for the longest history."""
-    lists = model.recommendForUserSubset(users.select(F.col("user_id").cast("int")).distinct(), n + longest_history)
-    flat = lists.select(F.col("user_id").cast("long").alias("user_id"), F.explode("recommendations").alias("x")).select("user_id", F.col("x.item_id").cast("long").alias("item_id"), F.round(F.col("x.rating").cast("double"), 6).alias("score"))
-    return top_n(flat.join(seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti"), n)
+    def vectors(self, side: str) -> DataFrame:
+        """(id, vec) of the users or items."""
+        factors, names, idx, key = (self.model.userFactors, self.users, "uidx", "user_id") if side == "users" else (self.model.itemFactors, self.items, "tidx", "item_id")
+        return factors.select(F.col("id").cast("long").alias(idx), F.transform("features", lambda x: x.cast("double")).alias("vec")).join(names, idx).select(key, "vec")
 
 
-def grid(param_rows: Sequence[dict], run) -> list[dict]:
-    """Results of a function over parameter combinations, best NDCG first."""
-    return sorted(({**p, **run(**p)} for p in param_rows), key=lambda r: -r["ndcg"])
+def typed_scores(scores: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """(uidx, tidx, score) in the types of the library."""
+    return scores.join(users, "user_id").join(items, "item_id").select(F.col("uidx").cast("int").alias("uidx"), F.col("tidx").cast("int").alias("tidx"), F.col("score").cast("float").alias("score"))
 
 
-def train_bpr(edges: DataFrame, dims: int = 16, layers: int = 2, epochs: int = 20, lr: float = 0.05, l2: float = 1e-4, negatives: int = 4, seed: int = 42, max_edges: int = 2_000_000) -> tuple[dict[str, np.ndarray], list[float]]:
-    """Vectors of users (u) and items (i) trained by BPR on propagated rows, and the loss by epoch.
+def fit_als(scores: DataFrame, rank: int = 16, iterations: int = 10, reg: float = 0.1, alpha: float = 0.5, seed: int = 42, encoded: tuple[DataFrame, DataFrame] | None = None, typed: DataFrame | None = None) -> Als:
+    """Implicit ALS on (user_id, item_id, score); ids of any size are encoded first, as the library takes 32 bits."""
+    users, items = encoded or (encode_ids(scores, "user_id", "uidx"), encode_ids(scores, "item_id", "tidx"))
+    typed = typed_scores(scores, users, items) if typed is None else typed
+    als = ALS(userCol="uidx", itemCol="tidx", ratingCol="score", implicitPrefs=True, rank=rank, maxIter=iterations, regParam=reg, alpha=alpha, seed=seed, coldStartStrategy="drop")
+    return Als(als.fit(typed), users, items)
 
-    Training is mini-batch descent on the driver; ``max_edges`` bounds what it may collect.
-    """
-    rows = edges.select("u", "i").distinct().limit(max_edges + 1).toPandas()
-    if len(rows) > max_edges:
-        raise ValueError(f"more than {max_edges} edges")
-    rows = rows.sort_values(["u", "i"])
-    users, u = np.unique(rows["u"].to_numpy(), return_inverse=True)
-    items, i = np.unique(rows["i"].to_numpy(), return_inverse=True)
+
+def als_top_n(als: Als, users: DataFrame, seen: DataFrame, n: int) -> DataFrame:
+    """By user, the n best items not seen, whatever the length of a history: products of the factors, with what was seen masked."""
+    from tidemark.operators.graph import score_top_n
+
+    wanted = als.vectors("users").join(users.select("user_id").distinct(), "user_id", "left_semi")
+    return score_top_n(wanted, als.vectors("items"), seen.select("user_id", "item_id").distinct(), n).withColumn("score", F.round("score", 6))
+
+
+def grid(param_rows: Sequence[dict], run, parallel: int = 8) -> list[dict]:
+    """Results of a function over parameter combinations, best NDCG first; a few are run at a time."""
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        found = list(pool.map(lambda p: {**p, **run(**p)}, param_rows))
+    return sorted(found, key=lambda r: -r["ndcg"])
+
+
+#: The combinations of the grid search, and the iterations tried for the best of them.
+ALS_GRID = {"rank": (16, 32, 64, 128), "reg": (0.01, 0.1, 1.0, 10.0), "alpha": (0.5, 1.0, 2.0, 5.0, 10.0)}
+ALS_ITERATIONS = (10, 15, 20, 30, 50)
+
+
+def combinations(values: dict[str, Sequence]) -> list[dict]:
+    return [dict(zip(values, row, strict=True)) for row in product(*values.values())]
+
+
+class Sparse:
+    """A symmetric matrix as sorted edges; products add up by row."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int):
+        order = np.argsort(src, kind="stable")
+        src, self.dst, self.w, self.n = src[order], dst[order], w[order], n
+        self.rows, self.starts = np.unique(src, return_index=True)
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, x.shape[1]))
+        if len(self.rows):
+            out[self.rows] = np.add.reduceat(self.w[:, None] * x[self.dst], self.starts, axis=0)
+        return out
+
+
+def largest_eigenvectors(a: Sparse, k: int, seed: int = 42, tol: float = 1e-9, most: int = 600) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenvalues of a symmetric matrix and their vectors, by a block Krylov space that is started anew from its best vectors."""
+    block = min(a.n, k + 8)
     rng = np.random.default_rng(seed)
-    e_u, e_i = rng.normal(0, 0.1, (len(users), dims)), rng.normal(0, 0.1, (len(items), dims))
-    w = 1 / np.sqrt(np.bincount(u, minlength=len(users))[u] * np.bincount(i, minlength=len(items))[i])
-    liked = set(zip(u.tolist(), i.tolist(), strict=True))
-
-    def spread(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total_a, total_b, x, y = a.copy(), b.copy(), a, b
-        for _ in range(layers):
-            nx, ny = np.zeros_like(x), np.zeros_like(y)
-            np.add.at(nx, u, w[:, None] * y[i])
-            np.add.at(ny, i, w[:, None] * x[u])
-            x, y = nx, ny
-            total_a += x
-            total_b += y
-        return total_a / (layers + 1), total_b / (layers + 1)
-
-    losses = []
-    for _ in range(epochs):
-        p_u, p_i = spread(e_u, e_i)
-        who, good = np.repeat(u, negatives), np.repeat(i, negatives)
-        bad = rng.integers(0, len(items), len(who))
-        keep = np.array([(a, b) not in liked for a, b in zip(who.tolist(), bad.tolist(), strict=True)], dtype=bool)
-        who, good, bad = who[keep], good[keep], bad[keep]
-        gap = np.einsum("nd,nd->n", p_u[who], p_i[good] - p_i[bad])
-        losses.append(float(np.mean(np.logaddexp(0, -gap)) + l2 * (np.square(e_u).mean() + np.square(e_i).mean())))
-        if not np.isfinite(losses[-1]):
-            raise FloatingPointError("the loss diverged")
-        g = -1 / (1 + np.exp(np.clip(gap, -50, 50)))[:, None]
-        g_u, g_i = np.zeros_like(p_u), np.zeros_like(p_i)
-        np.add.at(g_u, who, g * (p_i[good] - p_i[bad]))
-        np.add.at(g_i, good, g * p_u[who])
-        np.add.at(g_i, bad, -g * p_u[who])
-        back_u, back_i = spread(g_u, g_i)  # the spread is symmetric, so it is its own adjoint
-        scale_ = lr * len(users) / max(1, len(who))
-        e_u -= scale_ * back_u + lr * l2 * e_u
-        e_i -= scale_ * back_i + lr * l2 * e_i
-    p_u, p_i = spread(e_u, e_i)
-    return {"users": users, "items": items, "user_vectors": p_u, "item_vectors": p_i}, losses
-
-
-def laplacian_vectors(edges: DataFrame, k: int = 8, max_nodes: int = 4000) -> DataFrame:
-    """(node, vec) of the k smallest eigenvectors of the normalised Laplacian of a small graph (src, dst, w)."""
-    rows = edges.groupBy("src", "dst").agg(F.sum("w").alias("w")).toPandas()
-    nodes = sorted({*rows["src"], *rows["dst"]})
-    if len(nodes) > max_nodes:
-        raise ValueError(f"more than {max_nodes} nodes")
-    at = {n: j for j, n in enumerate(nodes)}
-    a = np.zeros((len(nodes), len(nodes)))
-    for s, d, w in rows.itertuples(index=False):
-        a[at[s], at[d]] += w
-        a[at[d], at[s]] += w
-    deg = a.sum(1)
+    start = np.linalg.qr(rng.normal(size=(a.n, block)))[0]
+    for _ in range(200):
+        basis, image, last = start, a @ start, start
+        while True:
+            values, mix = np.linalg.eigh(basis.T @ image)
+            top = mix[:, ::-1][:, :k]
+            vectors, applied = basis @ top, image @ top
+            values = values[::-1][:k]
+            if np.linalg.norm(applied - vectors * values, axis=0).max(initial=0) <= tol or basis.shape[1] >= a.n:
+                return values, vectors
+            if basis.shape[1] + block > min(a.n, most):
+                break
+            new = image[:, -last.shape[1] :]
+            for _ in range(2):
+                new = new - basis @ (basis.T @ new)
+            last, r = np.linalg.qr(new)
+            last = last[:, np.abs(np.diag(r)) > 1e-10]
+            if not last.shape[1]:
+                last = np.linalg.qr((x := rng.normal(size=(a.n, 1))) - basis @ (basis.T @ x))[0]
+            basis, image = np.hstack([basis, last]), np.hstack([image, a @ last])
+        start = np.linalg.qr(basis @ mix[:, ::-1][:, :block])[0]
+    return values, vectors
+
+
+def laplacian_vectors(edges: DataFrame, k: int = 8, max_edges: int = 5_000_000, dense_nodes: int = 1000) -> DataFrame:
+    """(node, vec) of the k smallest eigenvectors of the normalised Laplacian of a graph (src, dst, w).
+
+    The driver holds the edges, whose number is checked before they are collected; small graphs are solved densely.
+    """
+    merged = edges.groupBy("src", "dst").agg(F.sum("w").alias("w")).persist()
+    try:
+        if (found := merged.count()) > max_edges:
+            raise ValueError(f"{found} edges are more than {max_edges}")
+        rows = merged.toPandas()
+    finally:
+        merged.unpersist()
+    nodes, ids = np.unique(np.concatenate([rows["src"], rows["dst"]]), return_inverse=True) if len(rows) else (np.array([]), np.array([], dtype=int))
+    src, dst, w = ids[: len(rows)], ids[len(rows) :], rows["w"].to_numpy(dtype=float)
+    src, dst, w = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([w, w])
+    deg = np.bincount(src, weights=w, minlength=len(nodes))
     half = np.divide(1, np.sqrt(deg), out=np.zeros_like(deg), where=deg > 0)
-    _, vecs = np.linalg.eigh(np.eye(len(nodes)) - half[:, None] * a * half[None, :])
-    return edges.sparkSession.createDataFrame([(n, [float(x) for x in vecs[j, :k]]) for n, j in at.items()], "node string, vec array<double>")
+    w = w * half[src] * half[dst]
+    if len(nodes) <= max(dense_nodes, 4 * k):
+        dense = np.eye(len(nodes))
+        np.add.at(dense, (src, dst), -w)
+        vecs = np.linalg.eigh(dense)[1][:, :k]
+    else:
+        _, vecs = largest_eigenvectors(Sparse(src, dst, w, len(nodes)), k)
+    return edges.sparkSession.createDataFrame([(str(n), [float(x) for x in vecs[j]]) for j, n in enumerate(nodes)], "node string, vec array<double>")
 
 
 def truncate_basis(vectors: DataFrame, columns: int, normalise: bool) -> DataFrame:
@@ -183,7 +372,7 @@ def truncate_basis(vectors: DataFrame, columns: int, normalise: bool) -> DataFra
     return cut.select("node", F.transform("vec", lambda x: F.coalesce(F.try_divide(x, size), F.lit(0.0))).alias("vec"))
 
 
-def bootstrap_difference(by_user: DataFrame, a: str, b: str, rounds: int = 200, level: float = 0.95) -> DataFrame:
+def bootstrap_difference(by_user: DataFrame, a: str, b: str, rounds: int = 5000, level: float = 0.95) -> DataFrame:
     """Mean difference b - a with a percentile interval over paired resamples.
 
     Each row takes part in each round a Poisson(1) number of times, by a hash of its id and the round: one
@@ -200,16 +389,24 @@ def bootstrap_difference(by_user: DataFrame, a: str, b: str, rounds: int = 200,
 
 
 def sample_negatives(pairs: DataFrame, items: DataFrame, per_pair: int, seed: int = 42) -> DataFrame:
-    """(user_id, item_id, negative): items drawn by hash for each pair that the user has no pair with; ``items`` has a dense index tidx."""
-    n = items.count()
-    drawn = pairs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(per_pair)))).withColumn("tidx", F.pmod(F.xxhash64("user_id", "item_id", "draw", F.lit(seed)), F.lit(max(1, n))))
-    named = drawn.join(items.select("tidx", F.col("item_id").alias("negative")), "tidx").drop("tidx")
-    return named.join(pairs.select("user_id", F.col("item_id").alias("negative")), ["user_id", "negative"], "left_anti").select("user_id", "item_id", "negative")
+    """(user_id, item_id, draw, negative): for each pair ``per_pair`` items that the user has no pair with; ``items`` has a dense index tidx.
+
+    A hash picks among the user's unseen items: the r-th of them is found by a walk over the seen ones in order,
+    so no draw is rejected. A user who has seen all items gives no rows.
+    """
+    total = items.count()
+    seen = pairs.join(items.select("item_id", "tidx"), "item_id").groupBy("user_id").agg(F.array_sort(F.collect_set("tidx")).alias("__seen"))
+    drawn = pairs.join(seen, "user_id").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(per_pair)))).withColumn("__left", F.lit(total) - F.size("__seen"))
+    key = F.concat_ws(":", F.col("user_id").cast("string"), F.col("item_id").cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))
+    nth = F.pmod(F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("long"), F.col("__left").cast("long"))
+    at = F.aggregate("__seen", nth, lambda r, s: F.when(s <= r, r + 1).otherwise(r)).alias("tidx")
+    found = drawn.where("__left > 0").select("user_id", "item_id", "draw", at)
+    return found.join(items.select("tidx", F.col("item_id").alias("negative")), "tidx").select("user_id", "item_id", "draw", "negative")
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows in the order of a hash of their key: the same for the same seed."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """n rows in the order of a portable hash of their key: the same for the same seed."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), key).limit(n)
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5) -> DataFrame:
@@ -219,32 +416,54 @@ def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5) -> Dat
     return bucketed.withColumn("fold", F.pmod(F.row_number().over(order) + F.col("__b"), F.lit(folds)).cast("int")).drop("__b")
 
 
-def cross_validate(df: DataFrame, features: Sequence[str], label: str, folds: int, regs: Sequence[float]) -> DataFrame:
-    """AUC by regularisation and fold of a logistic model; ``df`` has a column fold."""
-    ready = _vectors(df, features).select("__features", F.col(label).cast("double").alias("label"), "fold").cache()
-    rows = []
-    for reg in regs:
-        for k in range(folds):
-            model = LogisticRegression(featuresCol="__features", regParam=reg).fit(ready.where(F.col("fold") != k))
-            rows.append((float(reg), k, float(BinaryClassificationEvaluator().evaluate(model.transform(ready.where(F.col("fold") == k))))))
-    ready.unpersist()
-    return df.sparkSession.createDataFrame(rows, "reg double, fold int, auc double")
+#: Models that cross-validation compares, by name.
+MODELS = {
+    "logistic": lambda: LogisticRegression(featuresCol="__features"),
+    "ridge_logistic": lambda: LogisticRegression(featuresCol="__features", regParam=0.1),
+    "random_forest": lambda: RandomForestClassifier(featuresCol="__features", numTrees=20, seed=42),
+    "boosted_trees": lambda: GBTClassifier(featuresCol="__features", maxIter=10, seed=42),
+}
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The rows in the shared checkpoint folder, without what they come from; kept as they are where no folder is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+def cross_validate(df: DataFrame, features: Sequence[str], label: str, folds: int, names: Sequence[str] = tuple(MODELS), parallel: int = 4) -> DataFrame:
+    """AUC by model and fold; ``df`` has a column fold. A few fits run at a time."""
+    ready = _vectors(df, features).select("__features", F.col(label).cast("double").alias("label"), "fold").cache()
 
+    def one(job: tuple[str, int]) -> tuple[str, int, float]:
+        name, k = job
+        model = MODELS[name]().fit(ready.where(F.col("fold") != k))
+        return name, k, float(BinaryClassificationEvaluator().evaluate(model.transform(ready.where(F.col("fold") == k))))
 
-def sampler_run(transitions: DataFrame, edges: DataFrame, seeds: DataFrame, pool: DataFrame, chunk: int, rounds: int, labels: DataFrame | None = None, criterion: int | None = None, reverse: bool = False) -> DataFrame:
+    try:
+        ready.count()
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            rows = list(pool.map(one, product(names, range(folds))))
+    finally:
+        ready.unpersist()
+    return df.sparkSession.createDataFrame(rows, "model string, fold int, auc double")
+
+
+def sampler_run(
+    edges: DataFrame,
+    seeds: DataFrame,
+    pool: DataFrame,
+    chunk: int,
+    rounds: int,
+    labels: DataFrame | None = None,
+    criterion: int | None = None,
+    reverse: bool = False,
+    done: DataFrame | None = None,
+) -> DataFrame:
     """Users chosen for labelling: the seeds, then in each round the best chunk of the pool; (u, round).
 
     Criterion 3, the default where there are ``labels`` (user_id, persona), takes the largest entropy plus
     divergence under what the users chosen so far are labelled; criterion 1 takes those who know fewest unseen
     items. ``reverse`` scores by the reverse walk, where users that no label reaches come first. The walk is
-    summed over ``edges``, which gives what ``transitions`` hold without a row for each pair of users.
+    summed over ``edges`` without a row for each pair of users. ``done``, an earlier run's result, is continued
+    after its last round, so ``rounds`` more rounds of a stopped run give what one long run gives.
     """
     from tidemark.operators import graph
+    from tidemark.operators.graph import cut
     from tidemark.operators.quality import shares
 
     spark = edges.sparkSession
@@ -252,38 +471,48 @@ def sampler_run(transitions: DataFrame, edges: DataFrame, seeds: DataFrame, pool
     if criterion not in (1, 3) or criterion == 3 and labels is None:
         raise ValueError("criterion 1, or 3 with labels")
     table = lambda rows: spark.createDataFrame(rows, "u long, round int").coalesce(1)
-    picked = [(r["u"], 0) for r in seeds.select("u").collect()]
+    picked = [(r["u"], 0) for r in seeds.select("u").collect()] if done is None else [(r["u"], r["round"]) for r in done.select("u", "round").collect()]
+    first = 1 + max((r for _, r in picked), default=0)
     if criterion == 3:
-        steps, labels = graph.walk_steps(edges).transform(_cut), labels.transform(_cut)  # rounds don't repeat what these come from
+        steps, labels = graph.walk_steps(edges).transform(cut), labels.transform(cut)  # rounds don't repeat what these come from
         users = steps.select("u").distinct().count()
-    pool = pool.select("u").transform(_cut)
-    for i in range(1, rounds + 1):
+    pool = pool.select("u").transform(cut)
+    for i in range(first, first + rounds):
         chosen = table(picked)
         rest = pool.select("u").join(chosen.select("u"), "u", "left_anti")
         if criterion == 1:
             known = edges.join(chosen.select("u"), "u", "left_semi").select("t").distinct()
             ranked = graph.coverage_rank(rest, edges, known).select("u", (-F.col("unseen")).alias("gain"))
         else:
-            known = labels.join(chosen.select(F.col("u").alias("user_id")), "user_id", "left_semi").transform(_cut)
-            scores = (graph.reverse_walk(edges, known) if reverse else graph.forward_scores(steps, known, users)).transform(_cut)
+            known = labels.join(chosen.select(F.col("u").alias("user_id")), "user_id", "left_semi").transform(cut)
+            scores = (graph.reverse_walk(edges, known) if reverse else graph.forward_scores(steps, known, users)).transform(cut)
             current = shares(known, "persona").select("persona", F.col("share").alias("q"))
             ranked = rest.join(graph.information_rank(scores, current, 1e-16 if reverse else 0.0), "u", "left")
-        best = [(r["u"], i) for r in ranked.orderBy(F.desc_nulls_first("gain"), F.xxhash64("u"), "u").limit(chunk).collect()]
+        best = [(r["u"], i) for r in ranked.orderBy(F.desc_nulls_first(F.round("gain", 12)), F.xxhash64("u"), "u").limit(chunk).collect()]
         if not best:
             break
         picked += best
     return table(picked)
 
 
-def save_als(model: ALSModel, users: DataFrame, items: DataFrame, path: str) -> None:
+def sampler_state(run: DataFrame, edges: DataFrame) -> DataFrame:
+    """By round of a sampler's run (u, round), the users labelled and the items known when it ends."""
+    first = edges.join(run, "u").groupBy("t").agg(F.min("round").alias("round")).groupBy("round").agg(F.count(F.lit(1)).alias("items"))
+    users = run.groupBy("round").agg(F.count(F.lit(1)).alias("users"))
+    so_far = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, 0)  # one row a round
+    both = users.join(first, "round", "left")
+    return both.select("round", F.sum("users").over(so_far).alias("labelled"), F.coalesce(F.sum("items").over(so_far), F.lit(0)).alias("known_items"))
+
+
+def save_als(als: Als, path: str) -> None:
     """Keep a model with the encodings it was trained under."""
-    model.write().overwrite().save(f"{path}/model")
-    users.write.mode("overwrite").parquet(f"{path}/users")
-    items.write.mode("overwrite").parquet(f"{path}/items")
+    als.model.write().overwrite().save(f"{path}/model")
+    als.users.write.mode("overwrite").parquet(f"{path}/users")
+    als.items.write.mode("overwrite").parquet(f"{path}/items")
 
 
-def load_als(spark, path: str) -> tuple[ALSModel, DataFrame, DataFrame]:
-    return ALSModel.load(f"{path}/model"), spark.read.parquet(f"{path}/users"), spark.read.parquet(f"{path}/items")
+def load_als(spark, path: str) -> Als:
+    return Als(ALSModel.load(f"{path}/model"), spark.read.parquet(f"{path}/users"), spark.read.parquet(f"{path}/items"))
 
 
 def repeat_runs(run, seeds: Sequence[int]) -> dict[str, tuple[float, float]]:

@@ -58,19 +58,38 @@ def top_items(popular: DataFrame, n: int, item: str = "item_id") -> DataFrame:
     return popular.orderBy(F.desc("popularity"), F.asc(item)).limit(n)
 
 
-def popular_top_n(users: DataFrame, seen: DataFrame, popular: DataFrame, n: int, longest_history: int) -> DataFrame:
+def popular_top_n(users: DataFrame, seen: DataFrame, popular: DataFrame, n: int) -> DataFrame:
     """By user, the n most popular items not seen yet.
 
-    Only the first ``n + longest_history`` items can be needed: a list of that bounded length is held
-    against each user instead of the whole catalogue.
+    A user with h items seen needs no more than the first n + h items: each user asks for that many places of the
+    list by a join, so the rows grow with the users and with what they have seen, not with the longest history.
     """
-    head = top_items(popular, n + longest_history).select("item_id", "popularity")
-    offered = users.select("user_id").distinct().crossJoin(F.broadcast(head))
-    left = offered.join(seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
-    order = Window.partitionBy("user_id").orderBy(F.desc("popularity"), F.asc("item_id"))
+    own = seen.select("user_id", "item_id").distinct()
+    histories = users.select("user_id").distinct().join(own.groupBy("user_id").agg(F.count(F.lit(1)).alias("h")), "user_id", "left")
+    asked = histories.select("user_id", (F.lit(n) + F.coalesce("h", F.lit(0))).alias("places"))
+    longest = asked.agg(F.max("places")).first()[0] or 0
+    by_rank = Window.orderBy(F.desc("popularity"), F.asc("item_id"))  # ids and sums only, no longer than a history
+    head = top_items(popular, longest).select("item_id", "popularity", F.row_number().over(by_rank).alias("place"))
+    offered = asked.select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), "places")).alias("place")).join(head, "place")
+    left = offered.join(own, ["user_id", "item_id"], "left_anti")
+    order = Window.partitionBy("user_id").orderBy("place")
     return left.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n).select("user_id", "item_id", F.col("popularity").cast("double").alias("score"), "rank")
 
 
+def union_recommendations(heavy: DataFrame, cold: DataFrame, user_types: DataFrame) -> DataFrame:
+    """One table (user_id, item_id, score, rank, user_type): the model's list for heavy users, the popular one for cold users."""
+    columns = ("user_id", "item_id", "score", "rank", "user_type")
+    typed = lambda recs, kind: recs.join(user_types.where(F.col("user_type") == kind).select("user_id", "user_type"), "user_id").select(*columns)
+    return typed(heavy, "heavy").unionByName(typed(cold, "cold"))
+
+
+def evaluation_dump(recs: DataFrame, truth: DataFrame, n: int = 100) -> DataFrame:
+    """By user of the truth, its wanted items in order and the first n recommended by rank; no recommendation is an empty list."""
+    wanted = truth.groupBy("user_id").agg(F.array_sort(F.collect_set("item_id")).alias("truth"))
+    lists = recs.where(F.col("rank") <= n).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).getField("item_id").alias("recommended"))
+    return wanted.join(lists, "user_id", "left").select("user_id", "truth", F.coalesce("recommended", F.array().cast("array<bigint>")).alias("recommended"))
+
+
 def top_n(scored: DataFrame, n: int, user: str = "user_id", item: str = "item_id", score: str = "score") -> DataFrame:
     """By user, the n best items with ranks from 1; ties go to the smaller id."""
     order = Window.partitionBy(user).orderBy(F.desc(score), F.asc(item))

@@ -18,11 +18,12 @@ def moment(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-def plan(sql: str | None = None, views: bool = True):
-    """Register a function of the retail views under its name; ``sql`` follows the views' definitions."""
+def plan(sql: str | None = None, views: bool = True, recursive: bool = False):
+    """Register a function of the retail views under its name; ``sql`` follows the views' definitions, and may refer to itself if ``recursive``."""
+    head = ADAPTER_SQL.rstrip().replace("WITH", "WITH RECURSIVE", 1) if recursive else ADAPTER_SQL.rstrip()
 
     def add(f: Callable[[Retail], DataFrame]):
-        text = None if sql is None else f"{ADAPTER_SQL.rstrip()}{sql}" if views else sql
+        text = None if sql is None else f"{head}{sql}" if views else sql
         PLANS[f.__name__] = (lambda spark, path, f=f: f(Retail(spark, path)), text)
         return f
 

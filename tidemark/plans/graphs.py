@@ -28,11 +28,27 @@ trans AS (SELECT a.u, b.u AS v, sum(1.0 / du.d / dt.d) AS p FROM edges a JOIN du
 label AS (SELECT customer_id AS user_id, unnest(CASE WHEN balance >= 5000 THEN [segment, 'WEALTHY'] ELSE [segment] END) AS persona FROM customers WHERE balance >= 1000 AND customer_id IN (SELECT u FROM edges)),
 per_user AS (SELECT user_id, count(*) AS n FROM label GROUP BY 1)"""
 PREDICT = WALK + """, x AS (SELECT user_id AS v, persona, 1.0 / n AS x FROM label JOIN per_user USING (user_id)), inv AS (SELECT persona, 1 / sum(x) AS inv FROM x GROUP BY 1),
-refine AS (SELECT persona, power(inv / (SELECT min(inv) FROM inv), 0.5) AS f FROM inv), near AS (SELECT u, v, p FROM trans WHERE v IN (SELECT user_id FROM label) QUALIFY row_number() OVER (PARTITION BY u ORDER BY p DESC, v) <= 10),
+refine AS (SELECT persona, power(inv / (SELECT min(inv) FROM inv), 0.5) AS f FROM inv), near AS (SELECT u, v, p FROM trans WHERE v IN (SELECT user_id FROM label) QUALIFY row_number() OVER (PARTITION BY u ORDER BY round(p, 12) DESC, v) <= 10),
 q AS (SELECT u, v, p / sum(p) OVER (PARTITION BY u) AS q FROM near), predicted AS (SELECT u, persona, sum(q * x * f) AS score FROM q JOIN x USING (v) JOIN refine USING (persona) GROUP BY 1, 2)"""
 REVERSE = WALK + """, reversed AS (SELECT e.u, l.persona, sum(1.0 / du.d / dt.d / n) AS score FROM label l JOIN per_user USING (user_id) JOIN edges b ON b.u = l.user_id JOIN dt ON dt.t = b.t JOIN edges e ON e.t = b.t JOIN du ON du.u = e.u GROUP BY 1, 2)"""
-RANKED = REVERSE + """, ranked AS (SELECT u, persona, row_number() OVER (PARTITION BY u ORDER BY score DESC, persona) AS rank FROM reversed QUALIFY rank <= 5),
+CORRECTED = REVERSE + """, raw_inv AS (SELECT persona, 1.0 / count(*) AS inv FROM label GROUP BY 1),
+corrected AS (SELECT u, persona, score * power(inv / (SELECT min(inv) FROM raw_inv), 0.5) AS score FROM reversed JOIN raw_inv USING (persona))"""
+RANKED = CORRECTED + """, ranked AS (SELECT u, persona, row_number() OVER (PARTITION BY u ORDER BY round(score, 12) DESC, persona) AS rank FROM corrected QUALIFY rank <= 5),
 truth AS (SELECT user_id AS u, persona FROM label)"""
+TRI = (
+    LIFT
+    + """, tri_named AS (SELECT DISTINCT 'u' || user_id AS src, 'i' || item_id AS dst, 1.0 AS w FROM bought
+UNION ALL SELECT 'u' || customer_id, 'p' || segment, 1.0 FROM customers WHERE segment IS NOT NULL UNION ALL SELECT 'i' || item_id, 'p' || segment, lift FROM lift_edges),
+tri_both AS (SELECT src, dst, w FROM tri_named UNION ALL SELECT dst, src, w FROM tri_named), tri_deg AS (SELECT src, sum(w) AS d FROM tri_both GROUP BY 1),
+tri_norm AS (SELECT b.src, b.dst, b.w / sqrt(x.d * y.d) AS w FROM tri_both b JOIN tri_deg x ON x.src = b.src JOIN tri_deg y ON y.src = b.dst)"""
+)
+TRI_VECTORS = (
+    TRI
+    + """, start AS (SELECT src AS node, x.dim AS dim, CAST(('0x' || substr(md5(src || ':' || x.dim), 1, 8)) AS BIGINT) / 4294967296.0 - 0.5 AS v FROM tri_deg, range(4) x(dim)),
+l1 AS (SELECT dst AS node, dim, sum(w * v) AS v FROM tri_norm JOIN start ON node = src GROUP BY 1, 2),
+l2 AS (SELECT dst AS node, dim, sum(w * v) AS v FROM tri_norm JOIN l1 ON node = src GROUP BY 1, 2),
+final AS (SELECT node, dim, sum(v) / 3 AS v FROM (SELECT * FROM start UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY 1, 2)"""
+)
 
 
 def bought_pairs(t):
@@ -62,11 +78,32 @@ def vectors_of(t):
 
 
 def predictions(t):
-    return graph.persona_scores(graph.transition(event_edges(t)), label_set(t), 10)
+    labels = label_set(t)
+    ends = labels.select(F.col("user_id").alias("u")).distinct()
+    return graph.persona_scores(graph.transition(event_edges(t), ends=ends), labels, 10)
+
+
+def reverse_predictions(t):
+    labels = label_set(t)
+    return graph.reverse_prediction(graph.reverse_walk(event_edges(t), labels), labels)
 
 
 def ranked_personas(t):
-    return graph.approximate_personas(graph.reverse_walk(event_edges(t), label_set(t)))
+    return graph.approximate_personas(reverse_predictions(t))
+
+
+def tri_parts(t):
+    """Edges of a graph in three parts: (u, i), (u, p) and (i, p, lift)."""
+    pairs = bought_pairs(t).distinct().select(F.col("user_id").alias("u"), F.col("item_id").alias("i"))
+    segments = t.customers.where("segment IS NOT NULL").select(F.col("customer_id").alias("u"), F.col("segment").alias("p"))
+    lifts = graph.lift_edges(bought_pairs(t), t.customers.select("customer_id", "segment")).select(F.col("item_id").alias("i"), F.col("segment").alias("p"), "lift")
+    return pairs, segments, lifts
+
+
+def tri_vectors_of(t):
+    norm = t.keep("tri_norm", graph.weighted_norm(graph.tripartite(*tri_parts(t))))
+    start = t.keep("tri_start", graph.initial_vectors(norm.select(F.col("src").alias("node")).distinct(), DIMS))
+    return t.keep("tri_vectors", graph.propagate(norm, start, DIMS, LAYERS))
 
 
 def long_vectors(df):
@@ -105,15 +142,14 @@ def norm_adj_left(t):
     return rounded(graph.bipartite_norm(event_edges(t).select("u", F.col("t").alias("i")), "left"))
 
 
-@plan(
-    LIFT + """, n AS (SELECT DISTINCT 'u' || user_id AS src, 'i' || item_id AS dst, 1.0 AS w FROM bought UNION ALL SELECT 'u' || customer_id, 'p' || segment, 1.0 FROM customers WHERE segment IS NOT NULL UNION ALL SELECT 'i' || item_id, 'p' || segment, lift FROM lift_edges),
-b AS (SELECT src, dst, w FROM n UNION ALL SELECT dst, src, w FROM n), d AS (SELECT src, sum(w) AS d FROM b GROUP BY 1) SELECT b.src, b.dst, round(b.w / sqrt(x.d * y.d), 6) AS w FROM b JOIN d x ON x.src = b.src JOIN d y ON y.src = b.dst"""
-)
+@plan(TRI + " SELECT src, dst, round(w, 6) AS w FROM tri_norm")
 def norm_adj_tri(t):
-    pairs = bought_pairs(t).distinct().select(F.col("user_id").alias("u"), F.col("item_id").alias("i"))
-    segments = t.customers.where("segment IS NOT NULL").select(F.col("customer_id").alias("u"), F.col("segment").alias("p"))
-    lifts = graph.lift_edges(bought_pairs(t), t.customers.select("customer_id", "segment")).select(F.col("item_id").alias("i"), F.col("segment").alias("p"), "lift")
-    return rounded(graph.weighted_norm(graph.tripartite(pairs, segments, lifts)))
+    return rounded(graph.weighted_norm(graph.tripartite(*tri_parts(t))))
+
+
+@plan(TRI_VECTORS + " SELECT node, dim, round(v, 6) AS v FROM final")
+def lightgcn_tri_propagate(t):
+    return long_vectors(tri_vectors_of(t))
 
 
 @plan(VECTORS + " SELECT node, dim, round(v, 6) AS v FROM final")
@@ -124,7 +160,7 @@ def lightgcn_propagate(t):
 @plan(
     VECTORS + """, s AS (SELECT a.node AS un, b.node AS tn, sum(a.v * b.v) AS score FROM final a JOIN final b USING (dim) WHERE a.node LIKE 'u%' AND b.node LIKE 'i%' GROUP BY 1, 2),
 z AS (SELECT CAST(substr(un, 2) AS BIGINT) AS user_id, CAST(substr(tn, 2) AS BIGINT) AS item_id, score FROM s)
-SELECT user_id, item_id, round(score, 6) AS score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM z WHERE NOT EXISTS (SELECT 1 FROM edges WHERE u = user_id AND t = item_id) QUALIFY rank <= 10"""
+SELECT user_id, item_id, round(score, 6) AS score, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 12) DESC, item_id) AS rank FROM z WHERE NOT EXISTS (SELECT 1 FROM edges WHERE u = user_id AND t = item_id) QUALIFY rank <= 10"""
 )
 def lightgcn_top_n(t):
     vecs = vectors_of(t)
@@ -134,13 +170,24 @@ def lightgcn_top_n(t):
 
 
 @plan(
-    VECTORS + """, tri AS (SELECT 'u' || u AS u, 'i' || t AS pos, 'i' || ((t * 7 + u) % 100) AS neg FROM edges), g AS (SELECT tri.u, pos, neg, sum(a.v * b.v) - sum(a.v * c.v) AS gap, sum(a.v * a.v + b.v * b.v + c.v * c.v) AS sq
-FROM tri JOIN final a ON a.node = tri.u JOIN final b ON b.node = pos AND b.dim = a.dim JOIN final c ON c.node = neg AND c.dim = a.dim GROUP BY 1, 2, 3)
-SELECT round(avg(ln(1 + exp(-gap))), 6) AS bpr, round(0.02 * avg(sq) / 2, 6) AS reg, round(avg(ln(1 + exp(-gap))) + 0.02 * avg(sq) / 2, 6) AS loss FROM g"""
+    TRI_VECTORS
+    + """, tri AS (SELECT DISTINCT 'u' || user_id AS u, 'i' || item_id AS pos, 'i' || x.item AS neg
+  FROM bought JOIN (SELECT item_id AS k, lead(item_id, 1, (SELECT min(item_id) FROM bought)) OVER (ORDER BY item_id) AS item FROM (SELECT DISTINCT item_id FROM bought)) x ON x.k = item_id),
+g AS (SELECT tri.u, pos, neg, sum(a.v * b.v) - sum(a.v * c.v) AS gap, sum(a.v * a.v + b.v * b.v + c.v * c.v) AS sq
+  FROM tri JOIN final a ON a.node = tri.u JOIN final b ON b.node = pos AND b.dim = a.dim JOIN final c ON c.node = neg AND c.dim = a.dim GROUP BY 1, 2, 3),
+r AS (SELECT sum(ln(1 + exp(-gap))) AS bpr, 0.02 * (sum(sq) + (SELECT sum(v * v) FROM start WHERE node LIKE 'p%')) / 2 AS reg FROM g)
+SELECT round(bpr, 4) AS bpr, round(reg, 4) AS reg, round(bpr + reg, 4) AS loss FROM r"""
 )
 def bpr_loss(t):
-    triples = event_edges(t).select(F.concat(F.lit("u"), "u").alias("u"), F.concat(F.lit("i"), "t").alias("pos"), F.concat(F.lit("i"), ((F.col("t") * 7 + F.col("u")) % 100).cast("string")).alias("neg"))
-    return rounded(graph.bpr_loss(triples, vectors_of(t), DIMS, 0.02))
+    """The unwanted item of a pair is the next one sold, in the order of ids, the first after the last."""
+    pairs, vecs = tri_parts(t)[0], tri_vectors_of(t)
+    sold = pairs.select(F.col("i").alias("item_id")).distinct()
+    index = recommend.encode_ids(sold, "item_id", "tidx")
+    n = index.agg(F.count(F.lit(1)).alias("n"))
+    after = index.crossJoin(F.broadcast(n)).select(F.col("item_id").alias("i"), F.pmod(F.col("tidx") + 1, F.col("n")).alias("tidx")).join(index.withColumnRenamed("item_id", "j"), "tidx")
+    triples = pairs.join(after, "i").select(F.concat(F.lit("u"), "u").alias("u"), F.concat(F.lit("i"), "i").alias("pos"), F.concat(F.lit("i"), "j").alias("neg"))
+    personas = t.kept["tri_start"].where(F.col("node").startswith("p"))
+    return rounded(graph.bpr_loss(triples, vecs, DIMS, 0.02, personas), 4)
 
 
 @plan(VECTORS + ", b AS (SELECT node, dim, v, sqrt(sum(v * v) OVER (PARTITION BY node)) AS s FROM final WHERE dim < 2) SELECT node, dim, round(v / s, 5) AS v FROM b")
@@ -159,10 +206,28 @@ def transition_probs(t):
 @plan(WALK + " SELECT v, round(sum(p) / (SELECT count(DISTINCT u) FROM edges), 8) AS mass FROM trans GROUP BY 1")
 def pagerank_step(t):
     edges = event_edges(t)
+    return rounded(graph.pagerank_step(even_start(edges), edges), 8)
+
+
+def even_start(edges):
     users = edges.select(F.col("u").alias("v")).distinct()
     n = users.agg(F.count(F.lit(1)).alias("n"))
-    start = users.crossJoin(F.broadcast(n)).select("v", (1 / F.col("n")).alias("mass"))
-    return rounded(graph.pagerank_step(start, graph.transition(edges)), 8)
+    return users.crossJoin(F.broadcast(n)).select("v", (1 / F.col("n")).alias("mass"))
+
+
+@plan(
+    EDGES
+    + """, du AS (SELECT u, count(*) AS d FROM edges GROUP BY 1), dt AS (SELECT t, count(*) AS d FROM edges GROUP BY 1), n AS (SELECT count(*) AS n FROM du),
+legs AS (SELECT e.u, e.t, 1.0 / du.d AS a, 1.0 / dt.d AS b FROM edges e JOIN du ON du.u = e.u JOIN dt ON dt.t = e.t),
+legs2 AS (SELECT x.u, y.u AS v, sum(x.a * y.b) AS p FROM legs x JOIN legs y ON y.t = x.t GROUP BY 1, 2),
+ranks AS (SELECT 0 AS k, u AS v, 1.0 / n AS mass FROM du, n UNION ALL
+  SELECT r.k + 1, l.v, 0.999 * sum(r.mass * l.p) + 0.001 / max(n.n) FROM ranks r JOIN legs2 l ON l.u = r.v CROSS JOIN n WHERE r.k < 60 GROUP BY 1, 2)
+SELECT v, round(mass, 8) AS mass FROM ranks WHERE k = 60""",
+    recursive=True,
+)
+def pagerank(t):
+    edges = event_edges(t)
+    return rounded(graph.pagerank(edges, even_start(edges)), 8)
 
 
 @plan(PREDICT + " SELECT u, persona, round(score, 6) AS score FROM predicted")
@@ -175,11 +240,9 @@ def reverse_walk(t):
     return rounded(graph.reverse_walk(event_edges(t), label_set(t)), 8)
 
 
-@plan(REVERSE + """, inv AS (SELECT persona, 1.0 / count(*) AS inv FROM label GROUP BY 1)
-SELECT u, persona, round(score * power(inv / (SELECT min(inv) FROM inv), 0.5), 8) AS score FROM reversed JOIN inv USING (persona)""")
+@plan(CORRECTED + " SELECT u, persona, round(score, 8) AS score FROM corrected")
 def persona_predict_rev(t):
-    labels = label_set(t)
-    return rounded(graph.reverse_prediction(graph.reverse_walk(event_edges(t), labels), labels), 8)
+    return rounded(reverse_predictions(t), 8)
 
 
 @plan(
@@ -258,9 +321,21 @@ def label_matrix(t):
     return personas.label_matrix(labels, personas.persona_index(taxonomy, labels))
 
 
-@plan(WALK + " SELECT v, round(sum(p), 5) AS mass FROM trans GROUP BY 1 ORDER BY sum(p) DESC, v LIMIT 5")
+@plan(WALK + " SELECT v, round(sum(p), 5) AS mass FROM trans GROUP BY 1 ORDER BY round(sum(p), 12) DESC, v LIMIT 5")
 def focused_users(t):
-    return rounded(graph.focused_users(graph.transition(event_edges(t)), 5), 5)
+    return rounded(graph.focused_users(event_edges(t), 5), 5)
+
+
+@plan(
+    WALK
+    + """, mass AS (SELECT v AS u, round(sum(p), 12) AS x FROM trans GROUP BY 1), scope AS (SELECT DISTINCT u FROM edges JOIN customers ON customer_id = u WHERE balance >= 0),
+calm AS (SELECT u FROM scope EXCEPT SELECT u FROM (SELECT u FROM scope JOIN mass USING (u) ORDER BY x DESC, u DESC LIMIT 20)),
+kept AS (SELECT u FROM calm EXCEPT SELECT u FROM (SELECT u FROM calm JOIN du USING (u) ORDER BY d DESC, u DESC LIMIT 15)) SELECT u FROM kept"""
+)
+def prune_scope(t):
+    edges = event_edges(t)
+    scope = edges.select("u").distinct().join(t.customers.where("balance >= 0").select(F.col("customer_id").alias("u")), "u", "left_semi")
+    return graph.prune_scope(edges, scope, 20, 15)
 
 
 @plan(

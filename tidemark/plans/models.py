@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph, models, recommend
+from tidemark.operators import graph, lightgcn, models, prep, recommend
 from tidemark.plans.base import plan, rounded
 from tidemark.plans.features import segment_table
-from tidemark.plans.graphs import event_edges, label_set
-from tidemark.plans.recommend import encoded, list_recs, truth_of
+from tidemark.plans.graphs import event_edges, label_set, tri_parts
+from tidemark.plans.recommend import encoded, list_recs, parts, truth_of
 from tidemark.streaming import events as stream
 
 CLUSTER = ["cart_per_view", "purchase_per_view", "dominant_view_ratio", "log_total_spend", "log_page_views", "order_recency_days"]
@@ -23,50 +23,78 @@ def cluster_inputs(t):
 
 @plan()
 def kmeans_segments(t):
-    inputs = cluster_inputs(t)
-    return models.assign_kmeans(models.fit_kmeans(inputs, CLUSTER, 6, 3), inputs, CLUSTER, "customer_id")
+    inputs = t.keep("cluster_inputs", cluster_inputs(t))
+    return models.assign_kmeans(models.fit_kmeans(inputs, CLUSTER, 6), inputs, CLUSTER, "customer_id")
 
 
 @plan()
 def k_sweep(t):
-    return models.k_sweep(cluster_inputs(t), CLUSTER, [3, 4, 5], 1)
+    return models.k_sweep(cluster_inputs(t), CLUSTER)[0]
 
 
 @plan()
-def als_top_n(t):
-    scores, users, _ = encoded(t)
-    longest = scores.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    return models.als_top_n(models.fit_als(scores), users, scores, 10, longest)
+def k_sweep_sizes(t):
+    return models.k_sweep(cluster_inputs(t), CLUSTER)[1]
 
 
 @plan()
-def als_grid(t):
-    scores, users, _ = encoded(t)
-    scores, truth = scores.cache(), truth_of(t).cache()
+def als_top_n(t):
+    scores, users, items = encoded(t)
+    return models.als_top_n(models.fit_als(scores, encoded=(users, items)), users, scores, 10)
 
-    def run(rank: int, reg: float) -> dict:
-        row = recommend.evaluate_at(models.als_top_n(models.fit_als(scores, rank=rank, reg=reg, iterations=5), users, scores, 10, 100), truth, (10,)).first()
+
+@plan()
+def heavy_cold_recommendations(t):
+    """ALS for heavy users, popular items for cold ones, in one table."""
+    scores, users, items = encoded(t)
+    types = prep.heavy_cold(parts(t)[0].where("user_id IS NOT NULL"))
+    model = models.als_top_n(models.fit_als(scores, encoded=(users, items)), types.where("user_type = 'heavy'"), scores, 10)
+    popular = recommend.popular_top_n(types.where("user_type = 'cold'"), scores, recommend.popularity(scores), 10)
+    return recommend.union_recommendations(model, popular, types)
+
+
+def als_quality(t):
+    """A function of ALS parameters that gives HR and NDCG at 10 over the users of the truth."""
+    scores, users, items = encoded(t)
+    truth = t.keep("truth", truth_of(t))
+    asked, typed = t.keep("asked", truth.select("user_id").distinct()), t.keep("typed", models.typed_scores(scores, users, items))
+    seen = t.keep("seen", scores.join(asked, "user_id", "left_semi"))
+    for kept in (asked, typed, seen):
+        kept.count()
+
+    def run(rank: int, reg: float, alpha: float, iterations: int) -> dict:
+        model = models.fit_als(scores, rank, iterations, reg, alpha, encoded=(users, items), typed=typed)
+        row = recommend.evaluate_at(models.als_top_n(model, asked, seen, 10), truth, (10,)).first()
         return {"hr": float(row["hr"]), "ndcg": float(row["ndcg"])} if row else {"hr": 0.0, "ndcg": 0.0}
 
-    found = models.grid([{"rank": r, "reg": g} for r in (4, 8) for g in (0.1, 1.0)], run)
-    scores.unpersist()
-    truth.unpersist()
-    return t.spark.createDataFrame([(r["rank"], r["reg"], r["hr"], r["ndcg"]) for r in found], "rank int, reg double, hr double, ndcg double")
+    return run
+
+
+ALS_ROW = "rank int, reg double, alpha double, iterations int, hr double, ndcg double"
+
+
+def als_rows(t, found):
+    return t.spark.createDataFrame([(r["rank"], r["reg"], r["alpha"], r["iterations"], r["hr"], r["ndcg"]) for r in found], ALS_ROW)
 
 
 @plan()
-def bootstrap_ci(t):
-    by = recommend.ranking_by_user(list_recs(t), truth_of(t), (5, 20)).groupBy("user_id").agg(F.max(F.when(F.col("k") == 5, F.col("recall"))).alias("a"), F.max(F.when(F.col("k") == 20, F.col("recall"))).alias("b"))
-    return rounded(models.bootstrap_difference(by, "a", "b"))
+def als_grid(t):
+    return als_rows(t, models.grid([{**p, "iterations": 20} for p in models.combinations(models.ALS_GRID)], als_quality(t)))
 
 
 @plan()
-def negative_samples(t):
-    scores, _, items = encoded(t)
-    return models.sample_negatives(scores.select("user_id", "item_id"), items, 3)
+def als_iterations(t):
+    """HR and NDCG by the number of iterations, for the parameters of the production model."""
+    return als_rows(t, models.grid([{"rank": 16, "reg": 0.1, "alpha": 0.5, "iterations": n} for n in models.ALS_ITERATIONS], als_quality(t)))
 
 
 @plan()
+def bootstrap_ci(t):
+    by = recommend.ranking_by_user(list_recs(t), truth_of(t), (5, 20)).groupBy("user_id").agg(F.max(F.when(F.col("k") == 5, F.col("recall"))).alias("a"), F.max(F.when(F.col("k") == 20, F.col("recall"))).alias("b"))
+    return rounded(models.bootstrap_difference(by, "a", "b"))
+
+
+@plan(" SELECT customer_id FROM customers ORDER BY md5(customer_id || ':42'), customer_id LIMIT 40")
 def seeded_sample(t):
     return models.seeded_sample(t.customers.select("customer_id"), "customer_id", 40)
 
@@ -74,34 +102,79 @@ def seeded_sample(t):
 @plan()
 def cross_validation(t):
     rows = t.raw("labels").join(t.raw("documents").select("doc_id", "n_chars"), "doc_id").withColumn("log_chars", F.log1p(F.col("n_chars").cast("double")))
-    return models.cross_validate(models.stratified_folds(rows, "doc_id", "quality", 3), ["n_chars", "log_chars"], "quality", 3, [0.0, 0.1])
+    return models.cross_validate(models.stratified_folds(rows, "doc_id", "quality", 3), ["n_chars", "log_chars"], "quality", 3)
+
+
+#: Epochs of the training queries; the operator's own default is what a full training takes.
+EPOCHS = 20
+
+
+def trained(t, personas: bool):
+    """LightGCN on the events before the split, with segments as personas or without; the truth is what is bought after it."""
+    edges = event_edges(t).select("u", F.col("t").alias("i"))
+    _, segments, lifts = tri_parts(t) if personas else (None, None, None)
+    graph_ = lightgcn.load_graph(edges, segments, lifts)
+    return lightgcn.train_lightgcn(graph_, lightgcn.truth_indices(graph_, truth_of(t)), epochs=EPOCHS, rate=0.01)
 
 
 @plan()
-def bpr_training(t):
-    model, losses = models.train_bpr(event_edges(t).select("u", F.col("t").alias("i")), epochs=10)
-    return t.spark.createDataFrame([(i, x) for i, x in enumerate(losses)], "epoch int, loss double")
+def lightgcn_training(t):
+    return trained(t, False).log_frame(t.spark)
 
 
 @plan()
-def bpr_top_n(t):
-    edges = event_edges(t).select("u", F.col("t").alias("i"))
-    model, _ = models.train_bpr(edges, epochs=10)
-    frame = lambda ids, vecs, name: t.spark.createDataFrame([(int(x), [float(y) for y in v]) for x, v in zip(ids, vecs, strict=True)], f"{name} long, vec array<double>")
-    seen = edges.select(F.col("u").alias("user_id"), F.col("i").alias("item_id"))
-    return rounded(graph.score_top_n(frame(model["users"], model["user_vectors"], "user_id"), frame(model["items"], model["item_vectors"], "item_id"), seen, 10))
+def lightgcn_tri_training(t):
+    return trained(t, True).log_frame(t.spark)
+
+
+@plan()
+def lightgcn_tri_top_n(t):
+    users, items = trained(t, True).frames(t.spark)
+    seen = event_edges(t).select(F.col("u").alias("user_id"), F.col("t").alias("item_id"))
+    return rounded(graph.score_top_n(users, items, seen, 10))
+
+
+def spectral(t, penalty: float):
+    graph_ = lightgcn.load_graph(event_edges(t).select("u", F.col("t").alias("i")), *tri_parts(t)[1:])
+    truth = lightgcn.truth_indices(graph_, truth_of(t))
+    return lightgcn.train_spectral(graph_, truth, frequencies=64, dims=32, epochs=EPOCHS // 2, rate=0.01, penalty=penalty).log_frame(t.spark)
+
+
+@plan()
+def spectral_training(t):
+    return spectral(t, 0.0)
+
+
+@plan()
+def spectral_afd_training(t):
+    return spectral(t, 0.1)
 
 
 @plan()
 def laplacian_embedding(t):
     edges = event_edges(t).select(F.concat(F.lit("u"), "u").alias("src"), F.concat(F.lit("i"), "t").alias("dst"), F.lit(1.0).alias("w"))
-    return models.laplacian_vectors(edges, 4)
+    return models.laplacian_vectors(edges, 128)
+
+
+def sampled(t, reverse: bool):
+    edges = event_edges(t)
+    users = edges.select("u").distinct()
+    return models.sampler_run(edges, models.seeded_sample(users, "u", 6), users, 10, 3, t.keep("sampler_labels", label_set(t)), reverse=reverse)
 
 
 @plan()
 def sampler_run(t):
-    edges = event_edges(t)
-    return models.sampler_run(edges, edges, models.seeded_sample(edges.select("u").distinct(), "u", 6), edges.select("u").distinct(), 10, 3, t.keep("sampler_labels", label_set(t)))
+    return sampled(t, False)
+
+
+@plan()
+def sampler_run_rev(t):
+    return sampled(t, True)
+
+
+@plan()
+def sampler_state(t):
+    return models.sampler_state(sampled(t, False), event_edges(t))
 
 
 @plan("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2", views=False)

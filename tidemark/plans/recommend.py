@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import prep, recommend
+from tidemark.operators import models, prep, recommend
 from tidemark.plans.base import EVENT_SPLIT, plan, rounded
 from tidemark.plans.prep import MART
 
@@ -28,12 +28,19 @@ by_user AS (
 
 
 def parts(t):
-    return prep.split_by_time(prep.score_mart(t.events, t.sessions), "timestamp", EVENT_SPLIT)
+    """The scored mart before and after the split; the mart is kept, as queries read it several times."""
+    return prep.split_by_time(t.keep("mart", prep.score_mart(t.events, t.sessions)), "timestamp", EVENT_SPLIT)
 
 
 def encoded(t):
+    """Scores by user and item of the first part, and dense indices of its users and items."""
     train, _ = parts(t)
-    return prep.user_item_scores(train), recommend.encode_ids(train, "user_id", "uidx"), recommend.encode_ids(train, "item_id", "tidx")
+    scores = t.keep("scores", prep.user_item_scores(train))
+    return scores, t.keep("user_index", recommend.encode_ids(scores, "user_id", "uidx")), t.keep("item_index", recommend.encode_ids(scores, "item_id", "tidx"))
+
+
+def matrix(t):
+    return t.keep("matrix", recommend.coordinates(*encoded(t)))
 
 
 def list_recs(t, n=20):
@@ -56,17 +63,17 @@ def user_encoding(t):
 
 @plan(SPLIT + " SELECT row, col, val FROM m")
 def score_matrix(t):
-    return recommend.coordinates(*encoded(t))
+    return matrix(t)
 
 
 @plan(SPLIT + ", n AS (SELECT count(DISTINCT row) AS n FROM m), d AS (SELECT col, count(*) AS df FROM m GROUP BY 1) SELECT row, col, round(sqrt(val) * (ln(n) - ln(1 + df)), 6) AS val FROM m JOIN d USING (col), n")
 def tfidf_weight(t):
-    return rounded(recommend.tfidf_weight(recommend.coordinates(*encoded(t))))
+    return rounded(recommend.tfidf_weight(matrix(t)))
 
 
 @plan(SPLIT + ", l AS (SELECT row, sum(val) AS len FROM m GROUP BY 1), a AS (SELECT avg(len) AS avg_len, count(*) AS n FROM l), d AS (SELECT col, count(*) AS df FROM m GROUP BY 1) SELECT row, col, round(val * 2.2 / (1.2 * (0.25 + 0.75 * len / avg_len) + val) * (ln(n) - ln(1 + df)), 6) AS val FROM m JOIN l USING (row) JOIN d USING (col), a")
 def bm25_weight(t):
-    return rounded(recommend.bm25_weight(recommend.coordinates(*encoded(t))))
+    return rounded(recommend.bm25_weight(matrix(t)))
 
 
 @plan(SPLIT + POPULAR + " SELECT item_id, CAST(popularity AS BIGINT) AS popularity FROM popular")
@@ -77,8 +84,7 @@ def item_popularity(t):
 @plan(SPLIT + POPULAR + " SELECT user_id, item_id, score, rank FROM popular_recs")
 def popular_top_n(t):
     scores, users, _ = encoded(t)
-    longest = scores.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    return recommend.popular_top_n(users, scores, recommend.popularity(scores), 20, longest)
+    return recommend.popular_top_n(users, scores, recommend.popularity(scores), 20)
 
 
 @plan(SPLIT + " SELECT user_id, item_id FROM truth")
@@ -115,3 +121,33 @@ def decode_recommendations(t):
     _, users, items = encoded(t)
     coded = list_recs(t).join(users, "user_id").join(items, "item_id").select("uidx", "tidx", "score", "rank")
     return recommend.decode(coded, users, items)
+
+
+@plan(
+    SPLIT + POPULAR + """, l AS (SELECT user_id, list(item_id ORDER BY rank) AS recommended FROM list_recs GROUP BY 1), w AS (SELECT user_id, list(item_id ORDER BY item_id) AS truth FROM truth GROUP BY 1)
+SELECT w.user_id, truth, coalesce(recommended, []) AS recommended FROM w LEFT JOIN l ON l.user_id = w.user_id"""
+)
+def evaluation_dump(t):
+    return recommend.evaluation_dump(list_recs(t), truth_of(t))
+
+
+@plan(
+    SPLIT + POPULAR + BY_USER.replace("FROM truth", "FROM known").replace("JOIN truth t", "JOIN known t").replace(", ks AS", ", known AS (SELECT DISTINCT user_id, item_id FROM train WHERE user_id IS NOT NULL), ks AS", 1)
+    + " SELECT CAST(k AS BIGINT) AS k, round(avg(2 * (hits * 1.0 / k) * (hits * 1.0 / n_truth) / (hits * 1.0 / k + hits * 1.0 / n_truth + 1e-10)), 6) AS f1, round(avg(dcg / (idcg_k + 1e-10)), 6) AS ndcg, count(*) AS users FROM scored_user GROUP BY 1"
+)
+def fit_on_train_items(t):
+    """The training items themselves as the truth, with nothing masked."""
+    known = encoded(t)[0].where("user_id IS NOT NULL").select("user_id", "item_id").distinct()
+    return rounded(recommend.train_f1_ndcg(list_recs(t), known, KS))
+
+
+@plan(
+    SPLIT + """, items_n AS (SELECT count(*) AS n FROM items), unseen AS (
+  SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY tidx) - 1 AS nr, count(*) OVER (PARTITION BY user_id) AS open
+  FROM users CROSS JOIN items WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.user_id = users.user_id AND s.item_id = items.item_id)),
+drawn AS (SELECT s.user_id, s.item_id, d AS draw, CAST(('0x' || substr(md5(s.user_id || ':' || s.item_id || ':' || d || ':42'), 1, 12)) AS BIGINT) AS h FROM scores s, range(1, 4) x(d))
+SELECT drawn.user_id, drawn.item_id, CAST(draw AS INTEGER) AS draw, u.item_id AS negative FROM drawn JOIN unseen u ON u.user_id = drawn.user_id AND u.nr = h % u.open"""
+)
+def negative_samples(t):
+    scores, _, items = encoded(t)
+    return models.sample_negatives(scores.select("user_id", "item_id"), items, 3)
