@@ -128,3 +128,26 @@ def test_files(spark, tmp_path):
     files.promote(spark, f"{tmp_path}/runs", 2, f"{tmp_path}/best")
     assert spark.read.parquet(f"{tmp_path}/best").columns == recs.columns
     assert files.merge_config({"a": {"b": 1, "c": 2}, "d": 3}, {"a": {"b": 9}}) == {"a": {"b": 9, "c": 2}, "d": 3}
+
+
+def test_nodes_without_edges_stay_in_an_adjacency(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 5), (1, 3)], "src long, dst long")
+    files.write_adjacency(edges, f"{tmp_path}/g", nodes=spark.createDataFrame([(7,), (1,)], "src long"))
+    assert sorted(map(tuple, files.read_adjacency_lists(spark, f"{tmp_path}/g").collect())) == [(1, [3, 5]), (7, [])]
+    assert sorted(map(tuple, files.read_adjacency(spark, f"{tmp_path}/g").collect())) == [(1, 3), (1, 5)]
+
+
+def test_settings_come_from_files(tmp_path):
+    (tmp_path / "c.yaml").write_text("a:\n  b: 9\npaths:\n  input: data/x.csv\n")
+    got = files.load_config("c.yaml", {"a": {"b": 1, "c": 2}, "paths": {"input": "y", "out": "/abs"}}, tmp_path)
+    assert got == {"a": {"b": 9, "c": 2}, "paths": {"input": f"{tmp_path}/data/x.csv", "out": "/abs"}}
+    assert files.load_config(None, {"paths": {"p": "q"}}, "/r") == {"paths": {"p": "/r/q"}}
+    with pytest.raises(FileNotFoundError):
+        files.load_config("none.yaml", {}, tmp_path)
+
+
+def test_metric_sheets_are_replaced(spark, tmp_path):
+    for value in (1.0, 2.0):
+        files.write_metric_sheet(spark.createDataFrame([(1, value)], "epoch int, x double"), f"{tmp_path}/log", "F1")
+    files.write_metric_sheet(spark.createDataFrame([(1, 5.0)], "epoch int, x double"), f"{tmp_path}/log", "Loss")
+    assert sorted((r["sheet"], r["x"]) for r in files.read_metric_log(spark, f"{tmp_path}/log").collect()) == [("F1", 2.0), ("Loss", 5.0)]

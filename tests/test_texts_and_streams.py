@@ -95,3 +95,28 @@ def test_streams_equal_batches(spark, tmp_path):
     windows.processAllAvailable()
     windows.stop()
     assert spark.table("sessions").columns == ["user_id", "start", "last", "n_events"]
+
+
+def test_replies_with_apostrophes_are_read(spark):
+    from tidemark.functions.text import parse_reply
+
+    rows = [("{'personas': ['Day\'s End', 'O' , 'Rock n\' Roll fan']}".replace("\\'", "'"),), ('{"personas": ["It\'s fine"]}',), ("{'personas': ['a', \"b's\"]}",), ("none",)]
+    got = [r["x"]["personas"] if r["x"] else None for r in spark.createDataFrame(rows, "reply string").select(parse_reply("reply", "personas array<string>").alias("x")).collect()]
+    assert got == [["Day's End", "O", "Rock n' Roll fan"], ["It's fine"], ["a", "b's"], None]
+
+
+def test_calls_run_side_by_side_and_failures_are_rows(spark):
+    import time
+
+    def client(prompt):
+        time.sleep(0.2)
+        if prompt == "3":
+            raise ValueError("down")
+        return prompt
+
+    df = spark.createDataFrame([(i, str(i)) for i in range(24)], "k long, p string").coalesce(1)
+    personas.fan_out(df.limit(1), client, "k", "p").collect()
+    began = time.time()
+    got = personas.fan_out(df, client, "k", "p", retries=1).collect()
+    assert time.time() - began < 0.2 * 24 and [r["key"] for r in got] == [str(i) for i in range(24)]
+    assert (got[3]["status"], got[3]["reply"], got[3]["attempts"]) == ("query_failed", "down", 2) and {r["status"] for r in got} == {"ok", "query_failed"}

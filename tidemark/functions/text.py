@@ -69,16 +69,20 @@ def text_or_none(c: str | Column) -> Column:
 
 
 def outer_json(c: str | Column) -> Column:
-    """The outermost braces of a reply with what they hold; single quotes of a literal become double."""
+    """The outermost braces of a reply with what they hold."""
     body = F.regexp_extract(col(c), r"(?s)\{.*\}", 0)
     return F.when(F.length(body) > 0, body)
 
 
+#: Single quotes that open or close a text of a literal: next to a bracket, comma or colon. An apostrophe inside a word is none.
+LITERAL_QUOTES = r"(?<=[\[{(,:]\s{0,9})'|'(?=\s*[\]}),:])"
+
+
 def parse_reply(c: str | Column, schema: str) -> Column:
     """The JSON object in a reply by a schema; a reply in single quotes is tried second; null if neither reads."""
     body = outer_json(c)
     mode = {"mode": "PERMISSIVE"}
-    return F.coalesce(*[F.when(F.get_json_object(x, "$").isNotNull(), F.from_json(x, schema, mode)) for x in (body, F.regexp_replace(body, "'", '"'))])
+    return F.coalesce(*[F.when(F.get_json_object(x, "$").isNotNull(), F.from_json(x, schema, mode)) for x in (body, F.regexp_replace(F.regexp_replace(body, '"', "'"), LITERAL_QUOTES, '"'))])
 
 
 def valid_labels(labels: str | Column, taxonomy: str | Column) -> Column:

@@ -93,13 +93,36 @@ def fill_for_clustering(df: DataFrame, zeros: Sequence[str], recencies: Sequence
 def windowed(details: DataFrame, events: DataFrame, order_as_of: Column, event_as_of: Column, days: Sequence[int] = (30, 90, 365)) -> DataFrame:
     """By customer, orders, spend and active events in trailing windows [as of - d, as of); all windows in one pass of each input."""
     once = details.select("customer_id", "order_id", "order_time", "total_usd").dropDuplicates(["customer_id", "order_id"])
-    inside = lambda ts, as_of, d: (F.col(ts) >= as_of - F.expr(f"INTERVAL {d} DAYS")) & (F.col(ts) < as_of)
-    spent = once.where(inside("order_time", order_as_of, max(days))).groupBy("customer_id").agg(*[x for d in days for x in (F.count_if(inside("order_time", order_as_of, d)).alias(f"orders_{d}d"), F.coalesce(F.sum(F.when(inside("order_time", order_as_of, d), F.col("total_usd"))), F.lit(0.0)).alias(f"spend_{d}d"))])
-    active = events.where(inside("timestamp", event_as_of, max(days))).groupBy(F.col("user_id").alias("customer_id")).agg(*[F.count_if(inside("timestamp", event_as_of, d)).alias(f"events_{d}d") for d in days])
+
+    def inside(ts: str, as_of: Column, d: int) -> Column:
+        return (F.col(ts) >= as_of - F.expr(f"INTERVAL {d} DAYS")) & (F.col(ts) < as_of)
+
+    sums = []
+    for d in days:
+        within = inside("order_time", order_as_of, d)
+        sums += [F.count_if(within).alias(f"orders_{d}d"), F.coalesce(F.sum(F.when(within, F.col("total_usd"))), F.lit(0.0)).alias(f"spend_{d}d")]
+    spent = once.where(inside("order_time", order_as_of, max(days))).groupBy("customer_id").agg(*sums)
+    counts = [F.count_if(inside("timestamp", event_as_of, d)).alias(f"events_{d}d") for d in days]
+    active = events.where(inside("timestamp", event_as_of, max(days))).groupBy(F.col("user_id").alias("customer_id")).agg(*counts)
     joined = spent.join(active, "customer_id", "full")
     return joined.select("customer_id", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in joined.columns if c != "customer_id"])
 
 
+def active_share(customers: DataFrame, windows: DataFrame, days: Sequence[int] = (30, 90, 365)) -> DataFrame:
+    """By window, the percentage of all customers with an order in it, and of those with an event."""
+    every = customers.select("customer_id").join(windows, "customer_id", "left")
+    share = lambda c: 100 * F.avg(F.coalesce((F.col(c) > 0).cast("double"), F.lit(0.0)))
+    row = every.agg(*[share(f"{kind}_{d}d").alias(f"{kind}_{d}") for d in days for kind in ("orders", "events")])
+    rows = F.array(*[F.struct(F.lit(d).cast("long").alias("days"), F.col(f"orders_{d}").alias("ordering_pct"), F.col(f"events_{d}").alias("active_pct")) for d in days])
+    return row.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def segmentation_match(first: DataFrame, second: DataFrame, key: str = "customer_id", segment: str = "segment") -> DataFrame:
+    """Customers that two segmentations share, and the share of those whose segment is the same in both."""
+    both = first.select(key, F.col(segment).alias("__a")).join(second.select(key, F.col(segment).alias("__b")), key)
+    return both.agg(F.count(F.lit(1)).alias("customers"), F.avg(F.coalesce((F.col("__a") == F.col("__b")).cast("double"), F.lit(0.0))).alias("match_rate"))
+
+
 def bought_or_not(features: DataFrame, measures: Sequence[str]) -> DataFrame:
     """Mean, median and deviation of measures, for customers with and without an order."""
     return features.groupBy((F.col("n_orders") > 0).alias("buyer")).agg(F.count(F.lit(1)).alias("n"), *[x for m in measures for x in (F.avg(m).alias(f"{m}_mean"), F.median(m).alias(f"{m}_median"), F.stddev_samp(m).alias(f"{m}_std"))])

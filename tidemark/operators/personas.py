@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.scalar import ratio
 from tidemark.functions.text import jaccard, number, parse_reply, percent, schema_errors, text_or_none
 
 LABEL_PROMPT = "Choose one to five of these personas for the customer below. Reply with a JSON object {\"personas\": [names]}; if none fits, use \"Unrepresentable\".\nPersonas:\n%s\nCustomer:\n%s"
@@ -39,29 +41,85 @@ def describe_users(features: DataFrame, purchases: DataFrame) -> DataFrame:
 
 
 def segment_prompt_text(profile: DataFrame) -> DataFrame:
-    """Summary of a segment in lines, for the naming prompt."""
-    return profile.select("segment", F.concat_ws("\n", F.concat(F.lit("Segment: "), text_or_none("segment")), F.concat(F.lit("Customers: "), text_or_none("customers")), F.concat(F.lit("Share: "), percent("share")), F.concat(F.lit("Mean spend: "), number("total_spend_mean")), F.concat(F.lit("Median spend: "), number("total_spend_median", 1)), F.concat(F.lit("Top categories: "), text_or_none("top_categories"))).alias("summary"))
+    """Short summary of a segment in lines."""
+    lines = (
+        F.concat(F.lit("Segment: "), text_or_none("segment")),
+        F.concat(F.lit("Customers: "), text_or_none("customers")),
+        F.concat(F.lit("Share: "), percent("share")),
+        F.concat(F.lit("Mean spend: "), number("total_spend_mean")),
+        F.concat(F.lit("Median spend: "), number("total_spend_median", 1)),
+        F.concat(F.lit("Top categories: "), text_or_none("top_categories")),
+    )
+    return profile.select("segment", F.concat_ws("\n", *lines).alias("summary"))
+
+
+#: Lines of a segment's summary after its size: what is said, the measure, and how it is written.
+SUMMARY_LINES = (
+    ("Page views a customer", "n_page_view", "number"),
+    ("Cart events a customer", "n_add_to_cart", "number"),
+    ("Cart events per page view", "cart_per_view", "percent"),
+    ("Customers with an order", "is_buyer", "percent"),
+    ("Orders a customer", "n_orders", "number"),
+    ("Purchases per session", "purchase_per_session", "number"),
+    ("Spend on a log scale", "log_total_spend", "number"),
+    ("Days since the last session", "session_recency_days", "one_digit"),
+    ("Days since the last order", "order_recency_days", "one_digit"),
+    ("Categories bought", "purchase_diversity", "number"),
+    ("Share of the category viewed most", "dominant_view_ratio", "percent"),
+    ("Share of the category bought most", "dominant_purchase_ratio", "percent"),
+    ("Same category viewed and bought most", "category_match", "percent"),
+)
+
+
+def segment_statistics(table: DataFrame, group: str = "segment") -> DataFrame:
+    """By segment, its size and share, means of what the summary says, and its top categories viewed and bought."""
+    from tidemark.operators.quality import top_category_text
+
+    rows = table.where(F.col(group).isNotNull()).withColumns({"is_buyer": (F.col("n_orders") > 0).cast("double"), "purchase_per_session": ratio("n_purchase", "n_sessions")})
+    total = rows.agg(F.count(F.lit(1)).alias("__total"))
+    means = rows.groupBy(group).agg(F.count(F.lit(1)).alias("customers"), *[F.avg(F.col(c).cast("double")).alias(c) for _, c, _ in SUMMARY_LINES])
+    viewed = top_category_text(table, group, "top_viewed_category").withColumnRenamed("top_categories", "top_viewed")
+    bought = top_category_text(table, group, "top_purchased_category").withColumnRenamed("top_categories", "top_bought")
+    return means.crossJoin(F.broadcast(total)).withColumn("share", ratio("customers", "__total")).drop("__total").join(viewed, group, "left").join(bought, group, "left")
+
 
+def segment_summary(statistics: DataFrame, group: str = "segment") -> DataFrame:
+    """The whole summary of each segment for the naming prompt, in 17 lines; ``none`` where nothing is known."""
+    written = {"number": number, "percent": percent, "one_digit": lambda c: number(c, 1)}
+    lines = [
+        F.concat(F.lit("Segment "), text_or_none(group), F.lit(" in figures")),
+        F.concat(F.lit("- Customers: "), F.format_number("customers", 0), F.lit(" ("), percent("share"), F.lit(" of all)")),
+        *[F.concat(F.lit(f"- {said}: "), written[how](c)) for said, c, how in SUMMARY_LINES],
+        F.concat(F.lit("- Categories viewed most: "), text_or_none("top_viewed")),
+        F.concat(F.lit("- Categories bought most: "), text_or_none("top_bought")),
+    ]
+    return statistics.select(group, F.concat_ws("\n", *lines).alias("summary"))
+
+
+def fan_out(prompts: DataFrame, client: Client, key: str, prompt: str, retries: int = 0, accept: Callable[[str], bool] | None = None, concurrent: int = 12) -> DataFrame:
+    """(key, status, reply, attempts) of each prompt's call, on the executors; a failed call is a row, not an error.
+
+    A task has up to ``concurrent`` calls under way at a time; rows keep the order of the prompts.
+    """
 
-def fan_out(prompts: DataFrame, client: Client, key: str, prompt: str, retries: int = 0, accept: Callable[[str], bool] | None = None) -> DataFrame:
-    """(key, status, reply, attempts) of each prompt's call, on the executors; a failed call is a row, not an error."""
+    def one(job: tuple[str, str]) -> tuple[str, str, str | None, int]:
+        k, text = job
+        status, reply, attempt = "query_failed", None, 0
+        for attempt in range(1, retries + 2):
+            try:
+                reply = client(text)
+            except Exception as e:  # the row says what went wrong
+                status, reply = "query_failed", str(e)
+                continue
+            status = "ok" if accept is None or accept(reply) else "invalid"
+            if status == "ok":
+                break
+        return k, status, reply, attempt
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, text in zip(batch["key"], batch["prompt"], strict=True):
-                status, reply = "query_failed", None
-                for attempt in range(1, retries + 2):
-                    try:
-                        reply = client(text)
-                    except Exception as e:  # the row says what went wrong
-                        status, reply = "query_failed", str(e)
-                        continue
-                    status = "ok" if accept is None or accept(reply) else "invalid"
-                    if status == "ok":
-                        break
-                rows.append((k, status, reply, attempt))
-            yield pd.DataFrame(rows, columns=REPLY.names)
+        with ThreadPoolExecutor(max_workers=concurrent) as pool:
+            for batch in batches:
+                yield pd.DataFrame(list(pool.map(one, zip(batch["key"], batch["prompt"], strict=True))), columns=REPLY.names)
 
     return prompts.select(F.col(key).cast("string").alias("key"), F.col(prompt).alias("prompt")).mapInPandas(call, REPLY)
 

@@ -131,6 +131,15 @@ def require_clean(df: DataFrame, rules: dict[str, str], key: Sequence[str] = (),
     return df
 
 
+def rule_counts(df: DataFrame, rules: dict[str, str], key: Sequence[str] = ()) -> DataFrame:
+    """(rule, broken): rows that break each rule, and rows that repeat the key; what :func:`require_clean` raises on."""
+    columns = [F.count_if(F.expr(c)).alias(f"c{i}") for i, c in enumerate(rules.values())]
+    names = [*rules, *(["repeated key"] if key else [])]
+    if key:
+        columns.append((F.count(F.lit(1)) - F.count_distinct(*key)).alias(f"c{len(rules)}"))
+    return df.agg(*columns).select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"c{i}").alias("broken")) for i, n in enumerate(names)])).alias("x")).select("x.*")
+
+
 CUSTOMER_RULES = {"negative count": "n_sessions < 0 OR n_orders < 0 OR n_page_view < 0", "negative spend": "total_spend < 0", "negative recency": "order_recency_days < 0 OR session_recency_days < 0"}
 SEGMENT_RULES = {"ratio out of range": "dominant_view_ratio NOT BETWEEN 0 AND 1 OR dominant_purchase_ratio NOT BETWEEN 0 AND 1", "not finite": "isnan(log_total_spend) OR abs(log_total_spend) = double('infinity')"}
 

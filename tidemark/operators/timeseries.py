@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,17 +32,34 @@ def calendar_features(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumns({"dow_sin": day_sin, "dow_cos": day_cos, "month_sin": month_sin, "month_cos": month_cos, "is_weekend": (day >= 5).cast("long")})
 
 
+def _stacked(df: DataFrame, columns: Sequence[str], side: int) -> DataFrame:
+    """(feature, v, side) of the columns' values that are not null."""
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
+    return df.select(F.explode(cells).alias("x")).select("x.feature", "x.v", F.lit(side).alias("side")).where("v IS NOT NULL")
+
+
+def psi_by_feature(expected: DataFrame, actual: DataFrame, columns: Sequence[str], bins: int = 10, floor: float = 1e-4) -> DataFrame:
+    """(feature, psi): population stability index of each column over equal-width bins of the joint range; the last bin holds its right edge, empty bins count as the floor.
+
+    All columns share two passes: one for the ranges, one for the counts.
+    """
+    both = _stacked(expected, columns, 0).unionByName(_stacked(actual, columns, 1))
+    edges = both.groupBy("feature").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    width = (F.col("high") - F.col("low")) / bins
+    bin_ = F.when(F.col("high") == F.col("low"), 1).otherwise(F.least(F.floor((F.col("v") - F.col("low")) / width) + 1, F.lit(bins)))
+    binned = both.join(F.broadcast(edges), "feature").withColumn("bin", bin_)  # a row a column
+    counts = binned.groupBy("feature", "bin").agg(F.count_if(F.col("side") == 0).alias("e"), F.count_if(F.col("side") == 1).alias("a"))
+    every = edges.select("feature", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(bins).cast("long"))).alias("bin"))
+    filled = every.join(counts, ["feature", "bin"], "left").na.fill(0)
+    own = Window.partitionBy("feature")
+    p = F.when(F.col("e") == 0, floor).otherwise(F.col("e") / F.sum("e").over(own))
+    q = F.when(F.col("a") == 0, floor).otherwise(F.col("a") / F.sum("a").over(own))
+    return filled.select("feature", p.alias("p"), q.alias("q")).groupBy("feature").agg(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p"))).alias("psi"))
+
+
 def psi(expected: DataFrame, actual: DataFrame, column: str, bins: int = 10, floor: float = 1e-4) -> DataFrame:
-    """Population stability index over equal-width bins of the joint range; the last bin holds its right edge, empty bins count as the floor."""
-    both = expected.select(F.col(column).cast("double").alias("v"), F.lit(0).alias("side")).unionByName(actual.select(F.col(column).cast("double").alias("v"), F.lit(1).alias("side"))).where("v IS NOT NULL")
-    edges = both.agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    binned = both.crossJoin(F.broadcast(edges)).withColumn("bin", F.when(F.col("high") == F.col("low"), 1).otherwise(F.least(F.floor((F.col("v") - F.col("low")) / ((F.col("high") - F.col("low")) / bins)) + 1, F.lit(bins))))
-    counts = binned.groupBy("bin").agg(F.count_if(F.col("side") == 0).alias("e"), F.count_if(F.col("side") == 1).alias("a"))
-    every = expected.sparkSession.range(1, bins + 1).select(F.col("id").alias("bin"))
-    filled = every.join(counts, "bin", "left").na.fill(0)
-    totals = filled.agg(F.sum("e").alias("es"), F.sum("a").alias("as"))
-    share = filled.crossJoin(F.broadcast(totals)).select("bin", F.when(F.col("e") == 0, floor).otherwise(F.col("e") / F.col("es")).alias("p"), F.when(F.col("a") == 0, floor).otherwise(F.col("a") / F.col("as")).alias("q"))
-    return share.agg(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p"))).alias("psi"))
+    """The population stability index of one column."""
+    return psi_by_feature(expected, actual, [column], bins, floor).select("psi")
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -56,8 +72,7 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def drift_report(expected: DataFrame, actual: DataFrame, columns: Sequence[str], limit: float = 0.2) -> DataFrame:
     """PSI of each column with a flag above the limit."""
-    parts = [psi(expected, actual, c).select(F.lit(c).alias("feature"), "psi", (F.col("psi") > limit).alias("drifted")) for c in columns]
-    return reduce(DataFrame.unionByName, parts)
+    return psi_by_feature(expected, actual, columns).select("feature", "psi", (F.col("psi") > limit).alias("drifted"))
 
 
 def redundant_pairs(df: DataFrame, columns: Sequence[str], limit: float = 0.95) -> DataFrame:

@@ -144,8 +144,36 @@ SELECT customer_id, {", ".join(f"coalesce(orders_{d}d, 0) AS orders_{d}d, round(
 FROM spent FULL JOIN active USING (customer_id)"""
 )
 def window_features_30_90_365(t):
+    return rounded(window_table(t), 2)
+
+
+def window_table(t):
     details = prep.order_details(t.orders, t.order_items, t.products)
-    return rounded(features.windowed(details, t.events, moment(ORDER_AS_OF), moment(EVENT_AS_OF)), 2)
+    return features.windowed(details, t.events, moment(ORDER_AS_OF), moment(EVENT_AS_OF))
+
+
+@plan(
+    " SELECT days, round(100.0 * avg(CAST(customer_id IN (SELECT customer_id FROM sales WHERE order_time < '" + ORDER_AS_OF + "' AND order_time >= TIMESTAMP '" + ORDER_AS_OF + "' - to_days(CAST(days AS INTEGER))) AS DOUBLE)), 6) AS ordering_pct,"
+    " round(100.0 * avg(CAST(customer_id IN (SELECT user_id FROM clicks WHERE timestamp < '" + EVENT_AS_OF + "' AND timestamp >= TIMESTAMP '" + EVENT_AS_OF + "' - to_days(CAST(days AS INTEGER))) AS DOUBLE)), 6) AS active_pct"
+    " FROM customers CROSS JOIN (SELECT CAST(unnest([30, 90, 365]) AS BIGINT) AS days) GROUP BY 1"
+)
+def active_pct(t):
+    return rounded(features.active_share(t.customers, window_table(t)))
+
+
+SPEND_CLASS = "CASE WHEN s < 100000 THEN 0 WHEN s < 300000 THEN 1 ELSE 2 END"
+
+
+@plan(
+    f""", a AS (SELECT customer_id, {SPEND_CLASS} AS segment FROM (SELECT customer_id, sum(total_usd) AS s FROM sales WHERE order_time < '{ORDER_SPLIT}' GROUP BY 1)),
+b AS (SELECT customer_id, {SPEND_CLASS} AS segment FROM (SELECT customer_id, sum(total_usd) AS s FROM sales GROUP BY 1))
+SELECT count(*) AS customers, round(avg(CAST(a.segment = b.segment AS DOUBLE)), 6) AS match_rate FROM a JOIN b USING (customer_id)"""
+)
+def segmentation_match(t):
+    """Spend classes from the orders before the split against those from all orders."""
+    classes = lambda orders: orders.groupBy("customer_id").agg(F.sum("total_usd").alias("s")).select("customer_id", F.expr(SPEND_CLASS).alias("segment"))
+    before, _ = prep.split_by_time(t.orders, "order_time", ORDER_SPLIT)
+    return rounded(features.segmentation_match(classes(before), classes(t.orders)))
 
 
 @plan(
@@ -173,10 +201,21 @@ def psi(t):
     return rounded(timeseries.psi(train, test, "total_usd"))
 
 
-@plan()
+DRIFT = ("total_usd", "quantity", "line_total_usd")
+
+
+@plan(
+    ", x AS (SELECT o.order_time, o.total_usd, i.quantity, i.line_total_usd FROM sales o JOIN order_items i ON i.order_id = o.order_id), b AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v, CASE WHEN order_time < '{ORDER_SPLIT}' THEN 0 ELSE 1 END AS side FROM x" for c in DRIFT)
+    + """), e AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM b GROUP BY 1),
+c AS (SELECT feature, least(CAST(floor((v - lo) / ((hi - lo) / 10)) AS BIGINT) + 1, 10) AS bin, count(*) FILTER (side = 0) AS e, count(*) FILTER (side = 1) AS a FROM b JOIN e USING (feature) GROUP BY 1, 2),
+f AS (SELECT x.feature, r.range AS bin, coalesce(c.e, 0) AS e, coalesce(c.a, 0) AS a FROM e x CROSS JOIN range(1, 11) r LEFT JOIN c ON c.feature = x.feature AND c.bin = r.range),
+s AS (SELECT feature, CASE WHEN e = 0 THEN 1e-4 ELSE e * 1.0 / sum(e) OVER (PARTITION BY feature) END AS p, CASE WHEN a = 0 THEN 1e-4 ELSE a * 1.0 / sum(a) OVER (PARTITION BY feature) END AS q FROM f)
+SELECT feature, round(sum((q - p) * ln(q / p)), 6) AS psi, sum((q - p) * ln(q / p)) > 0.2 AS drifted FROM s GROUP BY 1"""
+)
 def drift_report(t):
     train, test = prep.split_by_time(t.orders.join(t.order_items, "order_id"), "order_time", ORDER_SPLIT)
-    return rounded(timeseries.drift_report(train, test, ["total_usd", "quantity", "line_total_usd"]))
+    return rounded(timeseries.drift_report(train, test, list(DRIFT)))
 
 
 PAIRS = [("n_page_view", "n_sessions"), ("n_page_view", "n_orders"), ("n_page_view", "total_spend"), ("n_sessions", "n_orders"), ("n_sessions", "total_spend"), ("n_orders", "total_spend")]

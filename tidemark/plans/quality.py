@@ -132,11 +132,14 @@ def duplicate_keys(t):
     return quality.duplicates(t.order_items, ["order_id", "product_id"])
 
 
-@plan()
+@plan(
+    FEATURES
+    + " SELECT rule, broken FROM (SELECT unnest([{'rule': 'negative count', 'broken': count(*) FILTER (n_sessions < 0 OR n_orders < 0 OR n_page_view < 0)}, {'rule': 'negative spend', 'broken': count(*) FILTER (total_spend < 0)},"
+    " {'rule': 'negative recency', 'broken': count(*) FILTER (order_recency_days < 0 OR session_recency_days < 0)}, {'rule': 'repeated key', 'broken': count(*) - count(DISTINCT customer_id)}], recursive := true) FROM features)"
+)
 def integrity_checks(t):
-    """Raises if a rule is broken; returns the checked table's size."""
-    checked = quality.require_clean(customer_table(t), quality.CUSTOMER_RULES, ("customer_id",))
-    return checked.agg(F.count(F.lit(1)).alias("rows"))
+    """Rows that break each rule of the customer table; :func:`quality.require_clean` raises on them."""
+    return quality.rule_counts(quality.require_clean(customer_table(t), quality.CUSTOMER_RULES, ("customer_id",)), quality.CUSTOMER_RULES, ("customer_id",))
 
 
 @plan(""", e AS (SELECT min(total_usd) AS lo, (max(total_usd) - min(total_usd)) / 20 AS w FROM sales) SELECT least(CAST(floor((total_usd - lo) / w) AS BIGINT) + 1, 20) AS bin, round(lo + (least(CAST(floor((total_usd - lo) / w) AS BIGINT) + 1, 20) - 1) * w, 4) AS low, round(lo + least(CAST(floor((total_usd - lo) / w) AS BIGINT) + 1, 20) * w, 4) AS high, count(*) AS n FROM sales, e GROUP BY 1, 2, 3""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 from tidemark.operators import personas, quality
 from tidemark.plans.base import plan
-from tidemark.plans.features import FEATURES, customer_table
+from tidemark.plans.features import FEATURES, SEGMENT, customer_table, segment_table
 from tidemark.plans.quality import TOP_TEXT, with_segment
 
 REPLIES = [
@@ -139,6 +139,51 @@ def summary_text(t):
     return personas.segment_prompt_text(quality.profile(table, "segment", ["total_spend"]).join(quality.top_category_text(table, "segment", "top_purchased_category"), "segment", "left"))
 
 
+def _line_sql(said: str, column: str, how: str) -> str:
+    value = {"number": "printf('%.2f', round(avg({0}), 2))", "one_digit": "printf('%.1f', round(avg({0}), 1))", "percent": "printf('%.1f%%', round(avg({0}) * 100, 1))"}[how].format(f"CAST({column} AS DOUBLE)")
+    return f"'- {said}: ' || coalesce({value}, 'none')"
+
+
+def _top_sql(name: str, column: str) -> str:
+    return f""", {name}_n AS (SELECT segment, {column} AS c, count(*) AS n FROM seg WHERE {column} IS NOT NULL GROUP BY 1, 2),
+{name}_r AS (SELECT segment, c, n * 100.0 / sum(n) OVER (PARTITION BY segment) AS s, row_number() OVER (PARTITION BY segment ORDER BY n DESC, c) AS at_ FROM {name}_n),
+{name} AS (SELECT segment, string_agg(printf('%s: %.1f%%', c, round(s, 1)), '; ' ORDER BY at_) AS t FROM {name}_r WHERE at_ <= 3 GROUP BY 1)"""
+
+
+@plan(
+    SEGMENT
+    + """, seg AS (SELECT f.*, c.segment, CAST(n_orders > 0 AS DOUBLE) AS is_buyer, n_purchase * 1.0 / nullif(n_sessions, 0) AS purchase_per_session FROM segment_features f JOIN customers c USING (customer_id) WHERE c.segment IS NOT NULL)"""
+    + _top_sql("viewed_most", "top_viewed_category") + _top_sql("bought_most", "top_purchased_category")
+    + ", lines AS (SELECT segment, 'Segment ' || segment || ' in figures' || chr(10) || '- Customers: ' || format('{:,}', count(*)) || ' (' || printf('%.1f%%', round(count(*) * 100.0 / (SELECT count(*) FROM seg), 1)) || ' of all)' || chr(10) || "
+    + " || chr(10) || ".join(_line_sql(*x) for x in personas.SUMMARY_LINES)
+    + " AS l FROM seg GROUP BY 1) SELECT lines.segment, l || chr(10) || '- Categories viewed most: ' || coalesce(v.t, 'none') || chr(10) || '- Categories bought most: ' || coalesce(b.t, 'none') AS summary FROM lines LEFT JOIN viewed_most v ON v.segment = lines.segment LEFT JOIN bought_most b ON b.segment = lines.segment"
+)
+def segment_summary(t):
+    table = segment_table(t).join(t.customers.select("customer_id", "segment"), "customer_id")
+    return personas.segment_summary(personas.segment_statistics(table))
+
+
+CATALOGUE_GROUPS = {"metal": "bolt|gear|ring", "warm": "red|hot|gold", "small": "small|tiny|mini"}
+CATALOGUE_MATCH = "CASE " + " ".join(f"WHEN regexp_matches(lower(p_name), '{p}') THEN '{n}'" for n, p in CATALOGUE_GROUPS.items()) + " ELSE 'Other' END"
+
+
+@plan("SELECT p_brand AS brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS no, p_name AS name, lower(p_type) || ' ware of size ' || p_size AS definition FROM part", views=False)
+def parse_catalogue_lists(t):
+    """Numbered lists of each brand's parts, written as text in two ways, and parsed again."""
+    from pyspark.sql import Window
+
+    numbered = t.raw("part").withColumn("no", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")))
+    sep = F.when(F.col("no") % 2 == 0, F.lit(" - ")).otherwise(F.lit(": "))
+    line = F.concat(F.col("no").cast("string"), F.lit(". **"), F.col("p_name"), F.lit("**"), sep, F.lower("p_type"), F.lit(" ware of size "), F.col("p_size").cast("string"))
+    written = numbered.select("p_brand", F.struct("no", line.alias("line")).alias("x")).groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list("x")).getField("line"), "\n").alias("reply"))
+    return written.select(F.col("p_brand").alias("brand"), F.explode(text.numbered_items("reply")).alias("x")).select("brand", "x.*")
+
+
+@plan(f"SELECT p_type AS category, {CATALOGUE_MATCH} AS macro_group, count(*) AS n FROM part GROUP BY 1, 2", views=False)
+def catalogue_groups(t):
+    return t.raw("part").groupBy(F.col("p_type").alias("category"), text.first_category("p_name", CATALOGUE_GROUPS).alias("macro_group")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @plan("SELECT item_id, CAST(len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 3))) AS BIGINT) AS tokens, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS clean FROM benchmark", views=False)
 def tokenise_items(t):
     return t.raw("benchmark").select("item_id", F.size(text.tokens("text")).cast("long").alias("tokens"), text.normalise_dashes("text").alias("clean"))
@@ -168,7 +213,7 @@ def merge_personas(t):
 @plan()
 def segment_naming(t):
     """Prompts, calls of an offline client on the executors, parsing and validation."""
-    prompts = summary_text(t).select("segment", F.format_string(personas.NAMING_PROMPT, "summary").alias("prompt"))
+    prompts = segment_summary(t).select("segment", F.format_string(personas.NAMING_PROMPT, "summary").alias("prompt"))
     return personas.naming_status(personas.fan_out(prompts, personas.offline_client, "segment", "prompt", retries=2))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,15 +37,25 @@ def read_basket(spark: SparkSession, path: str, country: str | None = None) -> D
     return rows
 
 
-def write_adjacency(edges: DataFrame, path: str, src: str = "src", dst: str = "dst") -> None:
-    """One JSON object for each node: its key as a string and the sorted keys of its neighbours."""
-    edges.groupBy(F.col(src).cast("string").alias("node")).agg(F.array_sort(F.collect_set(dst)).alias("next")).write.mode("overwrite").json(path)
+ADJACENCY = T.StructType([T.StructField("node", T.StringType()), T.StructField("next", T.ArrayType(T.LongType()))])
+
+
+def write_adjacency(edges: DataFrame, path: str, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None) -> None:
+    """One JSON object for each node: its key as a string and the sorted keys of its neighbours; ``nodes`` (src) without any have an empty list."""
+    lists = edges.where(F.col(dst).isNotNull()).groupBy(src).agg(F.array_sort(F.collect_set(F.col(dst).cast("long"))).alias("next"))
+    every = edges.select(src) if nodes is None else edges.select(src).unionByName(nodes.select(src))
+    full = every.distinct().join(lists, src, "left")
+    full.select(F.col(src).cast("string").alias("node"), F.coalesce("next", F.array().cast("array<bigint>")).alias("next")).write.mode("overwrite").json(path)
+
+
+def read_adjacency_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(src, next) of every node of an adjacency, nodes without neighbours included."""
+    return spark.read.schema(ADJACENCY).json(path).select(F.col("node").cast("long").alias("src"), "next")
 
 
 def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
-    """Edges (src, dst) of an adjacency written by :func:`write_adjacency`; nodes without neighbours give none."""
-    schema = T.StructType([T.StructField("node", T.StringType()), T.StructField("next", T.ArrayType(T.LongType()))])
-    return spark.read.schema(schema).json(path).select(F.col("node").cast("long").alias("src"), F.explode("next").alias("dst"))
+    """Edges (src, dst) of an adjacency; its nodes without neighbours are in :func:`read_adjacency_lists`."""
+    return read_adjacency_lists(spark, path).select("src", F.explode("next").alias("dst"))
 
 
 def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -68,6 +80,21 @@ def append_metrics(metrics: DataFrame, path: str, run: str) -> None:
     metrics.withColumn("run", F.lit(run)).write.mode("append").parquet(path)
 
 
+def write_metric_sheet(metrics: DataFrame, path: str, sheet: str) -> None:
+    """Keep metric rows as one sheet of a log; a sheet of that name is replaced, others stay."""
+    metrics.write.mode("overwrite").parquet(f"{path}/sheet={sheet}")
+
+
+def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
+    """All sheets of a metric log with their names."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def rows_as_text(df: DataFrame) -> str:
+    """A small table as one text: the rows' values in brackets, each row followed by a comma."""
+    return "".join(f"[{', '.join(map(str, r))}]," for r in df.collect())
+
+
 def next_run(spark: SparkSession, path: str) -> int:
     """Number of the next experiment run: one more than the largest in the run table, 1 if there is none."""
     jvm = spark.sparkContext._jvm
@@ -97,6 +124,32 @@ def merge_config(defaults: Mapping, own: Mapping) -> dict:
     return out
 
 
+def resolve_path(path: str | Path, root: str | Path) -> Path:
+    """An absolute path as it is, a relative one below the root."""
+    path = Path(path)
+    return path if path.is_absolute() else Path(root) / path
+
+
+def load_config(path: str | Path | None, defaults: Mapping, root: str | Path, paths: str = "paths") -> dict:
+    """Settings of a YAML or JSON file over the defaults, the entries of its ``paths`` resolved below the root; a named file has to exist."""
+    found: Mapping = {}
+    if path is not None:
+        full = resolve_path(path, root)
+        if not full.exists():
+            raise FileNotFoundError(f"no settings at {full}")
+        text = full.read_text(encoding="utf-8")
+        if full.suffix == ".json":
+            found = json.loads(text or "{}")
+        else:
+            import yaml
+
+            found = yaml.safe_load(text) or {}
+    config = merge_config(defaults, found)
+    if isinstance(config.get(paths), Mapping):
+        config[paths] = {k: str(resolve_path(v, root)) for k, v in config[paths].items()}
+    return config
+
+
 def constant_map(col: Column, values: Mapping[str, float]) -> Column:
     """Value of a constant map; null for keys it lacks."""
     out = F.lit(None)
