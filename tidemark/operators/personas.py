@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,10 +85,15 @@ def segment_statistics(table: DataFrame, group: str = "segment") -> DataFrame:
 
 def segment_summary(statistics: DataFrame, group: str = "segment") -> DataFrame:
     """The whole summary of each segment for the naming prompt, in 17 lines; ``none`` where nothing is known."""
-    written = {"number": number, "percent": percent, "one_digit": lambda c: number(c, 1)}
+    def half_up(c: str, factor: float, digits: int, sign: str = "") -> Column:
+        """Rounded in whole steps, so that halves don't depend on how a sum was added up."""
+        value = F.floor(F.col(c) * factor * 10**digits + 0.5 + 1e-7) / 10**digits
+        return F.coalesce(F.concat(F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", value.cast("double"))), F.lit(sign)), F.lit("none"))
+
+    written = {"number": lambda c: half_up(c, 1, 2), "one_digit": lambda c: half_up(c, 1, 1), "percent": lambda c: half_up(c, 100, 1, "%")}
     lines = [
         F.concat(F.lit("Segment "), text_or_none(group), F.lit(" in figures")),
-        F.concat(F.lit("- Customers: "), F.format_number("customers", 0), F.lit(" ("), percent("share"), F.lit(" of all)")),
+        F.concat(F.lit("- Customers: "), F.format_number("customers", 0), F.lit(" ("), written["percent"]("share"), F.lit(" of all)")),
         *[F.concat(F.lit(f"- {said}: "), written[how](c)) for said, c, how in SUMMARY_LINES],
         F.concat(F.lit("- Categories viewed most: "), text_or_none("top_viewed")),
         F.concat(F.lit("- Categories bought most: "), text_or_none("top_bought")),

@@ -140,7 +140,8 @@ def summary_text(t):
 
 
 def _line_sql(said: str, column: str, how: str) -> str:
-    value = {"number": "printf('%.2f', round(avg({0}), 2))", "one_digit": "printf('%.1f', round(avg({0}), 1))", "percent": "printf('%.1f%%', round(avg({0}) * 100, 1))"}[how].format(f"CAST({column} AS DOUBLE)")
+    factor, digits, sign = {"number": (1, 2, ""), "one_digit": (1, 1, ""), "percent": (100, 1, "%%")}[how]
+    value = f"printf('%.{digits}f{sign}', floor(avg(CAST({column} AS DOUBLE)) * {factor * 10**digits} + 0.5 + 1e-7) / {10**digits})"
     return f"'- {said}: ' || coalesce({value}, 'none')"
 
 
@@ -154,7 +155,7 @@ def _top_sql(name: str, column: str) -> str:
     SEGMENT
     + """, seg AS (SELECT f.*, c.segment, CAST(n_orders > 0 AS DOUBLE) AS is_buyer, n_purchase * 1.0 / nullif(n_sessions, 0) AS purchase_per_session FROM segment_features f JOIN customers c USING (customer_id) WHERE c.segment IS NOT NULL)"""
     + _top_sql("viewed_most", "top_viewed_category") + _top_sql("bought_most", "top_purchased_category")
-    + ", lines AS (SELECT segment, 'Segment ' || segment || ' in figures' || chr(10) || '- Customers: ' || format('{:,}', count(*)) || ' (' || printf('%.1f%%', round(count(*) * 100.0 / (SELECT count(*) FROM seg), 1)) || ' of all)' || chr(10) || "
+    + ", lines AS (SELECT segment, 'Segment ' || segment || ' in figures' || chr(10) || '- Customers: ' || format('{:,}', count(*)) || ' (' || printf('%.1f%%', floor(count(*) * 1000.0 / (SELECT count(*) FROM seg) + 0.5 + 1e-7) / 10) || ' of all)' || chr(10) || "
     + " || chr(10) || ".join(_line_sql(*x) for x in personas.SUMMARY_LINES)
     + " AS l FROM seg GROUP BY 1) SELECT lines.segment, l || chr(10) || '- Categories viewed most: ' || coalesce(v.t, 'none') || chr(10) || '- Categories bought most: ' || coalesce(b.t, 'none') AS summary FROM lines LEFT JOIN viewed_most v ON v.segment = lines.segment LEFT JOIN bought_most b ON b.segment = lines.segment"
 )
