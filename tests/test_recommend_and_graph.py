@@ -162,6 +162,24 @@ def test_sampler_ranks_by_information(spark):
     assert back == [6]  # shares no item with users 1 and 2
 
 
+@pytest.mark.parametrize("col_refine", [0.0, 0.5, 3.0])
+def test_reverse_sampler_weighs_frequent_personas(spark, col_refine):
+    edges = [(1, 1), (2, 1), (3, 2), (4, 1), (4, 2), (5, 1), (5, 1), (5, 2), (5, 3), (1, 3), (6, 3), (6, 2), (7, 2), (7, 1)]
+    edges, labels = sorted(set(edges)), [(1, "a"), (2, "a"), (3, "b"), (3, "a")]
+    du, dt = ({k: sum(x[i] == k for x in edges) for k in {x[i] for x in edges}} for i in (0, 1))
+    weight = {p: (3 / sum(x == p for _, x in labels)) ** col_refine for p in "ab"}
+    gains = {}
+    for u in (4, 5, 6, 7):
+        raw = {p: weight[p] * sum(1 / du[u] / dt[t] / sum(x == v for x, _ in labels) for v, q in labels if q == p for x, t in edges if x == u and (v, t) in edges) for p in "ab"}
+        share = {p: x / sum(raw.values()) for p, x in raw.items()}
+        q = {"a": 3 / 4, "b": 1 / 4}
+        gains[u] = sum((-share[p] * math.log(share[p]) if share[p] else 0) + q[p] * math.log(q[p] / (share[p] + 1e-16)) for p in "ab")
+    e, lab = spark.createDataFrame(edges, "u long, t long"), spark.createDataFrame(labels, "user_id long, persona string")
+    seeds, pool = spark.createDataFrame([(1,), (2,), (3,)], "u long"), spark.createDataFrame([(u,) for u in gains], "u long")
+    run = models.sampler_run(e, seeds, pool, 1, 1, lab, reverse=True, col_refine=col_refine).where("round = 1").collect()
+    assert [gains[r["u"]] for r in run] == pytest.approx([max(gains.values())])
+
+
 def test_teleport_and_step(spark):
     _, _, e, _ = toy(spark)
     users = e.select("u").distinct().count()

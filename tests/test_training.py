@@ -54,15 +54,48 @@ def test_gradients_of_lightgcn(spark, kind):
 
 @pytest.mark.parametrize(("activation", "pooling", "loss", "penalty"), [("Sigmoid", "Sum", "BPR", 0.0), ("Tanh", "Concat", "CE", 0.0), ("None", "Max", "MSE", 0.0), ("Tanh", "Sum", "BPR", 0.7)])
 def test_gradients_of_the_spectral_model(spark, activation, pooling, loss, penalty):
+    check_spectral_gradients(spark, loss, activation, pooling, 0.05, penalty, 3)
+
+
+@pytest.mark.parametrize(("activation", "pooling", "loss", "transform", "unit", "dropout"), [("None", "Product", "BPR", False, False, 0.0), ("Tanh", "Product", "MSE", True, True, 0.0), ("Sigmoid", "MLP1", "CE", False, True, 0.0), ("Tanh", "MLP3", "BPR", True, False, 0.4), ("Sigmoid", "Sum", "BPR", True, True, 0.0)])
+def test_gradients_of_pooling_transformation_and_unit_rows(spark, activation, pooling, loss, transform, unit, dropout):
+    check_spectral_gradients(spark, loss, activation, pooling, 0.05, 0.0, 3, transform, unit, dropout)
+
+
+def check_spectral_gradients(spark, loss, *settings):
     g = toy_graph(spark)
-    basis = models.largest_eigenvectors(g.norm, 6)[1]
-    model = lightgcn.Spectral(g, basis, 3, 2, activation, pooling, 0.05, penalty, 3)
+    model = lightgcn.Spectral(g, models.largest_eigenvectors(g.norm, 6)[1], 3, 2, *settings)
     model.values = {k: v * 20 for k, v in model.values.items()}
+    if model.dropout:  # the same entries are dropped in every call
+        forward = model.forward
+        model.forward = lambda: forward(np.random.default_rng(5))
     u, i = g.u[:15], len(g.users) + g.i[:15]
     for want, got in slopes(model, loss, u, i, len(g.users) + (g.i[:15] + 1) % 10):
         assert got == pytest.approx(want, rel=1e-3, abs=1e-5)
 
 
+def test_spectral_variants_train_and_repeat(spark):
+    g, truth = toy_graph(spark), {0: {1, 2}, 3: {4}}
+    run = lambda pooling, **settings: lightgcn.train_spectral(g, truth, frequencies=6, dims=4, pooling=pooling, epochs=15, batch=16, negatives=2, rate=0.05, ks=(2,), **settings)
+    kept = run("MLP2", unit=True, dropout=0.3)
+    assert np.array_equal(kept.vectors, run("MLP2", unit=True, dropout=0.3).vectors)
+    assert np.allclose(np.linalg.norm(kept.vectors, axis=1), 1) and kept.vectors.shape[1] == 4
+    assert not np.array_equal(run("Sum").vectors, run("Sum", dropout=0.3).vectors)
+    product = run("Product", transform=True)
+    assert product.log[-1][4] < product.log[0][4]
+    for pooling in ("MLP", "MLP0", "MLPx", "Mean"):
+        with pytest.raises(ValueError):
+            run(pooling)
+    with pytest.raises(ValueError):
+        run("Sum", dropout=1.0)
+
+
+def test_dropped_entries_keep_the_mean():
+    mask = lightgcn.dropout_mask(np.random.default_rng(2), (400, 50), 0.25)
+    assert set(np.unique(mask)) == {0.0, 1 / 0.75} and mask.mean() == pytest.approx(1, abs=0.02)
+    assert lightgcn.dropout_mask(None, (3, 2), 0.25) == 1.0
+
+
 @pytest.mark.parametrize("optimisation", ["Adam", "SGD", "Adagrad", "RMSProp"])
 def test_training_lowers_the_loss_and_repeats(spark, optimisation):
     g = toy_graph(spark, personas=optimisation != "SGD")

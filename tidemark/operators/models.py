@@ -453,12 +453,14 @@ def sampler_run(
     criterion: int | None = None,
     reverse: bool = False,
     done: DataFrame | None = None,
+    col_refine: float = 0.0,
 ) -> DataFrame:
     """Users chosen for labelling: the seeds, then in each round the best chunk of the pool; (u, round).
 
     Criterion 3, the default where there are ``labels`` (user_id, persona), takes the largest entropy plus
     divergence under what the users chosen so far are labelled; criterion 1 takes those who know fewest unseen
-    items. ``reverse`` scores by the reverse walk, where users that no label reaches come first. The walk is
+    items. ``reverse`` scores by the reverse walk, where users that no label reaches come first; above 0,
+    ``col_refine`` weighs frequent personas down in it (see ``graph.reverse_prediction``). The walk is
     summed over ``edges`` without a row for each pair of users. ``done``, an earlier run's result, is continued
     after its last round, so ``rounds`` more rounds of a stopped run give what one long run gives.
     """
@@ -485,7 +487,10 @@ def sampler_run(
             ranked = graph.coverage_rank(rest, edges, known).select("u", (-F.col("unseen")).alias("gain"))
         else:
             known = labels.join(chosen.select(F.col("u").alias("user_id")), "user_id", "left_semi").transform(cut)
-            scores = (graph.reverse_walk(edges, known) if reverse else graph.forward_scores(steps, known, users)).transform(cut)
+            scores = graph.reverse_walk(edges, known) if reverse else graph.forward_scores(steps, known, users)
+            if reverse and col_refine > 0:
+                scores = graph.reverse_prediction(scores, known, col_refine)
+            scores = scores.transform(cut)
             current = shares(known, "persona").select("persona", F.col("share").alias("q"))
             ranked = rest.join(graph.information_rank(scores, current, 1e-16 if reverse else 0.0), "u", "left")
         best = [(r["u"], i) for r in ranked.orderBy(F.desc_nulls_first(F.round("gain", 12)), F.xxhash64("u"), "u").limit(chunk).collect()]

@@ -134,10 +134,10 @@ def lightgcn_tri_top_n(t):
     return rounded(graph.score_top_n(users, items, seen, 10))
 
 
-def spectral(t, penalty: float):
+def spectral(t, penalty: float, **settings):
     graph_ = lightgcn.load_graph(event_edges(t).select("u", F.col("t").alias("i")), *tri_parts(t)[1:])
     truth = lightgcn.truth_indices(graph_, truth_of(t))
-    return lightgcn.train_spectral(graph_, truth, frequencies=64, dims=32, epochs=EPOCHS // 2, rate=0.01, penalty=penalty).log_frame(t.spark)
+    return lightgcn.train_spectral(graph_, truth, frequencies=64, dims=32, epochs=EPOCHS // 2, rate=0.01, penalty=penalty, **settings).log_frame(t.spark)
 
 
 @plan()
@@ -150,6 +150,11 @@ def spectral_afd_training(t):
     return spectral(t, 0.1)
 
 
+@plan()
+def spectral_mlp_training(t):
+    return spectral(t, 0.0, pooling="MLP2", transform=True, unit=True, dropout=0.1)
+
+
 @plan()
 def laplacian_embedding(t):
     edges = event_edges(t).select(F.concat(F.lit("u"), "u").alias("src"), F.concat(F.lit("i"), "t").alias("dst"), F.lit(1.0).alias("w"))
