@@ -309,7 +309,14 @@ class Sparse:
 
 
 def largest_eigenvectors(a: Sparse, k: int, seed: int = 42, tol: float = 1e-9, most: int = 600) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest eigenvalues of a symmetric matrix and their vectors, by a block Krylov space that is started anew from its best vectors."""
+    """The k largest eigenvalues of a symmetric matrix and their vectors.
+
+    A matrix that a Krylov space of ``most`` dimensions would nearly fill is solved densely; a larger one by a block
+    Krylov space that is started anew from its best vectors.
+    """
+    if a.n <= 2 * most:
+        values, vectors = np.linalg.eigh(a @ np.eye(a.n))
+        return values[::-1][:k], vectors[:, ::-1][:, :k]
     block = min(a.n, k + 8)
     rng = np.random.default_rng(seed)
     start = np.linalg.qr(rng.normal(size=(a.n, block)))[0]
