@@ -120,3 +120,12 @@ def test_calls_run_side_by_side_and_failures_are_rows(spark):
     got = personas.fan_out(df, client, "k", "p", retries=1).collect()
     assert time.time() - began < 0.2 * 24 and [r["key"] for r in got] == [str(i) for i in range(24)]
     assert (got[3]["status"], got[3]["reply"], got[3]["attempts"]) == ("query_failed", "down", 2) and {r["status"] for r in got} == {"ok", "query_failed"}
+
+
+def test_the_order_of_a_sum_does_not_decide_a_half(spark):
+    rows = spark.createDataFrame([(2418895.8499999996,), (2418895.8500000006,), (2418895.84,), (-0.25,), (1e300,), (float("nan"),), (None,)], "x double")
+    want = ["2418895.9", "2418895.9", "2418895.8", "-0.3", f"{1e300:.1f}"[:3], "NaN", "none"]
+    got = [r[0] for r in rows.select(text.number("x", 1)).collect()]
+    assert [*got[:4], got[4][:3], *got[5:]] == want
+    shares = spark.createDataFrame([(0.20049999999999998,), (0.2005,)], "x double")
+    assert [r[0] for r in shares.select(text.percent("x")).collect()] == ["20.1%", "20.1%"]

@@ -57,11 +57,16 @@ def jaccard(a: str | Column, b: str | Column) -> Column:
 
 def percent(c: str | Column) -> Column:
     """Share as a percentage of one digit; ``none`` where missing."""
-    return F.coalesce(F.when(col(c).isNotNull(), F.concat(F.format_string("%.1f", F.round(col(c).cast("double") * 100, 1)), F.lit("%"))), F.lit("none"))
+    return F.coalesce(F.when(col(c).isNotNull(), F.concat(F.format_string("%.1f", half_away(col(c).cast("double") * 100, 1)), F.lit("%"))), F.lit("none"))
 
 
 def number(c: str | Column, digits: int = 2) -> Column:
-    return F.coalesce(F.when(col(c).isNotNull(), F.format_string(f"%.{digits}f", F.round(col(c).cast("double"), digits))), F.lit("none"))
+    return F.coalesce(F.when(col(c).isNotNull(), F.format_string(f"%.{digits}f", half_away(col(c).cast("double"), digits))), F.lit("none"))
+
+
+def half_away(c: Column, digits: int) -> Column:
+    """Halves away from zero, where what the order of a sum takes from a half (1e-7 of the last digit) doesn't decide."""
+    return F.when(F.abs(c) * 10**digits < 2.0**52, F.signum(c) * F.floor(F.abs(c) * 10**digits + 0.5 + 1e-7) / 10**digits).otherwise(c)
 
 
 def text_or_none(c: str | Column) -> Column:

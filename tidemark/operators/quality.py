@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import ratio
+from tidemark.functions.text import half_away
 
 
 def shares(df: DataFrame, group: str) -> DataFrame:
@@ -39,7 +40,7 @@ def top_category_text(df: DataFrame, group: str, category: str, k: int = 3) -> D
     counts = df.where(F.col(group).isNotNull() & F.col(category).isNotNull()).groupBy(group, category).agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy(group)
     ranked = counts.withColumns({"share": F.col("n") / F.sum("n").over(by), "at": F.row_number().over(by.orderBy(F.desc("n"), F.asc(category)))}).where(F.col("at") <= k)
-    parts = F.array_sort(F.collect_list(F.struct("at", F.concat(F.col(category), F.lit(": "), F.format_string("%.1f", F.round(F.col("share") * 100, 1)), F.lit("%")).alias("text"))))
+    parts = F.array_sort(F.collect_list(F.struct("at", F.concat(F.col(category), F.lit(": "), F.format_string("%.1f", half_away(F.col("share") * 100, 1)), F.lit("%")).alias("text"))))
     return ranked.groupBy(group).agg(F.array_join(parts.getField("text"), "; ").alias("top_categories"))
 
 
