@@ -239,3 +239,50 @@ def test_blocks_of_items_give_the_same_lists(spark):
     seen = spark.createDataFrame([(u, i) for u in range(20) for i in range(u % 7)], "user_id long, item_id long")
     lists = [sorted(map(tuple, graph.score_top_n(users, items, seen, 4, size).collect())) for size in (1000, 7)]
     assert lists[0] == lists[1] and len(lists[0]) == 80
+
+
+def hub_graph(leaves, hubs, each, seed=1):
+    """A graph whose leaves have edges to hubs only, and some edges between hubs: the dense matrix and its edges, normalised."""
+    rng = np.random.default_rng(seed)
+    key = np.unique(np.repeat(np.arange(leaves), each) * hubs + rng.integers(0, hubs, leaves * each))
+    a, b = np.append(key // hubs, [leaves, leaves]), np.append(leaves + key % hubs, [leaves + 1, leaves + 2])
+    src, dst, w = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(rng.random(len(a)) + 0.5, 2)
+    half = 1 / np.sqrt(np.bincount(src, weights=w, minlength=leaves + hubs))
+    w = w * half[src] * half[dst]
+    dense = np.zeros((leaves + hubs, leaves + hubs))
+    np.add.at(dense, (src, dst), w)
+    return dense, models.Sparse(src, dst, w, leaves + hubs)
+
+
+def test_eigenvectors_of_few_hubs_are_exact_and_cover_zeros():
+    dense, matrix = hub_graph(400, 12, 4)
+    values, vectors = models.largest_eigenvectors(matrix, 40, most=100)
+    assert matrix.cover and len(matrix.cover.c) == 12
+    assert np.allclose(values, np.sort(np.linalg.eigvalsh(dense))[::-1][:40], atol=1e-12)
+    assert np.allclose(dense @ vectors, vectors * values, atol=1e-12) and np.allclose(vectors.T @ vectors, np.eye(40), atol=1e-12)
+
+
+def test_products_in_parts_and_series_equal_dense_ones(monkeypatch):
+    dense, matrix = hub_graph(60, 6, 3)
+    rng = np.random.default_rng(4)
+    x, rows, weights = rng.normal(size=(66, 5)), rng.permutation(66)[:20], [0.5, 0.3, 0.2, 0.7]
+    some = np.zeros_like(x)
+    some[rows] = x[rows]
+    total = sum(w * np.linalg.matrix_power(dense, n) for n, w in enumerate(weights))
+    plain = hub_graph(60, 6, 3)[1]
+    plain.cover = None
+    assert matrix.cover is not None
+    monkeypatch.setattr(models, "CELLS", 40)  # eight edges at once
+    for m in (matrix, plain):
+        assert np.allclose(m @ x, dense @ x, atol=1e-12) and np.allclose(m.series(weights, x), total @ x, atol=1e-12)
+        assert np.allclose(m.series(weights, x, wanted=rows), (total @ x)[rows], atol=1e-12)
+        assert np.allclose(m.series(weights, x[rows], given=rows), total @ some, atol=1e-12)
+
+
+def test_vectors_in_parts_keep_their_names(spark, monkeypatch):
+    monkeypatch.setattr(models, "CELLS", 6)
+    edges = spark.createDataFrame([(f"u{n % 7}", f"i{n % 3}", 1.0) for n in range(21)], "src string, dst string, w double")
+    got = {r["node"]: r["vec"] for r in models.laplacian_vectors(edges, 2).collect()}
+    assert sorted(got) == sorted([f"u{n}" for n in range(7)] + [f"i{n}" for n in range(3)]) and all(len(v) == 2 for v in got.values())
+    for node, vec in got.items():  # the first vector is the root of the degrees, up to its sign
+        assert abs(vec[0]) == pytest.approx(np.sqrt((3 if node[0] == "u" else 7) / 42))
