@@ -286,3 +286,20 @@ def test_vectors_in_parts_keep_their_names(spark, monkeypatch):
     assert sorted(got) == sorted([f"u{n}" for n in range(7)] + [f"i{n}" for n in range(3)]) and all(len(v) == 2 for v in got.values())
     for node, vec in got.items():  # the first vector is the root of the degrees, up to its sign
         assert abs(vec[0]) == pytest.approx(np.sqrt((3 if node[0] == "u" else 7) / 42))
+
+
+@pytest.mark.parametrize("kind", ["lightgcn", "Sum", "Product", "MLP2"])
+def test_a_batch_needs_only_the_rows_it_uses(spark, kind):
+    g = toy_graph(spark)
+    model = lightgcn.LightGcn(g, 4, 2, "uniform", 0.05, 3) if kind == "lightgcn" else lightgcn.Spectral(g, models.largest_eigenvectors(g.norm, 6)[1], 3, 2, "Tanh", kind, 0.05, 0.1, 3, True, True)
+    u, i, j = g.u[:9], len(g.users) + g.i[:9], len(g.users) + (g.i[:9] + 1) % 10
+    used, places = np.unique(np.concatenate([u, i, j]), return_inverse=True)
+    final = model.forward()
+    grad = np.zeros_like(final)
+    grad[used] = np.random.default_rng(0).normal(size=(len(used), final.shape[1]))
+    some = grad[used]
+    value, want = model.backward(final, grad, u, i, j)
+    part = model.forward(None, used)
+    assert np.allclose(part, final[used], atol=1e-14)
+    again, got = model.backward(part, some, *np.split(places, 3), used)
+    assert again == pytest.approx(value) and sorted(got) == sorted(want) and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
