@@ -242,3 +242,23 @@ def test_spectral_filter_pooling_and_losses(spark):
         with pytest.raises(ValueError):
             bad()
     assert graph.graph_mode("tri")[0] == 6 and graph.graph_mode("bipartite")[0] == 0
+
+
+@pytest.mark.parametrize("block_edges", [10_000, 40])
+def test_walks_in_blocks_equal_dense_products_and_keep_ties_by_id(spark, block_edges):
+    rng = np.random.default_rng(8)
+    pairs = sorted({(int(u), int(t)) for u, t in zip(rng.integers(0, 30, 160), rng.integers(0, 40, 160), strict=True)} | {(u + 30, 50) for u in range(6)})
+    edges = spark.createDataFrame([*pairs, (0, None)], "u long, t long")  # an unknown item counts among a user's
+    a = np.zeros((36, 51))
+    for u, t in pairs:
+        a[u, t] = 1
+    number = a.sum(1) + (np.arange(36) == 0)
+    p = (a / number[:, None]) @ (a / np.maximum(1, a.sum(0))).T
+    got = {(r["u"], r["v"]): r["p"] for r in graph.transition(edges, block_edges=block_edges).collect()}
+    assert got == pytest.approx({(u, v): p[u, v] for u in range(36) for v in range(36) if p[u, v] > 0})
+    ends = [v for v in range(36) if v % 3]
+    near = graph.nearest_by_walk(edges, spark.createDataFrame([(v,) for v in ends], "u long"), 2, block_edges).collect()
+    for u in range(36):
+        best = sorted((v for v in ends if p[u, v] > 0), key=lambda v: (-round(p[u, v], 12), v))[:2]
+        found = sorted((r["v"] for r in near if r["u"] == u), key=lambda v: (-round(p[u, v], 12), v))
+        assert found[:2] == best
