@@ -303,3 +303,19 @@ def test_a_batch_needs_only_the_rows_it_uses(spark, kind):
     assert np.allclose(part, final[used], atol=1e-14)
     again, got = model.backward(part, some, *np.split(places, 3), used)
     assert again == pytest.approx(value) and sorted(got) == sorted(want) and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
+
+
+def test_runs_in_tasks_equal_shared_passes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(400, 3)).tolist() + [[0.0, 0.0, 0.0]] * 50
+    points = spark.createDataFrame([(r,) for r in rows], "x array<double>").repartition(3)
+    whole = models.cluster(points, 3, [2, 5], 4)
+    jobs = []
+    one_pass = models._one_pass
+    monkeypatch.setattr(models, "_one_pass", lambda *a: jobs.append(1) or one_pass(*a))
+    assert models.cluster(points, 3, [2], 2) and not jobs
+    monkeypatch.setattr(models, "CELLS", 10)
+    shared = models.cluster(points, 3, [2, 5], 4)
+    assert jobs
+    for k in (2, 5):
+        assert np.allclose(whole[k].centres, shared[k].centres) and whole[k].sizes.tolist() == shared[k].sizes.tolist() and whole[k].inertia == pytest.approx(shared[k].inertia)
