@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -319,3 +321,51 @@ def test_runs_in_tasks_equal_shared_passes(spark, monkeypatch):
     assert jobs
     for k in (2, 5):
         assert np.allclose(whole[k].centres, shared[k].centres) and whole[k].sizes.tolist() == shared[k].sizes.tolist() and whole[k].inertia == pytest.approx(shared[k].inertia)
+
+
+@pytest.mark.parametrize("settings", [{}, {"penalty": 0.1}, {"pooling": "MLP2", "transform": True, "unit": True, "dropout": 0.1}])
+def test_spectral_training_holds_little_besides_its_own_state(monkeypatch, settings):
+    rng, n, dims = np.random.default_rng(4), 40_000, 16
+    u, i = np.nonzero(rng.random((n, 12)) < 0.2)
+    u, i = u[:4000], i[:4000]
+    src, dst = np.concatenate([u, n + i]), np.concatenate([n + i, u])
+    g = lightgcn.Graph(np.arange(n), np.arange(12), np.array([]), u, i, models.Sparse(src, dst, np.full(len(src), 0.1), n + 12))
+    basis = np.linalg.qr(rng.normal(size=(n + 12, 8)))[0]
+    monkeypatch.setattr(lightgcn, "largest_eigenvectors", lambda *_, **__: (np.ones(8), basis))
+    tracemalloc.start()
+    try:
+        out = lightgcn.train_spectral(g, {0: {1}}, frequencies=8, dims=dims, epochs=1, batch=1000, ks=(2,), **settings)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.isfinite(out.vectors).all() and out.vectors.shape == (n + 12, dims)
+    assert peak < (30 if "pooling" in settings else 18) * n * dims * 4  # vectors, their gradient, a layer, two moments, results, and what a block makes
+
+
+def test_penalty_in_blocks_equals_that_of_the_whole(monkeypatch):
+    x = np.random.default_rng(3).normal(1, 2, (103, 5)) @ np.random.default_rng(4).normal(size=(5, 5))
+    monkeypatch.setattr(lightgcn, "BLOCK", 7)
+    value, mean, slope = lightgcn.correlation_terms(x)
+    z = (x - x.mean(0)) / x.std(0)
+    c = np.corrcoef(x.T) - np.eye(5)
+    down = 2 * z @ c / len(x)
+    assert value == pytest.approx(np.square(c).sum() / 2)
+    assert np.allclose((x - mean) @ slope, (down - down.mean(0) - z * (down * z).mean(0)) / x.std(0))
+
+
+@pytest.mark.parametrize("settings", [{}, {"penalty": 0.1}, {"pooling": "MLP2", "transform": True, "unit": True, "dropout": 0.1}])
+def test_spectral_training_doesnt_depend_on_blocks(spark, monkeypatch, settings):
+    run = lambda: lightgcn.train_spectral(toy_graph(spark), {0: {1, 2}, 3: {4}}, frequencies=6, dims=4, epochs=3, batch=16, negatives=2, rate=0.05, ks=(2,), **settings)
+    whole = run()
+    monkeypatch.setattr(lightgcn, "BLOCK", 3)
+    parts, again = run(), run()
+    assert np.allclose(whole.vectors, parts.vectors, atol=1e-3) and np.array_equal(parts.vectors, again.vectors)
+
+
+def test_rows_of_length_one_are_told_apart(spark):
+    """Behind small weights all rows point nearly the same way: scores must differ by less than 32 bits can hold."""
+    g = toy_graph(spark)
+    basis = models.largest_eigenvectors(g.norm, 6)[1]
+    few, many = (lightgcn.Spectral(g, basis.astype(kind), 4, 2, "Sigmoid", "MLP2", 0.02, 0.0, 3, True, True, 0.0).vectors() for kind in (np.float32, np.float64))
+    scores = many @ many.T
+    assert np.ptp(scores) < 1e-4 and np.corrcoef((few @ few.T).ravel(), scores.ravel())[0, 1] > 1 - 1e-6
