@@ -369,3 +369,35 @@ def test_rows_of_length_one_are_told_apart(spark):
     few, many = (lightgcn.Spectral(g, basis.astype(kind), 4, 2, "Sigmoid", "MLP2", 0.02, 0.0, 3, True, True, 0.0).vectors() for kind in (np.float32, np.float64))
     scores = many @ many.T
     assert np.ptp(scores) < 1e-4 and np.corrcoef((few @ few.T).ravel(), scores.ravel())[0, 1] > 1 - 1e-6
+
+
+@pytest.mark.parametrize("optimisation", ["Adam", "SGD", "Adagrad", "RMSProp"])
+def test_training_over_hubs_equals_training_over_edges(spark, monkeypatch, optimisation):
+    monkeypatch.setattr(lightgcn, "LEAF_BLOCK", 1)  # many blocks, in threads
+    out = []
+    for model in (lightgcn.HubGcn, lightgcn.LightGcn):
+        g = toy_graph(spark)
+        out.append(lightgcn._train(g, model(g, 4, 2, "decay", 0.05, 3), {0: {1, 2}, 3: {4}}, 6, 16, 3, 0.05, optimisation, "BPR", (2, 5), 42))
+    got, want = out
+    assert np.allclose(got.log, want.log, rtol=1e-4, atol=1e-5) and np.allclose(got.vectors, want.vectors, rtol=1e-3, atol=1e-4)
+
+
+def test_a_step_of_graph_training_makes_no_table_of_all_nodes():
+    rng, n, dims = np.random.default_rng(4), 40_000, 16
+    u, i = np.nonzero(rng.random((n, 12)) < 0.5)
+    src, dst = np.concatenate([u, n + i]).astype(np.int32), np.concatenate([n + i, u]).astype(np.int32)
+    g = lightgcn.Graph(np.arange(n), np.arange(12), np.array([]), u[:4000].astype(np.int32), i[:4000].astype(np.int32), models.Sparse(src, dst, np.full(len(src), 0.01), n + 12))
+    assert lightgcn.train_lightgcn(g, {0: {1}}, dims=dims, epochs=1, batch=1000, ks=(2,), spend=True).vectors.shape == (n + 12, dims) and g.norm is None
+    peaks, table = [], (n + 12) * dims * 4
+    g.norm = models.Sparse(src, dst, np.full(len(src), 0.01), n + 12)
+    model = (getattr(lightgcn, "HubGcn", None) or lightgcn.LightGcn)(g, dims, 2, "uniform", 0.02, 3)
+    optimizer = lightgcn.Optimizer("Adam", 0.01)
+    for step in range(3):
+        rows = np.array([0, 1, n, n + 1])
+        tracemalloc.start()
+        final = model.forward(None, rows)
+        model.learn(optimizer, model.backward(final, np.ones_like(final), np.array([0, 1]), np.array([2, 2]), np.array([3, 3]), rows)[1])
+        model.forward(None, rows)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[-1] < table  # gradients of all nodes alone would be one
