@@ -401,3 +401,24 @@ def test_a_step_of_graph_training_makes_no_table_of_all_nodes():
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[-1] < table  # gradients of all nodes alone would be one
+
+
+@pytest.mark.parametrize("personas", [False, True])
+def test_training_reads_the_mart_once_and_has_the_same_graph(spark, monkeypatch, personas):
+    from tidemark.operators import prep
+    from tidemark.plans import models as plan_models
+    from tidemark.plans.graphs import event_edges, tri_parts
+    from tidemark.plans.recommend import truth_of
+    from tidemark.sources.adapters import Retail
+
+    t, seen = Retail(spark, "/root/testdata/sf0.001"), {}
+    want = lightgcn.load_graph(event_edges(t).select("u", F.col("t").alias("i")), *(tri_parts(t)[1:] if personas else ()))
+    truth = lightgcn.truth_indices(want, truth_of(t))
+    marts, score_mart = [], prep.score_mart
+    monkeypatch.setattr(prep, "score_mart", lambda *a: marts.append(1) or score_mart(*a))
+    monkeypatch.setattr(lightgcn, "train_lightgcn", lambda g, truth, **_: seen.update(g=g, truth=truth))
+    plan_models.trained(Retail(spark, "/root/testdata/sf0.001"), personas)
+    got = seen["g"]
+    assert len(marts) == 1 and seen["truth"] == truth and truth and got.sizes == want.sizes
+    for a, b in ((got.users, want.users), (got.items, want.items), (got.personas, want.personas), (got.u, want.u), (got.i, want.i), (got.norm.dst, want.norm.dst), (got.norm.w, want.norm.w)):
+        assert np.array_equal(a, b)
